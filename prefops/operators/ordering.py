@@ -8,8 +8,6 @@ alone, so a re-run task puts every row where it was.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,45 +17,22 @@ from prefops.schema import require
 BUCKET_BITS = 12
 
 
-def _upto(by: Sequence[str], last: int) -> Window:
-    return Window.partitionBy(*(by or [F.lit(0)])).orderBy("_b").rowsBetween(Window.unboundedPreceding, last)
+def _upto(last: int) -> Window:
+    return Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, last)
 
 
 def dense_index(
-    df: DataFrame,
-    key: str,
-    seed: int | str,
-    by: Sequence[str] = (),
-    name: str = "shuffle_index",
-    total: str | None = None,
-    bits: int = BUCKET_BITS,
+    df: DataFrame, key: str, seed: int | str, name: str = "shuffle_index", bits: int = BUCKET_BITS
 ) -> DataFrame:
-    """Add a 0-based dense index in the order of (hash(seed, key), key), per group of `by`.
-
-    `key` must be unique. A group that holds most rows is spread over 2**bits
-    buckets like any other. `total` names a column for the size of the group.
-    """
-    require(df, key, *by)
-    by = list(by)
+    """Add a 0-based dense index in the order of (hash(seed, key), key). `key` must be unique."""
+    require(df, key)
     keyed = df.withColumn("_h", portable_hash(seed, key)).withColumn("_b", F.shiftright("_h", HASH_BITS - bits))
-    sizes = keyed.groupBy(*by, "_b").agg(F.count("*").alias("_n"))
-    whole = Window.partitionBy(*(by or [F.lit(0)]))
-    offsets = sizes.select(
-        *[F.col(c).alias(f"_by_{c}") for c in by],
-        F.col("_b").alias("_ob"),
-        F.coalesce(F.sum("_n").over(_upto(by, -1)), F.lit(0)).alias("_before"),
-        F.sum("_n").over(whole).alias("_total"),
-    )
-    on = keyed["_b"] == offsets["_ob"]
-    for c in by:
-        on = on & keyed[c].eqNullSafe(offsets[f"_by_{c}"])
-    # Without groups the table has at most 2**bits rows; with groups Spark decides.
-    placed = keyed.join(offsets if by else F.broadcast(offsets), on)
-    inside = Window.partitionBy(*by, "_b").orderBy("_h", key)
-    out = placed.withColumn(name, (F.col("_before") + F.row_number().over(inside) - 1).cast("long"))
-    if total:
-        out = out.withColumn(total, F.col("_total"))
-    return out.select(*df.columns, name, *([total] if total else []))
+    sizes = keyed.groupBy("_b").agg(F.count("*").alias("_n"))
+    # At most 2**bits rows.
+    offsets = sizes.select("_b", F.coalesce(F.sum("_n").over(_upto(-1)), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_b").orderBy("_h", key)
+    index = (F.col("_before") + F.row_number().over(inside) - 1).cast("long")
+    return keyed.join(F.broadcast(offsets), "_b").withColumn(name, index).select(*df.columns, name)
 
 
 def shuffle_index(df: DataFrame, key: str, seed: int | str = 42, name: str = "shuffle_index") -> DataFrame:
@@ -87,8 +62,8 @@ def train_val_split(
     sizes = hashes.groupBy("_b").agg(F.count("*").alias("_n"))
     reach = sizes.select(
         "_b",
-        F.coalesce(F.sum("_n").over(_upto([], -1)), F.lit(0)).alias("_before"),
-        F.sum("_n").over(_upto([], 0)).alias("_to"),
+        F.coalesce(F.sum("_n").over(_upto(-1)), F.lit(0)).alias("_before"),
+        F.sum("_n").over(_upto(0)).alias("_to"),
         F.ceil(F.sum("_n").over(Window.partitionBy(F.lit(0))) * F.lit(float(frac))).alias("_want"),
     )
     border = reach.where((F.col("_before") < F.col("_want")) & (F.col("_want") <= F.col("_to")))
