@@ -1,4 +1,4 @@
 """Loads every module that registers queries."""
 
-from checks import pair_queries  # noqa: F401
+from checks import fit_queries, judge_queries, pair_queries, score_queries, step_queries  # noqa: F401
 from checks.base import ORACLES, QUERIES  # noqa: F401

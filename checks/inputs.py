@@ -16,12 +16,19 @@ from pyspark.sql import functions as F
 from checks.base import sql_hash as H
 from checks.base import sql_text
 from prefops import constants as K
+from prefops.functions import text as X
 from prefops.functions.rand import portable_hash
 from prefops.operators.ordering import dense_index
+from prefops.sources import io
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return io.read_split(spark, f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, over all cores even when they come as one row group."""
+    return io.spread(table(spark, sf_dir, "documents"), "doc_id")
 
 
 # Flat pairs: a document of good quality against one of bad quality, under a prompt.
@@ -29,7 +36,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def flat_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Partners are found on keys; each text is joined once, by its own key."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
     labels = table(spark, sf_dir, "labels").join(docs.select("doc_id"), "doc_id", "left_semi")
     good_ids = labels.where("quality = 1 and toxic = 0").select("doc_id")
     bad_ids = labels.where("quality = 0").select("doc_id")
@@ -181,7 +188,7 @@ ANSWERS_PER_QUESTION = 8
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     question = F.floor(F.col("doc_id") / ANSWERS_PER_QUESTION).cast("long")
     return docs.select(
         question.alias("q_id"),
@@ -207,7 +214,7 @@ answers as (
 
 
 def trajectory_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     lines = F.posexplode(F.split("text", "\n", -1)).alias("step", "text")
     return docs.select(F.col("doc_id").alias("traj"), lines)
 
@@ -320,12 +327,12 @@ TOKEN_PATTERN = [2, 3]
 
 
 def token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     words = F.split("text", "[ \n\t]+")
     return docs.select(
         F.col("doc_id").alias("id"),
         F.transform(words, lambda w: (F.length(w) % 5).cast("int")).alias("ids"),
-        F.regexp_count("text", F.lit(r"\S+")).alias("length"),
+        X.token_length("text").alias("length"),
     )
 
 

@@ -339,7 +339,7 @@ def c4(spark, d):
 
 
 def triples(spark: SparkSession, d: str) -> DataFrame:
-    return augment.parse_pair_prompt(flat_prompts(spark, d))
+    return io.written(augment.parse_pair_prompt(flat_prompts(spark, d)), "triples")
 
 
 _SLOTS = [(a, b, "false") for a in ("i.response_w", "i.response_l") for b in ("j.response_w", "k.response_w", "j.response_l", "k.response_l")]

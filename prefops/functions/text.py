@@ -48,7 +48,8 @@ def context_of(conv: str | Column) -> Column:
 
 
 def last_content(conv: str | Column) -> Column:
-    return F.try_element_at(_col(conv), F.lit(-1))["content"]
+    c = _col(conv)
+    return F.get(c, F.size(c) - 1)["content"]
 
 
 def pairwise_prompt_text(context: Column, a: Column, b: Column) -> Column:
@@ -203,7 +204,7 @@ def token_length(text: str | Column, tokenizer: Callable[[], Callable[[str], lis
     Python worker.
     """
     if tokenizer is None:
-        return F.regexp_count(_col(text), F.lit(r"\S+"))
+        return F.regexp_count(_col(text), F.lit(r"\S++"))
 
     @F.pandas_udf("int")
     def count(texts: pd.Series) -> pd.Series:

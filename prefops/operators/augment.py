@@ -9,6 +9,7 @@ from prefops.functions import text as X
 from prefops.functions.rand import coin
 from prefops.operators.ordering import dense_index
 from prefops.schema import require
+from prefops.sources.io import written
 
 
 def _parsed(df: DataFrame) -> DataFrame:
@@ -80,8 +81,9 @@ def augment_triples(df: DataFrame, key: str = "id", seed: int | str = 0) -> Data
     partner.
 
     The permutations run on keys only. Texts move once by their own key, a
-    shuffle all three readers share, and once to the row they are partnered
-    with; the fourteen rows are built after the last join.
+    shuffle both readers share, and once to the row they are partnered with; the
+    fourteen rows are built after the last join. `df` is read several times,
+    mostly for its key alone, so it should be a table and not a long plan.
     """
     require(df, key, "context", "response_w", "response_l")
     drawn = partners(df, key, seed)
@@ -110,5 +112,9 @@ def augment_triples(df: DataFrame, key: str = "id", seed: int | str = 0) -> Data
 
 
 def augment_prompts(df: DataFrame, key: str = "id", seed: int | str = 0) -> DataFrame:
-    """Pairwise prompts in, fourteen augmented pairwise prompts per parsed row out."""
-    return render_triple(augment_triples(parse_pair_prompt(df, key), key, seed), key, "slot", seed=seed)
+    """Pairwise prompts in, fourteen augmented pairwise prompts per parsed row out.
+
+    The parsed rows are written to the shared folder once.
+    """
+    triples = written(parse_pair_prompt(df, key), "triples")
+    return render_triple(augment_triples(triples, key, seed), key, "slot", seed=seed)

@@ -20,6 +20,12 @@ from prefops.schema import require
 HOT_VALUES = 2048
 
 
+def _default_buckets(df: DataFrame) -> int:
+    """A power of two, at least twice the shuffle partitions."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return 1 << (2 * partitions - 1).bit_length()
+
+
 def _probabilities(buckets: int) -> list[float]:
     return [i / buckets for i in range(1, buckets)]
 
@@ -35,16 +41,17 @@ def _range_of(value: Column, cuts: Column, buckets: int) -> Column:
     return F.coalesce(found, F.lit(0))
 
 
-def average_ranks(df: DataFrame, value: str, buckets: int = 1024) -> DataFrame:
+def average_ranks(df: DataFrame, value: str, buckets: int | None = None) -> DataFrame:
     """One row per distinct value: (value, n, rank), ranks from 1, ties averaged.
 
     Reads the cuts, buckets - 1 numbers, to the driver when called.
     """
     require(df, value)
+    buckets = buckets or _default_buckets(df)
     known = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias(value))
     cuts = known.approxQuantile(value, _probabilities(buckets), 0.25 / buckets)
     counts = known.groupBy(value).agg(F.count("*").alias("n"))
-    cut_array = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<double>")
+    cut_array = F.split(F.lit(" ".join(map(repr, cuts))), " ").try_cast("array<double>")
     ranged = counts.withColumn("_b", _range_of(F.col(value), cut_array, buckets))
     inside = Window.partitionBy("_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -58,7 +65,7 @@ def average_ranks(df: DataFrame, value: str, buckets: int = 1024) -> DataFrame:
 
 
 def with_average_rank(
-    df: DataFrame, value: str, key: str, name: str = "rank", buckets: int = 1024, centred: bool = False
+    df: DataFrame, value: str, key: str, name: str = "rank", buckets: int | None = None, centred: bool = False
 ) -> DataFrame:
     """Add the average rank of `value` to every row, less the mean rank when `centred`.
 
@@ -82,7 +89,7 @@ def with_average_rank(
     return met.select(*df.columns, (rank - (rows + 1) / 2 if centred else rank).alias(name))
 
 
-def _rank_correlation(rows: DataFrame, by: Sequence[str], x: str, y_rank: str, buckets: int) -> DataFrame:
+def _rank_correlation(rows: DataFrame, by: Sequence[str], x: str, y_rank: str, buckets: int | None) -> DataFrame:
     """Correlation of the ranks of `x` with given centred ranks, per group of `by`.
 
     With N rows the mean rank is (N + 1) / 2, so all sums are taken around it.
@@ -90,6 +97,7 @@ def _rank_correlation(rows: DataFrame, by: Sequence[str], x: str, y_rank: str, b
     offset enters afterwards, on a table of at most `buckets` rows per group.
     The number of groups must be bounded: the cuts of all groups are broadcast.
     """
+    buckets = buckets or _default_buckets(rows)
     by = list(by)
     keys = by or ["_all"]
     if not by:
@@ -137,7 +145,7 @@ def _rank_correlation(rows: DataFrame, by: Sequence[str], x: str, y_rank: str, b
     return per_group.select(*by, corr.alias("corr"))
 
 
-def spearman(df: DataFrame, x: str, y: str, key: str = "id", buckets: int = 1024) -> DataFrame:
+def spearman(df: DataFrame, x: str, y: str, key: str = "id", buckets: int | None = None) -> DataFrame:
     """Rank correlation of two columns over the rows that have both; null for a constant column."""
     require(df, x, y, key)
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
@@ -155,7 +163,7 @@ def verbosity_penalties(
     grid: Sequence[float] = K.VERBOSITY_GRID,
     per_pass: int = 8,
     decimals: int = 9,
-    buckets: int = 256,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Smallest penalty per objective that frees it from the verbosity objective.
 

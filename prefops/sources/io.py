@@ -37,6 +37,27 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write the rows as a table in the shared folder and read it back.
+
+    For a frame that is costly to make and read several times with few columns:
+    a columnar table gives each reader only the columns it needs.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """Hash the rows of a scan over the cores if it has fewer splits than cores.
+
+    A table of many files is left as it is. One of few row groups would
+    otherwise be worked on by as few tasks.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, key)
+
+
 def read_split(
     spark: SparkSession,
     path: str,
