@@ -42,9 +42,10 @@ def _range_of(value: Column, cuts: Column, buckets: int) -> Column:
 
 
 def average_ranks(df: DataFrame, value: str, buckets: int | None = None) -> DataFrame:
-    """One row per distinct value: (value, n, rank), ranks from 1, ties averaged.
+    """One row per distinct value: (value, n, rank, rows), ranks from 1, ties averaged.
 
-    Reads the cuts, buckets - 1 numbers, to the driver when called.
+    `rows` is the number of all ranked rows. Reads the cuts, buckets - 1
+    numbers, to the driver when called.
     """
     require(df, value)
     buckets = buckets or _default_buckets(df)
@@ -54,14 +55,17 @@ def average_ranks(df: DataFrame, value: str, buckets: int | None = None) -> Data
     cut_array = F.split(F.lit(" ".join(map(repr, cuts))), " ").try_cast("array<double>")
     ranged = counts.withColumn("_b", _range_of(F.col(value), cut_array, buckets))
     inside = Window.partitionBy("_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    before = Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(F.lit(0))
+    before = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     # At most `buckets` rows.
     offsets = (
-        ranged.groupBy("_b").agg(F.sum("n").alias("_n")).select("_b", F.sum("_n").over(before).alias("_before"))
+        ranged.groupBy("_b")
+        .agg(F.sum("n").alias("_n"))
+        .select("_b", F.sum("_n").over(before).alias("_before"), F.sum("_n").over(whole).alias("rows"))
     )
     placed = ranged.withColumn("_inside", F.sum("n").over(inside)).join(F.broadcast(offsets), "_b")
     rank = F.coalesce("_before", F.lit(0)) + F.coalesce("_inside", F.lit(0)) + (F.col("n") + 1) / 2
-    return placed.select(value, "n", rank.alias("rank"))
+    return placed.select(value, "n", rank.alias("rank"), "rows")
 
 
 def with_average_rank(
@@ -75,8 +79,9 @@ def with_average_rank(
     """
     require(df, value, key)
     ranks = average_ranks(df, value, buckets)
-    rows = df.where(F.col(value).isNotNull()).agg(F.count("*")).scalar()
-    is_hot = F.col("n") * HOT_VALUES > rows
+    if centred:
+        ranks = ranks.withColumn("rank", F.col("rank") - (F.col("rows") + 1) / 2)
+    is_hot = F.col("n") * HOT_VALUES > F.col("rows")
     hot = ranks.where(is_hot).select(F.col(value).alias("_hv"), F.col("rank").alias("_hot"))
     cold = ranks.where(~is_hot).select(F.col(value).alias("_cv"), F.lit(0).alias("_cs"), F.col("rank").alias("_cold"))
     met = df.join(F.broadcast(hot), df[value] == hot["_hv"], "left")
@@ -85,11 +90,20 @@ def with_average_rank(
     )
     met = met.withColumn("_salt", salt)
     met = met.join(cold, (met[value] == cold["_cv"]) & (met["_salt"] == cold["_cs"]), "left")
-    rank = F.coalesce("_hot", "_cold")
-    return met.select(*df.columns, (rank - (rows + 1) / 2 if centred else rank).alias(name))
+    return met.select(*df.columns, F.coalesce("_hot", "_cold").alias(name))
 
 
-def _rank_correlation(rows: DataFrame, by: Sequence[str], x: str, y_rank: str, buckets: int | None) -> DataFrame:
+def _cuts(rows: DataFrame, by: Sequence[str], x: str, buckets: int) -> DataFrame:
+    """Approximate quantiles of x and the number of rows, one row per group of `by`."""
+    return rows.groupBy(*by).agg(
+        F.percentile_approx(F.col(x).cast("double"), _probabilities(buckets), 4 * buckets).alias("_cuts"),
+        F.count("*").alias("_rows"),
+    )
+
+
+def _rank_correlation(
+    rows: DataFrame, cuts: DataFrame, by: Sequence[str], x: str, y_rank: str, buckets: int
+) -> DataFrame:
     """Correlation of the ranks of `x` with given centred ranks, per group of `by`.
 
     With N rows the mean rank is (N + 1) / 2, so all sums are taken around it.
@@ -97,15 +111,7 @@ def _rank_correlation(rows: DataFrame, by: Sequence[str], x: str, y_rank: str, b
     offset enters afterwards, on a table of at most `buckets` rows per group.
     The number of groups must be bounded: the cuts of all groups are broadcast.
     """
-    buckets = buckets or _default_buckets(rows)
-    by = list(by)
-    keys = by or ["_all"]
-    if not by:
-        rows = rows.withColumn("_all", F.lit(0))
-    cuts = rows.groupBy(*keys).agg(
-        F.percentile_approx(x, _probabilities(buckets), 4 * buckets).alias("_cuts"),
-        F.count("*").alias("_rows"),
-    )
+    keys = list(by)
     centre = (F.col("_rows") + 1) / 2
     values = rows.groupBy(*keys, x).agg(
         F.count("*").alias("n"),
@@ -142,15 +148,17 @@ def _rank_correlation(rows: DataFrame, by: Sequence[str], x: str, y_rank: str, b
         F.sum("_yy").alias("_vy"),
     )
     corr = F.try_divide(F.col("_cov"), F.sqrt("_vx") * F.sqrt("_vy"))
-    return per_group.select(*by, corr.alias("corr"))
+    return per_group.select(*keys, corr.alias("corr"))
 
 
 def spearman(df: DataFrame, x: str, y: str, key: str = "id", buckets: int | None = None) -> DataFrame:
     """Rank correlation of two columns over the rows that have both; null for a constant column."""
     require(df, x, y, key)
-    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = with_average_rank(both.select(key, x, y), y, key, "_ry", buckets, centred=True)
-    return _rank_correlation(ranked, [], x, "_ry", buckets)
+    buckets = buckets or _default_buckets(df)
+    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(key, x, y)
+    cuts = _cuts(both.withColumn("_all", F.lit(0)), ["_all"], x, buckets)
+    ranked = with_average_rank(both, y, key, "_ry", buckets, centred=True).withColumn("_all", F.lit(0))
+    return _rank_correlation(ranked, cuts, ["_all"], x, "_ry", buckets).select("corr")
 
 
 def verbosity_penalties(
@@ -179,16 +187,19 @@ def verbosity_penalties(
     require(df, rewards, key)
     spark = df.sparkSession
     r = F.col(rewards)
+    buckets = buckets or _default_buckets(df)
+    n_obj = objectives or df.select(F.max(F.size(rewards))).first()[0]
     rounded = df.select(
         key, F.transform(r, lambda v: F.round(v.cast("double"), decimals)).alias("_r")
     ).withColumn("_v", F.get("_r", F.lit(dim)))
-    n_obj = objectives or df.select(F.max(F.size(rewards))).first()[0]
-    ranked = with_average_rank(rounded, "_v", key, "_ry", centred=True).select("_r", "_v", "_ry")
+    rounded = rounded.persist(StorageLevel.MEMORY_AND_DISK)
+    ranked = with_average_rank(rounded, "_v", key, "_ry", buckets, centred=True).select("_r", "_v", "_ry")
     ranked = ranked.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         found, least = _search(ranked, n_obj, dim, threshold, sorted(grid), per_pass, decimals, buckets)
     finally:
         ranked.unpersist()
+        rounded.unpersist()
     return _penalty_table(spark, n_obj, found, least)
 
 
@@ -212,7 +223,8 @@ def _search(ranked, n_obj, dim, threshold, grid, per_pass, decimals, buckets):
             ]
         )
         rows = ranked.select("_ry", F.inline(tried))
-        corrs = _rank_correlation(rows, ["j", "p"], "x", "_ry", buckets)
+        cuts = _cuts(rows, ["j", "p"], "x", buckets)
+        corrs = _rank_correlation(rows, cuts, ["j", "p"], "x", "_ry", buckets)
         for row in sorted(corrs.collect()):
             if row.j in found or row.corr is None:
                 continue
