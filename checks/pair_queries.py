@@ -418,14 +418,19 @@ def c12(spark, d):
     """Whether every row is placed once, no block is over the limit, and blocks have no gaps."""
     rows = pairs.length_at_most(I.token_ids(spark, d).select("id", "length"))
     placed = packing.pack_sequences(rows, block=4096)
-    blocks = placed.groupBy("bucket", "block").agg(
-        F.count("*").alias("rows"), F.sum("length").alias("tokens"), F.max(F.col("offset") + F.col("length")).alias("end")
+    per_row = placed.groupBy("id").agg(
+        F.count("*").alias("times"), *[F.first(c).alias(c) for c in ("bucket", "block", "length", "offset")]
+    )
+    blocks = per_row.groupBy("bucket", "block").agg(
+        F.count("*").alias("rows"),
+        F.count_if(F.col("times") > 1).alias("twice"),
+        F.sum("length").alias("tokens"),
+        F.max(F.col("offset") + F.col("length")).alias("end"),
     )
-    per_row = placed.groupBy("id").agg(F.count("*").alias("times")).agg(F.count_if(F.col("times") > 1).cast("int")).scalar()
     return blocks.agg(
         F.sum("rows").alias("n_rows"),
         F.sum("tokens").alias("tokens"),
-        F.any_value(per_row).alias("rows_placed_twice"),
+        F.sum("twice").cast("int").alias("rows_placed_twice"),
         F.count_if(F.col("tokens") > 4096).cast("int").alias("blocks_over_limit"),
         F.count_if(F.col("end") != F.col("tokens")).cast("int").alias("gaps_in_blocks"),
     )

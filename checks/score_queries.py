@@ -66,25 +66,27 @@ SQL_DEBIASED = """(1 / (1 + exp(b1 - a1)) + 1 / (1 + exp(a2 - b2))) / 2"""
 
 @query(
     "p3_debiased_preference",
-    f"""with {I.LOGITS}, p as (select id, {SQL_DEBIASED} as p from logits)
-    select id, {sql_r6('p')} as chosen_prob, case when p = 0.5 then 0.5::double when p > 0.5 then 1.0::double else 0.0::double end as preference
-    from p""",
+    f"""with {I.LOGITS}
+    select id, {sql_r6(SQL_DEBIASED)} as chosen_prob,
+           case when a1 - b1 + b2 - a2 = 0 then 0.5::double when a1 - b1 + b2 - a2 > 0 then 1.0::double else 0.0::double end as preference
+    from logits""",
 )
 def p3(spark, d):
     scored = preference_prompts.with_chosen_prob(I.logits(spark, d), "a1", "b1", "a2", "b2")
     return scored.select(
-        "id", r6("chosen_prob").alias("chosen_prob"), S.preference_from_prob("chosen_prob").alias("preference")
+        "id", r6("chosen_prob").alias("chosen_prob"), S.preference_from_logits("a1", "b1", "a2", "b2").alias("preference")
     )
 
 
 @query(
     "p3_debiased_preference_stored",
-    f"""with {I.LOGITS}, p as (select id, {SQL_DEBIASED} as p from logits)
+    f"""with {I.LOGITS}, p as (select id, (round(1 / (1 + exp(b1 - a1)), 9) + round(1 / (1 + exp(a2 - b2)), 9)) / 2 as p from logits)
     select id, {sql_r6('p')} as chosen_prob, case when p = 0.5 then 0.5::double when p > 0.5 then 1.0::double else 0.0::double end as preference
     from p""",
 )
 def p3_stored(spark, d):
-    both = F.array(S.softmax_pair("a1", "b1"), S.softmax_pair("b2", "a2"))
+    """From probabilities stored one per order, with nine decimals."""
+    both = F.array(F.round(S.softmax_pair("a1", "b1"), 9), F.round(S.softmax_pair("b2", "a2"), 9))
     stored = I.logits(spark, d).select("id", F.posexplode(both).alias("position", "prob_chosen"))
     return pairs.debiased_preference(stored).withColumn("chosen_prob", r6("chosen_prob"))
 

@@ -35,6 +35,18 @@ def preference_from_prob(p: str | Column) -> Column:
     return F.when(c == 0.5, F.lit(0.5)).otherwise((c > 0.5).cast("double"))
 
 
+def preference_from_logits(
+    a_first: str | Column, b_first: str | Column, a_second: str | Column, b_second: str | Column
+) -> Column:
+    """The preference that `debiased_prob` stands for, decided before any rounding.
+
+    σ(x) + σ(y) is above 1 exactly when x + y is above 0, so the margins of
+    both orders are added and no exponential can turn a tie into a win.
+    """
+    margin = (_col(a_first) - _col(b_first)) + (_col(b_second) - _col(a_second))
+    return F.when(margin == 0, F.lit(0.5)).otherwise((margin > 0).cast("double"))
+
+
 def debiased_prob(
     a_first: str | Column, b_first: str | Column, a_second: str | Column, b_second: str | Column, temperature: float = 1.0
 ) -> Column:
