@@ -81,14 +81,14 @@ def p3(spark, d):
 @query(
     "p3_debiased_preference_stored",
     f"""with {I.LOGITS}, p as (select id, (round(1 / (1 + exp(b1 - a1)), 9) + round(1 / (1 + exp(a2 - b2)), 9)) / 2 as p from logits)
-    select id, {sql_r6('p')} as chosen_prob, case when p = 0.5 then 0.5::double when p > 0.5 then 1.0::double else 0.0::double end as preference
+    select id, round(p, 10) as chosen_prob, case when p = 0.5 then 0.5::double when p > 0.5 then 1.0::double else 0.0::double end as preference
     from p""",
 )
 def p3_stored(spark, d):
-    """From probabilities stored one per order, with nine decimals."""
+    """From probabilities stored one per order with nine decimals, so that their mean has ten."""
     both = F.array(F.round(S.softmax_pair("a1", "b1"), 9), F.round(S.softmax_pair("b2", "a2"), 9))
     stored = I.logits(spark, d).select("id", F.posexplode(both).alias("position", "prob_chosen"))
-    return pairs.debiased_preference(stored).withColumn("chosen_prob", r6("chosen_prob"))
+    return pairs.debiased_preference(stored).withColumn("chosen_prob", F.round("chosen_prob", 10))
 
 
 @query(

@@ -173,20 +173,20 @@ def t15(spark, d):
 
 
 def step_scores(spark: SparkSession, d: str) -> DataFrame:
-    """A score for every line of an answer; 128ths add up without rounding in any order."""
+    """A score for every line of an answer; a mean of 997ths is not half-way between two decimals."""
     n = I.ANSWERS_PER_QUESTION
     rows = I.trajectory_steps(spark, d)
     return rows.select(
         F.floor(F.col("traj") / n).cast("long").alias("q_id"),
         (F.col("traj") % n).cast("int").alias("ans_idx"),
         "step",
-        ((portable_hash(30, "traj", "step") % 128) / 128.0).alias("score"),
+        ((portable_hash(30, "traj", "step") % 997) / 997.0).alias("score"),
     )
 
 
 STEP_SCORES = f"""{I.TRAJECTORY_STEPS},
 step_scores as (select traj // {I.ANSWERS_PER_QUESTION} as q_id, (traj % {I.ANSWERS_PER_QUESTION})::int as ans_idx, step,
-                       ({H(30, 'traj', 'step')} % 128) / 128.0::double as score from trajectory_steps)"""
+                       ({H(30, 'traj', 'step')} % 997) / 997.0::double as score from trajectory_steps)"""
 
 
 @query(
