@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from prefops import constants as K
 from prefops.functions.rand import portable_hash
 from prefops.schema import require
+from prefops.sources.io import written
 
 ROWS_PER_BUCKET = 20_000
 
@@ -28,11 +29,12 @@ def pack_sequences(
 
     Rows are spread over hash buckets of about `rows_per_bucket` keys, and each
     bucket is packed longest first, each row into the fullest block that still
-    has room. Only key and length are moved. A row longer than a block gets a
-    block of its own.
+    has room. A row longer than a block gets a block of its own. Keys and
+    lengths are written to the shared folder first, so that the lengths are
+    computed once, and nothing but them is moved.
     """
     require(df, key, len_col)
-    narrow = df.select(F.col(key), F.col(len_col).cast("long").alias("length"))
+    narrow = written(df.select(F.col(key), F.col(len_col).cast("long").alias("length")), "lengths")
     buckets = max(1, math.ceil(narrow.count() / rows_per_bucket))
     spread = narrow.withColumn("bucket", F.pmod(portable_hash(seed, key), F.lit(buckets)))
 
@@ -50,7 +52,8 @@ def pack_sequences(
                 made += 1
             blocks.append(number)
             offsets.append(max(block, size) - left)
-            insort(room, (left - size, number))
+            if left > size:
+                insort(room, (left - size, number))
         return frame.assign(block=blocks, offset=offsets)
 
     key_type = narrow.schema[key].dataType.simpleString()

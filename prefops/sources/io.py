@@ -12,6 +12,17 @@ from pyspark.sql import types as T
 from prefops.schema import JUDGEMENT, require
 
 
+# Quotes are doubled, blanks kept and empty texts written out, so that any text
+# comes back as it was.
+CSV_TEXT = {
+    "header": True,
+    "escape": '"',
+    "emptyValue": "",
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir; a local one only for a local master."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
@@ -108,8 +119,7 @@ def write_judgements(
     rows = df.select(*JUDGEMENT.fieldNames()).repartition("model", "split", part)
     writer = rows.write.mode(mode).partitionBy("model", "split").format(format)
     if format == "csv":
-        # Doubled quotes and no empty-as-null, so that any text comes back as it was.
-        writer = writer.options(header=True, escape='"', emptyValue='""', lineSep="\n", quoteAll=True)
+        writer = writer.options(**CSV_TEXT, quoteAll=True)
     writer.save(path)
 
 
@@ -117,7 +127,7 @@ def read_judgements(spark: SparkSession, path: str, format: str = "parquet") ->
     """Result rows as written by `write_judgements`."""
     reader = spark.read.schema(JUDGEMENT).format(format)
     if format == "csv":
-        reader = reader.options(header=True, escape='"', multiLine=True, nullValue="\0", emptyValue="")
+        reader = reader.options(**CSV_TEXT, multiLine=True, nullValue="\0")
     return reader.load(path).select(*JUDGEMENT.fieldNames())
 
 
