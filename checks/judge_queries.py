@@ -219,14 +219,14 @@ def a16(spark, d):
 @query("s4_write_judgements", f"with {I.RAW_ANSWERS}, {SQL_JUDGED} select * from judged")
 def s4(spark, d):
     path = io.scratch_path(spark, "judgements")
-    io.write_judgements(judge.judge_rows(I.raw_answers(spark, d)), path, files_per_model=2)
+    io.write_judgements(judge.judge_rows(I.raw_answers(spark, d)), path)
     return io.read_judgements(spark, path)
 
 
 @query("s4_write_judgements_csv", f"with {I.RAW_ANSWERS}, {SQL_JUDGED} select * from judged")
 def s4_csv(spark, d):
     path = io.scratch_path(spark, "judgements-csv")
-    io.write_judgements(judge.judge_rows(I.raw_answers(spark, d)), path, "csv", files_per_model=2)
+    io.write_judgements(judge.judge_rows(I.raw_answers(spark, d)), path, "csv")
     return io.read_judgements(spark, path, "csv")
 
 

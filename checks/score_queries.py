@@ -128,7 +128,8 @@ def rewarded(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _long(df: DataFrame, c: str | Column, name: str) -> DataFrame:
-    return df.select("id", F.posexplode(c).alias("j", "v")).select("id", "j", r6("v").alias(name))
+    # The outer form: the inner one adds a filter that computes the array a second time.
+    return df.select("id", F.posexplode_outer(c).alias("j", "v")).select("id", "j", r6("v").alias(name))
 
 
 @query("p6_objective_rewards", f"with {REWARDS} select id, j::int as j, {sql_r6('r')} as reward from reward_rows")
@@ -192,7 +193,7 @@ def p9(spark, d):
 )
 def p10(spark, d):
     best = S.top_objectives(S.mixture_coefficients("gate", PENALTIES))
-    rows = rewarded(spark, d).select("id", F.posexplode(best).alias("place", "o"))
+    rows = rewarded(spark, d).select("id", F.posexplode_outer(best).alias("place", "o"))
     return rows.select("id", "place", "o.idx", "o.name", r6("o.coeff").alias("coeff"))
 
 

@@ -36,8 +36,13 @@ OPEN_PATTERNS = 8
 
 
 def _fewer_partitions(df: DataFrame) -> DataFrame:
-    """At most one partition per core, so that partial sums are few; moves no rows."""
-    return df.coalesce(max(1, df.sparkSession.sparkContext.defaultParallelism))
+    """About one partition per core, so that partial sums are few; moves no rows.
+
+    Executors may not have come up yet, so the shuffle partitions count as well.
+    """
+    spark = df.sparkSession
+    shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.coalesce(max(spark.sparkContext.defaultParallelism, shuffled))
 
 
 def gram_partials(df: DataFrame, features: str, attrs: Sequence[str], split: str) -> DataFrame:

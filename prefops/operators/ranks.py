@@ -30,6 +30,16 @@ def _probabilities(buckets: int) -> list[float]:
     return [i / buckets for i in range(1, buckets)]
 
 
+def _quantiles(df: DataFrame, columns: list[str], buckets: int) -> list[list[float]]:
+    """Cuts of several columns, read to the driver: buckets - 1 numbers each."""
+    return df.approxQuantile(columns, _probabilities(buckets), 0.25 / buckets)
+
+
+def _literal(cuts: Sequence[float]) -> Column:
+    """The cuts as one literal, which is folded once and not built number by number."""
+    return F.split(F.lit(" ".join(map(repr, cuts))), " ").try_cast("array<double>")
+
+
 def _range_of(value: Column, cuts: Column, buckets: int) -> Column:
     """How many of the buckets - 1 sorted cuts are below the value, by bisection."""
     steps = [buckets >> i for i in range(1, buckets.bit_length())]
@@ -41,19 +51,20 @@ def _range_of(value: Column, cuts: Column, buckets: int) -> Column:
     return F.coalesce(found, F.lit(0))
 
 
-def average_ranks(df: DataFrame, value: str, buckets: int | None = None) -> DataFrame:
+def average_ranks(
+    df: DataFrame, value: str, buckets: int | None = None, cuts: Sequence[float] | None = None
+) -> DataFrame:
     """One row per distinct value: (value, n, rank, rows), ranks from 1, ties averaged.
 
-    `rows` is the number of all ranked rows. Reads the cuts, buckets - 1
-    numbers, to the driver when called.
+    `rows` is the number of all ranked rows. Without `cuts` they are computed
+    when this is called.
     """
     require(df, value)
     buckets = buckets or _default_buckets(df)
     known = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias(value))
-    cuts = known.approxQuantile(value, _probabilities(buckets), 0.25 / buckets)
+    cuts = _quantiles(known, [value], buckets)[0] if cuts is None else cuts
     counts = known.groupBy(value).agg(F.count("*").alias("n"))
-    cut_array = F.split(F.lit(" ".join(map(repr, cuts))), " ").try_cast("array<double>")
-    ranged = counts.withColumn("_b", _range_of(F.col(value), cut_array, buckets))
+    ranged = counts.withColumn("_b", _range_of(F.col(value), _literal(cuts), buckets))
     inside = Window.partitionBy("_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(F.lit(0))
     before = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -69,7 +80,13 @@ def average_ranks(df: DataFrame, value: str, buckets: int | None = None) -> Data
 
 
 def with_average_rank(
-    df: DataFrame, value: str, key: str, name: str = "rank", buckets: int | None = None, centred: bool = False
+    df: DataFrame,
+    value: str,
+    key: str,
+    name: str = "rank",
+    buckets: int | None = None,
+    centred: bool = False,
+    cuts: Sequence[float] | None = None,
 ) -> DataFrame:
     """Add the average rank of `value` to every row, less the mean rank when `centred`.
 
@@ -78,7 +95,7 @@ def with_average_rank(
     rest.
     """
     require(df, value, key)
-    ranks = average_ranks(df, value, buckets)
+    ranks = average_ranks(df, value, buckets, cuts)
     if centred:
         ranks = ranks.withColumn("rank", F.col("rank") - (F.col("rows") + 1) / 2)
     is_hot = F.col("n") * HOT_VALUES > F.col("rows")
@@ -93,44 +110,38 @@ def with_average_rank(
     return met.select(*df.columns, F.coalesce("_hot", "_cold").alias(name))
 
 
-def _cuts(rows: DataFrame, by: Sequence[str], x: str, buckets: int) -> DataFrame:
-    """Approximate quantiles of x and the number of rows, one row per group of `by`."""
-    return rows.groupBy(*by).agg(
-        F.percentile_approx(F.col(x).cast("double"), _probabilities(buckets), 4 * buckets).alias("_cuts"),
-        F.count("*").alias("_rows"),
-    )
-
-
 def _rank_correlation(
-    rows: DataFrame, cuts: DataFrame, by: Sequence[str], x: str, y_rank: str, buckets: int
+    rows: DataFrame, cuts: DataFrame | Sequence[float], by: Sequence[str], x: str, y_rank: str, buckets: int
 ) -> DataFrame:
     """Correlation of the ranks of `x` with given centred ranks, per group of `by`.
 
     With N rows the mean rank is (N + 1) / 2, so all sums are taken around it.
     Each range of x is summed up with ranks counted from its own start; its
     offset enters afterwards, on a table of at most `buckets` rows per group.
-    The number of groups must be bounded: the cuts of all groups are broadcast.
+    `cuts` are numbers, or a table of them per group (column `_cuts`) that is
+    broadcast, so the number of groups must be bounded.
     """
     keys = list(by)
-    centre = (F.col("_rows") + 1) / 2
     values = rows.groupBy(*keys, x).agg(
         F.count("*").alias("n"),
         F.sum(y_rank).alias("_y"),
         F.sum(F.col(y_rank) * F.col(y_rank)).alias("_yy"),
     )
-    ranged = values.join(F.broadcast(cuts), keys).withColumn("_b", _range_of(F.col(x), F.col("_cuts"), buckets))
+    if isinstance(cuts, DataFrame):
+        values, cut_array = values.join(F.broadcast(cuts), keys), F.col("_cuts")
+    else:
+        cut_array = _literal(cuts)
+    ranged = values.withColumn("_b", _range_of(F.col(x).cast("double"), cut_array, buckets))
     inside = Window.partitionBy(*keys, "_b").orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
     local = ranged.select(
         *keys,
         "_b",
         "n",
-        "_rows",
         (F.coalesce(F.sum("n").over(inside), F.lit(0)) + (F.col("n") + 1) / 2).alias("_r"),
         "_y",
         "_yy",
     )
     sums = local.groupBy(*keys, "_b").agg(
-        F.first("_rows").alias("_rows"),
         F.sum("n").alias("n"),
         F.sum(F.col("n") * F.col("_r")).alias("_r"),
         F.sum(F.col("n") * F.col("_r") * F.col("_r")).alias("_rr"),
@@ -138,8 +149,9 @@ def _rank_correlation(
         F.sum("_yy").alias("_yy"),
         F.sum(F.col("_r") * F.col("_y")).alias("_ry"),
     )
-    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    shift = F.coalesce(F.sum("n").over(before), F.lit(0)) - centre
+    whole = Window.partitionBy(*(keys or [F.lit(0)]))
+    before = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    shift = F.coalesce(F.sum("n").over(before), F.lit(0)) - (F.sum("n").over(whole) + 1) / 2
     moved = sums.withColumn("_s", shift)
     s = F.col("_s")
     per_group = moved.groupBy(*keys).agg(
@@ -155,10 +167,12 @@ def spearman(df: DataFrame, x: str, y: str, key: str = "id", buckets: int | None
     """Rank correlation of two columns over the rows that have both; null for a constant column."""
     require(df, x, y, key)
     buckets = buckets or _default_buckets(df)
-    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(key, x, y)
-    cuts = _cuts(both.withColumn("_all", F.lit(0)), ["_all"], x, buckets)
-    ranked = with_average_rank(both, y, key, "_ry", buckets, centred=True).withColumn("_all", F.lit(0))
-    return _rank_correlation(ranked, cuts, ["_all"], x, "_ry", buckets).select("corr")
+    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
+        key, *[F.col(c).cast("double").alias(c) for c in (x, y)]
+    )
+    cuts = _quantiles(both, [x, y], buckets)
+    ranked = with_average_rank(both, y, key, "_ry", buckets, centred=True, cuts=cuts[1])
+    return _rank_correlation(ranked, cuts[0], [], x, "_ry", buckets)
 
 
 def verbosity_penalties(
@@ -223,7 +237,9 @@ def _search(ranked, n_obj, dim, threshold, grid, per_pass, decimals, buckets):
             ]
         )
         rows = ranked.select("_ry", F.inline(tried))
-        cuts = _cuts(rows, ["j", "p"], "x", buckets)
+        cuts = rows.groupBy("j", "p").agg(
+            F.percentile_approx("x", _probabilities(buckets), 4 * buckets).alias("_cuts")
+        )
         corrs = _rank_correlation(rows, cuts, ["j", "p"], "x", "_ry", buckets)
         for row in sorted(corrs.collect()):
             if row.j in found or row.corr is None:

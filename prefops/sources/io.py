@@ -101,22 +101,19 @@ def read_shards(spark: SparkSession, pattern: str, format: str = "parquet", merg
 
 
 def write_shards(df: DataFrame, path: str, n: int, key: str | None = None, mode: str = "errorifexists") -> None:
-    """n files of about the same size; with `key`, a row's file depends on its key only."""
-    spread = df.repartition(n) if key is None else df.repartition(n, F.pmod(F.xxhash64(key), F.lit(n * 64)))
-    spread.write.mode(mode).parquet(path)
+    """n files of about the same size; with a unique `key`, a row's file depends on its key only."""
+    spread_rows = df.repartition(n) if key is None else df.repartition(n, key)
+    spread_rows.write.mode(mode).parquet(path)
 
 
-def write_judgements(
-    df: DataFrame, path: str, format: str = "parquet", mode: str = "append", files_per_model: int = 1
-) -> None:
+def write_judgements(df: DataFrame, path: str, format: str = "parquet", mode: str = "append") -> None:
     """Result rows in one folder per model and split.
 
-    A model's rows are spread over `files_per_model` tasks, so that one with
-    most of the rows is not written by a single task.
+    The rebalance hint brings the rows of a folder together and splits those of
+    a model that has very many over several tasks.
     """
     require(df, *JUDGEMENT.fieldNames())
-    part = F.pmod(F.xxhash64("index"), F.lit(files_per_model))
-    rows = df.select(*JUDGEMENT.fieldNames()).repartition("model", "split", part)
+    rows = df.select(*JUDGEMENT.fieldNames()).hint("rebalance", "model", "split")
     writer = rows.write.mode(mode).partitionBy("model", "split").format(format)
     if format == "csv":
         writer = writer.options(**CSV_TEXT, quoteAll=True)

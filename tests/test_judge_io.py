@@ -68,7 +68,7 @@ def test_judgements_come_back_as_they_were(spark, tmp_path, format):
     texts = ['a "quoted", text', "two\nlines", "", "back\\slash", " blank ", "A"]
     rows = [("train", i, "m", "A", "B", -1, t, t) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, JUDGEMENT)
-    io.write_judgements(df, str(tmp_path / "j"), format, files_per_model=3)
+    io.write_judgements(df, str(tmp_path / "j"), format)
     back = io.read_judgements(spark, str(tmp_path / "j"), format).orderBy("index")
     assert [tuple(r) for r in back.collect()] == rows
 
