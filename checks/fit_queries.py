@@ -135,6 +135,24 @@ def m6_pairs(spark, d):
     return scored.select("pair_id", r6("score_chosen").alias("score_chosen"), r6("score_rejected").alias("score_rejected"), "correct")
 
 
+@query(
+    "m6_mixture_pairs_over_sides",
+    f"""with {I.PAIR_EMBEDDINGS}, {I.sql_matrix('w', 15, N)}, {I.sql_matrix('g', 20, N)},
+    terms as (select pair_id, w.j, list_inner_product(chosen_emb::double[], w.w) as rc, list_inner_product(rejected_emb::double[], w.w) as rr,
+                     1 / (1 + exp((list_inner_product(list_reverse(rejected_emb)::double[], g.w)
+                                 - list_inner_product(chosen_prompt_emb::double[], g.w)) / {TEMPERATURE}::double)) as s
+              from pair_embeddings, w join g on g.j = w.j),
+    scored as (select pair_id, sum(rc * s) as sc, sum(rr * (1 - s)) as sr from terms group by pair_id)
+    select pair_id, {sql_r6('sc')} as score_chosen, {sql_r6('sr')} as score_rejected,
+        case when sc > sr then 1.0::double else 0.0::double end as correct from scored""",
+)
+def m6_sides(spark, d):
+    """With a prompt vector of its own for the rejected side; equal ones would weigh both sides by a half."""
+    pairs = I.pair_embeddings(spark, d).withColumn("rejected_prompt_emb", F.reverse("rejected_emb"))
+    scored = fit.mixture_pairs(pairs, W, [(GATE, None)], TEMPERATURE, over="sides")
+    return scored.select("pair_id", r6("score_chosen").alias("score_chosen"), r6("score_rejected").alias("score_rejected"), "correct")
+
+
 @query("reward_mixture")
 def mixture(spark, d):
     """Probes, penalties and gate in a row, and the accuracy on the left-out pairs."""

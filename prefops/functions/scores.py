@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -133,16 +133,27 @@ def objective_rewards(embedding: str | Column, weights: np.ndarray) -> Column:
     return product(_col(embedding))
 
 
+def gate_logits(
+    prompt_embedding: str | Column, layers: Sequence[tuple[np.ndarray, np.ndarray | None]]
+) -> Column:
+    """Output of the gate's layers: Linear+ReLU for all but the last.
+
+    `layers` holds (weight out×in, bias or None).
+    """
+    return _gate(prompt_embedding, layers, lambda x: x)
+
+
 def gate_weights(
     prompt_embedding: str | Column,
     layers: Sequence[tuple[np.ndarray, np.ndarray | None]],
     temperature: float = 10.0,
     logit_scale: float = 1.0,
 ) -> Column:
-    """Softmax gate: Linear+ReLU for all but the last layer, then softmax(x / T) × scale.
+    """Softmax gate over the objectives: softmax(logits / T) × scale."""
+    return _gate(prompt_embedding, layers, lambda x: softmax_rows(x, temperature) * logit_scale)
 
-    `layers` holds (weight out×in, bias or None).
-    """
+
+def _gate(embedding: str | Column, layers: Sequence, finish: Callable[[np.ndarray], np.ndarray]) -> Column:
     frozen = [
         (np.asarray(w, dtype=np.float64).T.copy(), None if b is None else np.asarray(b, dtype=np.float64))
         for w, b in layers
@@ -157,9 +168,15 @@ def gate_weights(
             x = x @ w if b is None else x @ w + b
             if i < len(frozen) - 1:
                 x = np.maximum(x, 0.0)
-        return _like(softmax_rows(x, temperature) * logit_scale, batch)
+        return _like(finish(x), batch)
+
+    return gate(_col(embedding))
+
 
-    return gate(_col(prompt_embedding))
+def side_weights(logits: str | Column, other: str | Column, temperature: float = 10.0) -> Column:
+    """Gate normalised between the two sides of a pair, objective by objective."""
+    t = F.lit(float(temperature))
+    return F.zip_with(_col(logits), _col(other), lambda a, b: sigmoid((a - b) / t))
 
 
 def softmax_rows(x: np.ndarray, temperature: float) -> np.ndarray:

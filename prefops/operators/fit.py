@@ -268,34 +268,51 @@ class Gate:
     weight: np.ndarray
     bias: np.ndarray
     temperature: float
+    over: str = "objectives"
     losses: list[float] = field(default_factory=list)
 
-    def weights(self, prompt_embedding: str | Column) -> Column:
-        return S.gate_weights(prompt_embedding, [(self.weight, self.bias)], self.temperature)
 
+def _over_objectives(z: dict, r: dict, t: float) -> tuple[np.ndarray, dict]:
+    """Score gap of a batch and its slope by the logits of each side, softmax over objectives."""
+    gap, slopes = 0.0, {}
+    for side, sign in SIGNS.items():
+        g = S.softmax_rows(z[side], t)
+        score = (g * r[side]).sum(axis=1)
+        gap = gap + sign * score
+        slopes[side] = sign * g * (r[side] - score[:, None]) / t
+    return gap, slopes
 
-def _gate_partials(weight: np.ndarray, bias: np.ndarray, temperature: float) -> Callable:
+
+def _over_sides(z: dict, r: dict, t: float) -> tuple[np.ndarray, dict]:
+    """The same with the softmax over the two sides of a pair."""
+    g = 1.0 / (1.0 + np.exp(np.clip((z["rejected"] - z["chosen"]) / t, -700, 700)))
+    gap = (g * r["chosen"] - (1.0 - g) * r["rejected"]).sum(axis=1)
+    slope = g * (1.0 - g) * (r["chosen"] + r["rejected"]) / t
+    return gap, {"chosen": slope, "rejected": -slope}
+
+
+SIGNS = {"chosen": 1.0, "rejected": -1.0}
+GATE_FORMS = {"objectives": _over_objectives, "sides": _over_sides}
+
+
+def _gate_partials(weight: np.ndarray, bias: np.ndarray, temperature: float, over: str) -> Callable:
     """Per task: sum of losses, rows, and gradient by weight and bias, as one array."""
+    form = GATE_FORMS[over]
 
     def partials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(2 + weight.size + bias.size)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sides = []
-            gap = np.zeros(batch.num_rows)
-            for sign, side in ((1.0, "chosen"), (-1.0, "rejected")):
-                x, r = S.matrix(batch.column(f"{side}_prompt")), S.matrix(batch.column(f"{side}_rewards"))
-                g = S.softmax_rows(x @ weight.T + bias, temperature)
-                score = (g * r).sum(axis=1)
-                gap += sign * score
-                sides.append((sign, x, g * (r - score[:, None]) / temperature))
+            x = {side: S.matrix(batch.column(f"{side}_prompt")) for side in SIGNS}
+            r = {side: S.matrix(batch.column(f"{side}_rewards")) for side in SIGNS}
+            gap, slopes = form({side: x[side] @ weight.T + bias for side in SIGNS}, r, temperature)
             total[0] += np.logaddexp(0.0, -gap).sum()
             total[1] += len(gap)
-            slope = -1.0 / (1.0 + np.exp(np.clip(gap, -700, 700)))
-            for sign, x, by_logit in sides:
-                dz = (sign * slope)[:, None] * by_logit
-                total[2 : 2 + weight.size] += (dz.T @ x).reshape(-1)
+            by_gap = -1.0 / (1.0 + np.exp(np.clip(gap, -700, 700)))
+            for side in SIGNS:
+                dz = by_gap[:, None] * slopes[side]
+                total[2 : 2 + weight.size] += (dz.T @ x[side]).reshape(-1)
                 total[2 + weight.size :] += dz.sum(axis=0)
         yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], names=["v"])
 
@@ -311,13 +328,15 @@ def fit_gate(
     temperature: float = 10.0,
     weight_decay: float = 0.0,
     seed: int = 0,
+    over: str = "objectives",
 ) -> Gate:
     """Softmax gate on the prompt embedding under the pairwise logistic loss of the mixture.
 
     Rows have `chosen_prompt`, `rejected_prompt` (d) and `chosen_rewards`,
     `rejected_rewards` (objectives). Every step takes the gradient over all rows
     in one job; AdamW with a cosine schedule moves the objectives × d weights on
-    the driver. The input is persisted, since every step reads it.
+    the driver. The input is persisted, since every step reads it. `over` is as
+    in `mixture_pairs`.
     """
     cols = ["chosen_prompt", "rejected_prompt", "chosen_rewards", "rejected_rewards"]
     require(df, *cols)
@@ -330,7 +349,7 @@ def fit_gate(
     try:
         for step in range(steps):
             w, b = theta[: objectives * dim].reshape(objectives, dim), theta[objectives * dim :]
-            parts = rows.mapInArrow(_gate_partials(w, b, temperature), "v array<double>")
+            parts = rows.mapInArrow(_gate_partials(w, b, temperature, over), "v array<double>")
             total = parts.agg(Summarizer.sum(array_to_vector("v")).alias("v")).first()["v"].toArray()
             if not total[1]:
                 raise ValueError("no rows to fit the gate on")
@@ -344,7 +363,7 @@ def fit_gate(
     finally:
         rows.unpersist()
     w, b = theta[: objectives * dim].reshape(objectives, dim), theta[objectives * dim :]
-    return Gate(w, b, temperature, losses)
+    return Gate(w, b, temperature, over, losses)
 
 
 def mixture_pairs(
@@ -354,15 +373,27 @@ def mixture_pairs(
     temperature: float = 10.0,
     penalties: Sequence[float] | None = None,
     dim: int = K.VERBOSITY_DIM,
+    over: str = "objectives",
 ) -> DataFrame:
-    """Score both sides of embedded pairs with the gated mixture: adds score_chosen, score_rejected, correct."""
+    """Score both sides of embedded pairs with the gated mixture: adds score_chosen, score_rejected, correct.
+
+    The gate's softmax runs over the objectives of one answer. `over="sides"`
+    runs it between the two answers of a pair, objective by objective, which is
+    what a softmax over the second axis does to a (pairs, 2, objectives) array.
+    """
     require(df, "chosen_emb", "rejected_emb", "chosen_prompt_emb", "rejected_prompt_emb")
+    if over not in GATE_FORMS:
+        raise ValueError(over)
     out = df
-    for side in ("chosen", "rejected"):
-        out = out.withColumn(f"_r_{side}", S.objective_rewards(f"{side}_emb", weights)).withColumn(
-            f"_g_{side}", S.gate_weights(f"{side}_prompt_emb", layers, temperature)
+    for side in SIGNS:
+        prompt = f"{side}_prompt_emb"
+        gate = S.gate_weights(prompt, layers, temperature) if over == "objectives" else S.gate_logits(prompt, layers)
+        out = out.withColumn(f"_r_{side}", S.objective_rewards(f"{side}_emb", weights)).withColumn(f"_g_{side}", gate)
+    if over == "sides":
+        out = out.withColumn("_g_chosen", S.side_weights("_g_chosen", "_g_rejected", temperature)).withColumn(
+            "_g_rejected", F.transform("_g_chosen", lambda g: 1.0 - g)
         )
-    for side in ("chosen", "rejected"):
+    for side in SIGNS:
         out = out.withColumn(f"score_{side}", S.mixture_score(f"_r_{side}", f"_g_{side}", penalties, dim))
     return out.withColumn("correct", S.pair_outcome("score_chosen", "score_rejected", ties="lose")).select(
         *df.columns, "score_chosen", "score_rejected", "correct"

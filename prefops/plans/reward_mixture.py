@@ -55,6 +55,7 @@ def fit_mixture(
     steps: int = 100,
     lr: float = 1e-3,
     temperature: float = 10.0,
+    over: str = "objectives",
 ) -> Mixture:
     """Ridge probes, verbosity penalties and gate.
 
@@ -65,7 +66,7 @@ def fit_mixture(
     table = ranks.verbosity_penalties(pooled_rewards(pairs, weights, pair_key), objectives=len(weights), dim=dim)
     penalties = [r["penalty"] for r in table.orderBy("objective").collect()]
     train = train_val_split(pairs, pair_key, 0.2, 0).where(~F.col("is_val"))
-    gate = fit.fit_gate(gate_rows(train, weights), *weights.shape, steps=steps, lr=lr, temperature=temperature)
+    gate = fit.fit_gate(gate_rows(train, weights), *weights.shape, steps=steps, lr=lr, temperature=temperature, over=over)
     return Mixture(weights, penalties, gate)
 
 
@@ -73,7 +74,7 @@ def scored_pairs(pairs: DataFrame, mixture: Mixture, debias: bool = False, dim:
     """Pairs with the mixture score of both sides; raw rewards unless `debias`."""
     g = mixture.gate
     return fit.mixture_pairs(
-        pairs, mixture.weights, [(g.weight, g.bias)], g.temperature, mixture.penalties if debias else None, dim
+        pairs, mixture.weights, [(g.weight, g.bias)], g.temperature, mixture.penalties if debias else None, dim, g.over
     )
 
 

@@ -155,6 +155,32 @@ def test_gate_follows_the_dense_gradient(embedded):
     assert gate.losses[-1] < gate.losses[0]
 
 
+@pytest.mark.parametrize("over", ["objectives", "sides"])
+def test_gate_slopes_are_derivatives(over):
+    rng = np.random.default_rng(7)
+    z = {s: rng.normal(size=(3, 4)) for s in fit.SIGNS}
+    r = {s: rng.normal(size=(3, 4)) for s in fit.SIGNS}
+    gap, slopes = fit.GATE_FORMS[over](z, r, 0.7)
+    for side in fit.SIGNS:
+        for i in range(3):
+            for j in range(4):
+                moved = {s: v.copy() for s, v in z.items()}
+                moved[side][i, j] += 1e-6
+                slope = (fit.GATE_FORMS[over](moved, r, 0.7)[0][i] - gap[i]) / 1e-6
+                assert slope == pytest.approx(slopes[side][i, j], abs=1e-5)
+
+
+def test_gate_over_sides_learns_from_different_prompts(embedded):
+    df, *_ = embedded
+    pairs = df.withColumn("rejected_prompt_emb", F.reverse("rejected_emb"))
+    w = np.random.default_rng(5).normal(size=(3, 4))
+    gate = fit.fit_gate(reward_mixture.gate_rows(pairs, w), 3, 4, steps=8, lr=0.05, temperature=1.0, over="sides")
+    assert gate.losses[-1] < gate.losses[0]
+    same = fit.mixture_pairs(df, w, [(gate.weight, gate.bias)], 1.0, over="sides")
+    even = same.select(F.abs(F.col("score_chosen") - S.dot(S.objective_rewards("chosen_emb", w), F.array(*[F.lit(0.5)] * 3))))
+    assert max(r[0] for r in even.collect()) < 1e-9
+
+
 def test_tree_learns_a_threshold(spark):
     rng = np.random.default_rng(6)
     a, b = rng.normal(size=(300, 5)), rng.normal(size=(300, 5))

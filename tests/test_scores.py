@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from prefops import constants as K
 from prefops.functions import scores as S
-from prefops.operators import benchmark, ranking, ranks, stats
+from prefops.operators import benchmark, ranking, ranks, stats, steps
 
 RNG = np.random.default_rng(0)
 
@@ -211,6 +211,13 @@ def answers(spark, rows):
     return spark.createDataFrame(rows, "q_id int, ans_idx int, score double, label int")
 
 
+def test_answer_arrays_explode_in_order(spark):
+    df = spark.createDataFrame([(1, "p", ["x", "y", "z"], [0, 1, 0])], "q_id int, prompt string, answers array<string>, label array<int>")
+    first = steps.first_n_answers(df, 2)
+    assert [tuple(r) for r in steps.explode_answers(first).orderBy("ans_idx").collect()] == [(1, "p", 0, "x", 0), (1, "p", 1, "y", 1)]
+    assert steps.first_n_answers(steps.explode_answers(df), 2).count() == 2
+
+
 def test_best_of_n_ties_and_limit(spark):
     df = answers(spark, [(1, 0, 0.5, 0), (1, 1, 0.5, 1), (1, 2, 0.9, 1), (2, 0, 0.1, 1)])
     got = {r["q_id"]: (r["ans_idx"], r["correct"]) for r in ranking.best_of_n(df, 2).collect()}
