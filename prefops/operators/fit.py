@@ -31,18 +31,20 @@ from prefops.functions import scores as S
 from prefops.operators import benchmark
 from prefops.operators.ordering import train_val_split
 from prefops.schema import require
+from prefops.sources.io import written
 
 OPEN_PATTERNS = 8
 
 
 def _fewer_partitions(df: DataFrame) -> DataFrame:
-    """About one partition per core, so that partial sums are few; moves no rows.
+    """At most one partition per core, so that partial sums are few; moves no rows.
 
-    Executors may not have come up yet, so the shuffle partitions count as well.
+    Where executors come up later, spark.default.parallelism says how many cores
+    there will be. A task then works through several input partitions one after
+    the other, so the input should be a scan and not a join or an aggregate, which
+    would hold memory for each of them.
     """
-    spark = df.sparkSession
-    shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return df.coalesce(max(spark.sparkContext.defaultParallelism, shuffled))
+    return df.coalesce(max(1, df.sparkSession.sparkContext.defaultParallelism))
 
 
 def gram_partials(df: DataFrame, features: str, attrs: Sequence[str], split: str) -> DataFrame:
@@ -116,7 +118,8 @@ def ridge_path(
     Fitted on the rows outside `split`, loss is the mean squared error inside
     it. An attribute without a label on either side has no row. Partial sums are
     added up per matrix row, then each attribute is solved from its d × d system
-    in a task of its own; the loss comes from the same sums.
+    in a task of its own; the loss comes from the same sums. `df` should be a
+    table: it is read once, by one task per core.
     """
     require(df, features, split, *attrs)
     parts = gram_partials(df, features, attrs, split)
@@ -335,8 +338,9 @@ def fit_gate(
     Rows have `chosen_prompt`, `rejected_prompt` (d) and `chosen_rewards`,
     `rejected_rewards` (objectives). Every step takes the gradient over all rows
     in one job; AdamW with a cosine schedule moves the objectives × d weights on
-    the driver. The input is persisted, since every step reads it. `over` is as
-    in `mixture_pairs`.
+    the driver. The rows are written to the shared folder once and kept in
+    memory from there, since every step reads them. `over` is as in
+    `mixture_pairs`.
     """
     cols = ["chosen_prompt", "rejected_prompt", "chosen_rewards", "rejected_rewards"]
     require(df, *cols)
@@ -345,7 +349,8 @@ def fit_gate(
     theta = rng.uniform(-bound, bound, objectives * (dim + 1))
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     losses = []
-    rows = _fewer_partitions(df.select(*cols).dropna()).persist(StorageLevel.MEMORY_AND_DISK)
+    table = written(df.select(*cols).dropna(), "gate")
+    rows = _fewer_partitions(table).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         for step in range(steps):
             w, b = theta[: objectives * dim].reshape(objectives, dim), theta[objectives * dim :]

@@ -12,18 +12,18 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from prefops import constants as K
 from prefops.schema import require
+from prefops.sources.io import written
 
 HOT_VALUES = 2048
 
 
-def _default_buckets(df: DataFrame) -> int:
-    """A power of two, at least twice the shuffle partitions."""
+def _default_buckets(df: DataFrame, groups: int = 1) -> int:
+    """A power of two; over all groups at least twice the shuffle partitions."""
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return 1 << (2 * partitions - 1).bit_length()
+    return max(16, 1 << (2 * partitions // groups).bit_length())
 
 
 def _probabilities(buckets: int) -> list[float]:
@@ -35,9 +35,9 @@ def _quantiles(df: DataFrame, columns: list[str], buckets: int) -> list[list[flo
     return df.approxQuantile(columns, _probabilities(buckets), 0.25 / buckets)
 
 
-def _literal(cuts: Sequence[float]) -> Column:
-    """The cuts as one literal, which is folded once and not built number by number."""
-    return F.split(F.lit(" ".join(map(repr, cuts))), " ").try_cast("array<double>")
+def _literal(numbers: Sequence[float]) -> Column:
+    """Numbers as one literal, which is folded once and not built number by number."""
+    return F.split(F.lit(" ".join(map(repr, numbers))), " ").try_cast("array<double>")
 
 
 def _range_of(value: Column, cuts: Column, buckets: int) -> Column:
@@ -196,24 +196,21 @@ def verbosity_penalties(
 
     The grid is searched in ascending chunks of `per_pass`, and an objective
     that has passed leaves the next chunk, so most of the grid is usually never
-    computed. A pass returns objectives × per_pass numbers to the driver.
+    computed. A pass returns objectives × per_pass numbers to the driver. The
+    rewards, and then the rewards with the rank of `dim`, are written to the
+    shared folder, so that a pass starts from a table.
     """
     require(df, rewards, key)
     spark = df.sparkSession
     r = F.col(rewards)
-    buckets = buckets or _default_buckets(df)
     n_obj = objectives or df.select(F.max(F.size(rewards))).first()[0]
     rounded = df.select(
         key, F.transform(r, lambda v: F.round(v.cast("double"), decimals)).alias("_r")
     ).withColumn("_v", F.get("_r", F.lit(dim)))
-    rounded = rounded.persist(StorageLevel.MEMORY_AND_DISK)
+    rounded = written(rounded, "rewards")
     ranked = with_average_rank(rounded, "_v", key, "_ry", buckets, centred=True).select("_r", "_v", "_ry")
-    ranked = ranked.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        found, least = _search(ranked, n_obj, dim, threshold, sorted(grid), per_pass, decimals, buckets)
-    finally:
-        ranked.unpersist()
-        rounded.unpersist()
+    ranked = written(ranked, "ranked-rewards")
+    found, least = _search(ranked, n_obj, dim, threshold, sorted(grid), per_pass, decimals, buckets)
     return _penalty_table(spark, n_obj, found, least)
 
 
@@ -237,10 +234,11 @@ def _search(ranked, n_obj, dim, threshold, grid, per_pass, decimals, buckets):
             ]
         )
         rows = ranked.select("_ry", F.inline(tried))
+        ranges = buckets or _default_buckets(ranked, len(open_objectives) * len(chunk))
         cuts = rows.groupBy("j", "p").agg(
-            F.percentile_approx("x", _probabilities(buckets), 4 * buckets).alias("_cuts")
+            F.percentile_approx("x", _literal(_probabilities(ranges)), 16 * ranges).alias("_cuts")
         )
-        corrs = _rank_correlation(rows, cuts, ["j", "p"], "x", "_ry", buckets)
+        corrs = _rank_correlation(rows, cuts, ["j", "p"], "x", "_ry", ranges)
         for row in sorted(corrs.collect()):
             if row.j in found or row.corr is None:
                 continue
