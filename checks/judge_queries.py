@@ -150,8 +150,7 @@ def _sql_models() -> str:
 def f7(spark, d):
     """Answers of the usable judges below 70B."""
     usable = judge.usable_models(judge.judge_models(spark), max_size=70.0)
-    # The registry has as many rows as there are judge models.
-    return I.raw_answers(spark, d).select("index", "model").join(F.broadcast(usable.select("model")), "model", "left_semi")
+    return I.raw_answers(spark, d).select("index", "model").join(usable.select("model"), "model", "left_semi")
 
 
 # Resuming and merging

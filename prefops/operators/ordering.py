@@ -24,7 +24,11 @@ def _upto(last: int) -> Window:
 def dense_index(
     df: DataFrame, key: str, seed: int | str, name: str = "shuffle_index", bits: int = BUCKET_BITS
 ) -> DataFrame:
-    """Add a 0-based dense index in the order of (hash(seed, key), key). `key` must be unique."""
+    """Add a 0-based dense index in the order of (hash(seed, key), key).
+
+    `key` must be unique. `df` is read twice, once for its keys alone, so it
+    should be a table or a plan that is cheap to repeat.
+    """
     require(df, key)
     keyed = df.withColumn("_h", portable_hash(seed, key)).withColumn("_b", F.shiftright("_h", HASH_BITS - bits))
     sizes = keyed.groupBy("_b").agg(F.count("*").alias("_n"))

@@ -13,6 +13,7 @@ from prefops.functions import text as X
 from prefops.functions.rand import coin
 from prefops.operators.ordering import shuffle_index
 from prefops.schema import require
+from prefops.sources.io import written
 
 
 def to_standard_pairs(df: DataFrame) -> DataFrame:
@@ -155,7 +156,8 @@ def combine(sources: Mapping[str, DataFrame], key: str = "pair_id", seed: int |
     """Valid pairs of every source as prompts, in one shuffled bag.
 
     A row is known by its source and its key there, so equal keys of two
-    sources stay apart.
+    sources stay apart. The bag is written to the shared folder before it is
+    shuffled, because its order is drawn from its keys alone.
     """
     parts = [
         pair_prompt(valid_pairs(df), key, f"{seed}:{name}").select(
@@ -166,7 +168,7 @@ def combine(sources: Mapping[str, DataFrame], key: str = "pair_id", seed: int |
     bag = parts[0]
     for part in parts[1:]:
         bag = bag.unionByName(part)
-    return shuffle_index(bag, "row_id", seed)
+    return shuffle_index(written(bag, "bag"), "row_id", seed)
 
 
 def unpivot_pairs(

@@ -27,7 +27,7 @@ def questions_to_ask(df: DataFrame, done: DataFrame, models: DataFrame) -> DataF
     `df` has one row per question and model (`model`, `split`, `index`, `prompt`,
     `response_1`, `response_2`).
     """
-    wanted = df.join(F.broadcast(models.select("model")), "model", "left_semi")
+    wanted = df.join(models.select("model"), "model", "left_semi")
     left = judge.pending(wanted, done)
     prompts = judge.judge_prompts(
         left.withColumn("_key", F.struct("model", "split", "index")), "_key"

@@ -36,7 +36,9 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def label_batch(answers: DataFrame, batch_id: int, path: str) -> None:
     """Judge the answers of one micro-batch that no earlier batch has judged."""
     spark = answers.sparkSession
-    fresh = answers.dropDuplicates(list(judge.RESULT_KEYS))
+    # Of answers to one question in one batch, always the same one.
+    one = F.max(F.struct("response_orig", "response_swapped")).alias("_a")
+    fresh = answers.groupBy(*judge.RESULT_KEYS).agg(one).select(*judge.RESULT_KEYS, "_a.*")
     if _exists(spark, path):
         done = spark.read.schema(RESULTS).parquet(path).where(F.col("batch_id") < batch_id)
         fresh = judge.pending(fresh, done)

@@ -30,3 +30,13 @@ def test_entry(spark):
 
 def test_every_sql_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
+
+
+LAZY = [n for n in sorted(QUERIES) if n[0] in "ftpc" and not n.startswith(("c1_", "c12", "p16"))] + ["a7_spearman", "m1_fit_ridge_probe"]
+
+
+@pytest.mark.parametrize("name", LAZY)
+def test_plan_has_no_cross_join_and_no_row_by_row_python(spark, sf_dir, name):
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    for word in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
+        assert word not in plan
