@@ -120,6 +120,14 @@ def test_score_batches(spark):
     assert out.count() == 100
 
 
+def test_score_batches_leaves_other_columns_alone(spark):
+    big = 2**62 + 1
+    rows = [(big, None, ["a"]), (None, 1.5, None)]
+    df = spark.createDataFrame(rows, "id long, x double, tags array<string>").coalesce(1)
+    out = scoring.score_batches(df, lambda: lambda f: f.assign(p=[0.5, None]), ["x"], "p double")
+    assert [tuple(r) for r in out.collect()] == [(*rows[0], 0.5), (*rows[1], None)]
+
+
 def test_score_batches_needs_a_score_per_row(spark):
     df = spark.range(10)
     short = scoring.score_batches(df, lambda: lambda f: f.head(1).rename(columns={"id": "n"}), ["id"], "n long")
