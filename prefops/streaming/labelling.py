@@ -1,6 +1,6 @@
 """Resumable labelling on a stream of raw judge answers.
 
-The reference run stops and starts again, skipping what it has. Here a stream
+A labelling run may stop and start again, skipping what it has. Here a stream
 reads new answer files, each micro-batch keeps the keys that have no result
 yet, and writes them to a folder named after the batch. A batch that is run
 again after a failure overwrites its own folder and nothing else.
