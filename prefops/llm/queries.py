@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefops.llm import decontaminate, quality, secrets
+from prefops.llm import decontaminate, jaccard, quality, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -68,6 +68,25 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids.cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
+@query(
+    "op6_jaccard_join",
+    rf"""
+with recursive w as (select doc_id, regexp_extract_all({SQL_LOWER}, '[^\x20\x09-\x0D]+') ws from documents),
+  p as (select doc_id, ws, unnest(generate_series(1, greatest(len(ws) - 4, 1))) i from w where len(ws) > 0),
+  s as (select distinct doc_id, array_to_string(ws[i:i + 4], ' ') g from p),
+  n as (select doc_id, count(*) n from s group by doc_id),
+  c as (select a.doc_id x, b.doc_id y, count(*) c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+  l as (select x, y from c join n a on a.doc_id = x join n b on b.doc_id = y where 100 * c >= 80 * (a.n + b.n - c)),
+  e as (select x, y from l union all select y, x from l),
+  r(doc_id, root) as (select doc_id, doc_id from documents union select e.y, r.root from r join e on e.x = r.doc_id),
+  m as (select doc_id, min(root) component_id from r group by doc_id)
+select m.doc_id, coalesce(n, 0) n_shingles, component_id from m left join n on n.doc_id = m.doc_id
+""",
+)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def joined_spans(spans: F.Column) -> F.Column:
     """kind:start:end of every span, joined by commas."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
