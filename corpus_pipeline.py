@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefops.llm import decontaminate, jaccard, quality, queries, secrets
+from prefops.llm import bpe, decontaminate, jaccard, quality, queries, secrets
 from prefops.sources import io
 
 
@@ -41,11 +41,19 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return with_text(found, docs.columns, "clean_text")
 
 
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of every document, and the digest of the text that they decode to."""
+    ranks, pattern = public_tokenizers.path(queries.BPE_RANKS), public_tokenizers.PATTERN
+    ids = bpe.encode(docs, ranks, pattern)
+    return bpe.decode(ids, ranks, pattern).select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("text_sha256"))
+
+
 STAGES = [
     ("quality rules", quality_rules),
     ("n-gram Jaccard join", near_duplicates),
     ("benchmark decontamination", decontamination),
     ("secret scans", secret_scan),
+    ("byte-level BPE", token_ids),
 ]
 
 #: The quality score, the random strings and the token ids are beyond SQL.

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefops.llm import decontaminate, jaccard, quality, secrets
+from prefops.llm import bpe, decontaminate, jaccard, quality, secrets, tokenfile
+from prefops.sources import io
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +18,8 @@ ORACLES: dict[str, str] = {}
 
 SQL_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 BPE_RANKS = "byte_bpe_50k.tiktoken"
+BPE_TOKENIZER = "byte_bpe_50k.json"
+END_ID = 2
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -45,6 +48,18 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, trusted_texts(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
 
 
+def hex_sha256(binary: str) -> Column:
+    return F.sha2(F.col(binary), 256)
+
+
+@query("op4_byte_bpe")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks, pattern = public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN
+    ids = bpe.encode(table(spark, sf_dir, "documents"), ranks, pattern)
+    both = bpe.decode(ids, ranks, pattern, keep=["doc_id", "n_tokens"])
+    return both.select("doc_id", "n_tokens", hex_sha256("packed").alias("ids_sha256"), hex_sha256("decoded").alias("decoded_sha256"))
+
+
 @query(
     "op5_decontaminate",
     rf"""
@@ -87,11 +102,18 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
-def joined_spans(spans: F.Column) -> F.Column:
+def joined_spans(spans: Column) -> Column:
     """kind:start:end of every span, joined by commas."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
 
 
+@query("op7_token_files")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = io.scratch_path(spark, "token-files")
+    tokenfile.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path(BPE_TOKENIZER), END_ID)
+    return tokenfile.token_digests(spark, path).withColumnRenamed("key", "doc_id")
+
+
 @query("op10_secret_scan")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN, keep=["doc_id"])

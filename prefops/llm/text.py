@@ -241,17 +241,22 @@ def pretokens(texts: Texts) -> Words:
 
 
 class Distinct(NamedTuple):
-    """The different words of some texts, and for each word which of them it is."""
+    """The different words of some texts by their hashes, in order: where each first occurs, and which each word is."""
 
-    words: list[bytes]
+    hashes: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
     codes: np.ndarray
 
 
 def distinct_words(data: np.ndarray, words: Words) -> Distinct:
-    hashes = hash_spans(data, words.starts, words.ends)
-    _, at, codes = np.unique(hashes, return_index=True, return_inverse=True)
+    hashes, at, codes = np.unique(hash_spans(data, words.starts, words.ends), return_index=True, return_inverse=True)
+    return Distinct(hashes, words.starts[at], words.ends[at], codes)
+
+
+def spans_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
     raw = data.tobytes()
-    return Distinct([raw[a:b] for a, b in zip(words.starts[at].tolist(), words.ends[at].tolist(), strict=True)], codes)
+    return [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
 
 
 class Runs(NamedTuple):
