@@ -14,13 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prefops.llm import text as tx
+from prefops.llm.counts import total_counts
 from prefops.llm.frames import map_texts, quoted
 
 GRAM = 3
 BUCKETS = 1 << 16
-SLICES = 16
-#: Counts are added up over so many groups of tasks, then over the groups.
-GROUPS = 64
 SMOOTHING = 1.0
 MILLION = 1_000_000
 THRESHOLD = -0.3
@@ -52,49 +50,14 @@ def gram_buckets(texts: tx.Texts, gram: int, buckets: int) -> tuple[np.ndarray,
 
 
 def gram_counts(df: DataFrame, text: str, gram: int = GRAM, buckets: int = BUCKETS) -> np.ndarray:
-    """How often each bucket occurs in all texts of df.
+    """How often each bucket occurs in all texts of df."""
 
-    Every task counts its own rows. The counts are added over groups of tasks and
-    then over the groups, a slice of the buckets at a time; the driver gets one
-    number per bucket.
-    """
-    width = buckets // SLICES
-
-    def count(batches):
-        total = np.zeros(buckets, np.int64)
-        part = 0
-        for batch in batches:
-            column = batch.column(0)
-            part = int(batch.column(1)[0].as_py()) if batch.num_rows else part
-            for lo, hi in tx.pieces(column):
-                found, _ = gram_buckets(tx.texts_of(column.slice(lo, hi - lo)), gram, buckets)
-                total += np.bincount(found, minlength=buckets)
-        if total.any():
-            yield _slices({(s, part % GROUPS): total[s * width : (s + 1) * width] for s in range(SLICES)})
-
-    def add(batches):
-        sums: dict[tuple[int, int], np.ndarray] = {}
-        for batch in batches:
-            for s, g, counts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                sums[s, g] = sums.get((s, g), 0) + np.frombuffer(counts, np.int64)
-        if sums:
-            yield _slices(sums)
-
-    schema = "slice int, grp int, counts binary"
-    each = df.select(F.col(quoted(text)).cast("string"), F.spark_partition_id()).mapInArrow(count, schema)
-    grouped = each.repartition(SLICES, "slice", "grp").mapInArrow(add, schema)
-    total = grouped.withColumn("grp", F.lit(0)).repartition(SLICES, "slice").mapInArrow(add, schema)
-    out = np.zeros(buckets, np.int64)
-    for row in total.collect():
-        out[row.slice * width : (row.slice + 1) * width] += np.frombuffer(row.counts, np.int64)
-    return out
-
-
-def _slices(sums: dict) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array([k[0] for k in sums], pa.int32()), pa.array([k[1] for k in sums], pa.int32()), pa.array([np.asarray(v, np.int64).tobytes() for v in sums.values()], pa.binary())],
-        ["slice", "grp", "counts"],
-    )
+    def count(batch, totals):
+        total = totals.setdefault("", np.zeros(buckets, np.int64))
+        for lo, hi in tx.pieces(batch.column(0)):
+            total += np.bincount(gram_buckets(tx.texts_of(batch.column(0).slice(lo, hi - lo)), gram, buckets)[0], minlength=buckets)
+
+    return total_counts(df.select(F.col(quoted(text)).cast("string")), buckets, count).get("", np.zeros(buckets, np.int64))
 
 
 def log_ratios(target: np.ndarray, corpus: np.ndarray, smoothing: float = SMOOTHING) -> np.ndarray:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefops.llm import bpe, decontaminate, jaccard, quality, secrets, tokenfile
+from prefops.llm import bpe, chat, decontaminate, jaccard, language, passages, quality, secrets, tokenfile, toxicity
 from prefops.sources import io
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,45 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, trusted_texts(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
 
 
+# What a turn takes beyond its role and text, and one character for every `<` and `[` in them.
+MARK_CHARS = len(chat.START + chat.SEP + chat.END)
+
+
+@query(
+    "op2_chat_format",
+    rf"""
+with c as (
+    select conv_id, turn, coalesce(role, '') role, coalesce(text, '') text from conversations
+    union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+  x as (select *, case when role = 'assistant' then text end learned, role || text both_ from c)
+select conv_id, count(*) n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn)) turns_sha256,
+  coalesce(sum(length(learned)), 0)::bigint loss_chars, sha256(coalesce(string_agg(learned, '' order by turn), '')) loss_sha256,
+  sum({MARK_CHARS} + 2 * length(both_) - length(replace(replace(both_, '<', ''), '[', '')))::bigint formatted_chars
+from x group by conv_id
+""",
+)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.createDataFrame([(-7, k, role, "</s>[INST] ok [/INST]") for k, role in enumerate(("user", "assistant"))], turns.schema)
+    formatted = chat.format_chats(turns.union(own).withColumn("parts", chat.text_part("text")))
+    read = formatted.withColumns({"read": chat.read_turns("formatted"), "loss": chat.read_loss("formatted")})
+    lines = F.array_join(F.transform("read", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
+    sha = lambda text: F.sha2(F.encode(text, "UTF-8"), 256)
+    return read.select(
+        "conv_id",
+        F.size("read").cast("long").alias("n_turns"),
+        sha(lines).alias("turns_sha256"),
+        F.char_length("loss").cast("long").alias("loss_chars"),
+        sha(F.col("loss")).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+@query("op3_shared_passages")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.shared_passages(table(spark, sf_dir, "documents"))
+
+
 def hex_sha256(binary: str) -> Column:
     return F.sha2(F.col(binary), 256)
 
@@ -114,6 +153,30 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_digests(spark, path).withColumnRenamed("key", "doc_id")
 
 
+def held_out() -> Column:
+    """Whether the language model hasn't learned from a document; one without an id isn't held out."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+@query("op8_language_id")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs.where(~held_out()))
+    return language.identify(docs, model, keep=["doc_id"]).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def severity_grades(labels: DataFrame) -> DataFrame:
+    """0 for a document that isn't toxic, 1 for a toxic one in good prose, 2 for one in bad prose."""
+    return labels.select("doc_id", F.when(F.col("toxic") == 1, F.when(F.col("quality") == 0, 2).otherwise(1)).when(F.col("toxic") == 0, 0).alias("grade"))
+
+
+@query("op9_toxicity")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, severity_grades(table(spark, sf_dir, "labels")))
+    return toxicity.predict(docs, model, keep=["doc_id"])
+
+
 @query("op10_secret_scan")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN, keep=["doc_id"])
