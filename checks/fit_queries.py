@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import inputs as I
@@ -12,13 +13,13 @@ from checks.pair_queries import sql_is_val
 from checks.score_queries import SQL_SECTION, GATE, N, TEMPERATURE, W, sql_registry
 from prefops import constants as K
 from prefops.functions import scores as S
-from prefops.operators import benchmark, fit
+from prefops.operators import benchmark, fit, ordering
 from prefops.plans import reward_mixture
 
 SQL_RIDGE = f"""split_rows as (select *, {sql_is_val('sparse_objectives', 'id', 42)} from sparse_objectives),
-long as (select embedding[1]::double as x, embedding[2]::double as z, is_val, 0 as attr_idx, a0 as y from split_rows union all
-         select embedding[1]::double, embedding[2]::double, is_val, 1, a1 from split_rows union all
-         select embedding[1]::double, embedding[2]::double, is_val, 2, a2 from split_rows),
+halves as (select *, list_sum(embedding[1:32]::double[]) as x, list_sum(embedding[33:64]::double[]) as z from split_rows),
+long as (select x, z, is_val, 0 as attr_idx, a0 as y from halves union all select x, z, is_val, 1, a1 from halves union all
+         select x, z, is_val, 2, a2 from halves),
 sums as (select attr_idx, is_val, sum(x * x) as xx, sum(x * z) as xz, sum(z * z) as zz, sum(x * y) as xy, sum(z * y) as zy,
                 sum(y * y) as yy, count(*) as n from long where y is not null group by all),
 solved as (select t.attr_idx, alpha, (xy * (zz + alpha) - zy * xz) / ((xx + alpha) * (zz + alpha) - xz * xz) as w0,
@@ -35,71 +36,110 @@ path as (select s.*, (v.yy - 2 * (w0 * v.xy + w1 * v.zy) + w0 * w0 * v.xx + 2 *
     from path qualify row_number() over (partition by attr_idx order by loss, alpha) = 1""",
 )
 def m1(spark, d):
-    """Two features, where the solution has a closed form."""
-    rows = I.sparse_objectives(spark, d).withColumn("embedding", F.slice("embedding", 1, 2))
+    """Two features, the sums of both halves of a vector, where the solution has a closed form."""
+    half = lambda at: F.aggregate(F.slice("embedding", at, 32), F.lit(0.0), lambda a, x: a + x.cast("double"))
+    rows = I.sparse_objectives(spark, d).withColumn("embedding", F.array(half(1), half(33)))
     probes = fit.fit_ridge_probe(rows, I.OBJECTIVES_3)
     return probes.select(
         "attr_idx", "attribute", "alpha", r6("loss").alias("loss"), r6(F.col("weight")[0]).alias("w0"), r6(F.col("weight")[1]).alias("w1")
     )
 
 
-@query("m1_fit_ridge_probe_full")
+@query(
+    "m1_fit_ridge_probe_full",
+    f"""with {I.SPARSE_OBJECTIVES}, split_rows as (select *, {sql_is_val('sparse_objectives', 'id', 42)} from sparse_objectives),
+    long as (select is_val, unnest([0, 1, 2]) as attr_idx, unnest([a0, a1, a2]) as y from split_rows)
+    select attr_idx, 'a' || attr_idx as attribute, count_if(y is not null and not is_val) as n_fitted, 64::bigint as n_weights,
+           0.0::double as slope from long group by attr_idx""",
+)
 def m1_full(spark, d):
-    """All features; compared with a dense solve in the tests."""
-    return fit.fit_ridge_probe(I.sparse_objectives(spark, d), I.OBJECTIVES_3)
+    """All features: at the probe's weights the slope of its loss, Xᵀ(Xw - y) + alpha w, is 0 in every direction."""
+    rows = I.sparse_objectives(spark, d)
+    probes = fit.fit_ridge_probe(rows, I.OBJECTIVES_3)
+    labels = F.array(*I.OBJECTIVES_3)
+    fitted = ordering.train_val_split(rows, "id").where("not is_val").select("embedding", F.posexplode(labels).alias("attr_idx", "y")).where("y is not null")
+    # One probe per attribute.
+    told = F.aggregate(F.zip_with("embedding", "weight", lambda x, w: x.cast("double") * w), F.lit(0.0), lambda a, x: a + x)
+    met = fitted.join(F.broadcast(probes), "attr_idx").withColumn("miss", told - F.col("y"))
+    slopes = met.groupBy("attr_idx", "attribute", "alpha", "weight").agg(
+        F.count("*").alias("n_fitted"), F.array(*(F.sum(F.col("miss") * F.get("embedding", F.lit(k))) for k in range(I.DIM))).alias("slopes")
+    )
+    worst = F.array_max(F.zip_with("slopes", "weight", lambda s, w: F.abs(s + F.col("alpha") * w)))
+    return slopes.select("attr_idx", "attribute", "n_fitted", F.size("weight").cast("long").alias("n_weights"), (F.round(worst, 4) + 0.0).alias("slope"))
 
 
-@query("m2_fit_bt_head")
+@query(
+    "m2_fit_bt_head",
+    f"""with {I.PAIR_EMBEDDINGS} select count(*) as n, true as better_than_nothing, 0.0::double as slope from pair_embeddings""",
+)
 def m2(spark, d):
-    """Rewards of a pairwise head fitted on the pairs they belong to."""
+    """At the weights of the head its loss is below that of no weights, and its slope is 0 in every direction."""
     pairs = I.pair_embeddings(spark, d)
-    model = fit.fit_bt_head(pairs)
-    return pairs.select(
-        "pair_id", fit.head_reward("chosen_emb", model).alias("rc"), fit.head_reward("rejected_emb", model).alias("rr")
-    )
+    model = fit.fit_bt_head(pairs, reg=1e-3)
+    gap = F.zip_with("chosen_emb", "rejected_emb", lambda c, r: c.cast("double") - r.cast("double"))
+    rows = pairs.select(gap.alias("x"), (fit.head_reward("chosen_emb", model) - fit.head_reward("rejected_emb", model)).alias("gap"))
+    return _at_optimum(rows, -1.0 / (1.0 + F.exp("gap")), F.log1p(F.exp(-F.col("gap"))), model, 1e-3)
+
+
+def _at_optimum(rows: DataFrame, residual: Column, loss: Column, model, reg: float) -> DataFrame:
+    weights = F.array(*(F.lit(float(w)) for w in model.coefficients))
+    means = rows.agg(F.count("*").alias("n"), F.avg(loss).alias("loss"), F.array(*(F.avg(residual * F.get("x", F.lit(k))) for k in range(I.DIM))).alias("slopes"))
+    worst = F.array_max(F.zip_with("slopes", weights, lambda s, w: F.abs(s + reg * w)))
+    return means.select("n", (F.col("loss") < math.log(2)).alias("better_than_nothing"), (F.round(worst, 3) + 0.0).alias("slope"))
 
 
 @query("m3_fit_gate")
 def m3(spark, d):
     """Scores of pairs under a gate fitted on them."""
     pairs = I.pair_embeddings(spark, d)
-    gate = fit.fit_gate(reward_mixture.gate_rows(pairs, W), N, I.DIM, steps=5, lr=0.05, temperature=TEMPERATURE)
+    gate = fit.fit_gate(reward_mixture.gate_rows(pairs, W), N, I.DIM, lr=0.05, temperature=TEMPERATURE)
     scored = fit.mixture_pairs(pairs, W, [(gate.weight, gate.bias)], TEMPERATURE)
     return scored.select("pair_id", "score_chosen", "score_rejected", "correct")
 
 
 def compared(spark: SparkSession, d: str) -> DataFrame:
-    """Two answers with five objectives each, and which one a fixed rule prefers."""
-    pairs = I.pair_embeddings(spark, d)
-    five = pairs.select(
-        "pair_id",
-        S.objective_rewards("chosen_emb", W[:5]).alias("rewards_1"),
-        S.objective_rewards("rejected_emb", W[:5]).alias("rewards_2"),
-    )
-    gap = F.col("rewards_2")[0] + F.col("rewards_2")[1] - F.col("rewards_1")[0] - F.col("rewards_1")[1]
-    return five.withColumn("preference", (gap > 0).cast("int"))
+    """Two answers with the signs of five objectives each; the one preferred is ahead in more of the first three."""
+    signs = lambda side: F.transform(S.objective_rewards(f"{side}_emb", W[:5]), lambda r: F.when(r > 0, 1.0).otherwise(0.0))
+    five = I.pair_embeddings(spark, d).select("pair_id", signs("chosen").alias("rewards_1"), signs("rejected").alias("rewards_2"))
+    ahead = sum((F.signum(F.get("rewards_2", F.lit(k)) - F.get("rewards_1", F.lit(k))) for k in range(3)), start=F.lit(0.0))
+    return five.withColumn("preference", (ahead > 0).cast("int"))
 
 
-@query("m4_fit_preference_tree")
+SQL_COMPARED = f"""{I.sql_matrix('w', 15, 5)}, {I.PAIR_EMBEDDINGS},
+signs as (select pair_id, w.j, (list_inner_product(rejected_emb::double[], w.w) > 0)::int - (list_inner_product(chosen_emb::double[], w.w) > 0)::int as gap
+          from pair_embeddings, w where w.j < 3),
+compared as (select pair_id, (sum(sign(gap)) > 0)::int as preference from signs group by pair_id)"""
+
+
+@query("m4_fit_preference_tree", f"with {SQL_COMPARED} select 1.0::double as accuracy, count(*) as n from compared")
 def m4(spark, d):
-    """Share of pairs on which the tree agrees with the rule it was fitted on."""
+    """The tree learns a rule of a few signs without a mistake."""
     rows = compared(spark, d)
-    found = fit.preference_from_objectives(rows.withColumnRenamed("preference", "rule"), fit.fit_preference_tree(rows))
+    model = fit.fit_preference_tree(rows, depth=TREE_DEPTH)
+    found = fit.preference_from_objectives(rows.withColumnRenamed("preference", "rule"), model)
     return benchmark.mean_accuracy(found, F.col("rule") == F.col("preference"))
 
 
-@query("p16_preference_from_objectives")
+#: Two questions for each of the three signs.
+TREE_DEPTH = 6
+
+
+@query("p16_preference_from_objectives", f"with {SQL_COMPARED} select pair_id, preference from compared")
 def p16(spark, d):
     rows = compared(spark, d)
-    model = fit.fit_preference_tree(rows, depth=3)
+    model = fit.fit_preference_tree(rows, depth=TREE_DEPTH)
     return fit.preference_from_objectives(rows.drop("preference"), model).select("pair_id", "preference")
 
 
-@query("m5_fit_orm_head")
+@query("m5_fit_orm_head", "select count(*) as n, true as better_than_nothing, 0.0::double as slope from embeddings")
 def m5(spark, d):
+    """As for the pairwise head, with labels of single answers."""
     rows = I.table(spark, d, "embeddings").select("vec_id", "embedding", (F.col("label") >= 5).cast("int").alias("label"))
-    model = fit.fit_orm_head(rows)
-    return rows.select("vec_id", "label", fit.head_reward("embedding", model).alias("logit"))
+    model = fit.fit_orm_head(rows, reg=1e-3)
+    scored = rows.select(F.col("embedding").alias("x"), "label", fit.head_reward("embedding", model).alias("logit"))
+    p = 1.0 / (1.0 + F.exp(-F.col("logit")))
+    loss = F.when(F.col("label") == 1, -F.log(p)).otherwise(-F.log(1.0 - p))
+    return _at_optimum(scored, p - F.col("label"), loss, model, 1e-3)
 
 
 SQL_MIXTURE = f"""{I.PAIR_EMBEDDINGS}, {I.sql_matrix('w', 15, N)}, {I.sql_matrix('g', 20, N)},
@@ -158,6 +198,6 @@ def mixture(spark, d):
     """Probes, penalties and gate in a row, and the accuracy on the left-out pairs."""
     pairs = I.pair_embeddings(spark, d)
     made = reward_mixture.fit_mixture(
-        I.sparse_objectives(spark, d), I.OBJECTIVES_3, pairs, dim=2, steps=5, lr=0.05, temperature=TEMPERATURE
+        I.sparse_objectives(spark, d), I.OBJECTIVES_3, pairs, dim=2, lr=0.05, temperature=TEMPERATURE
     )
     return reward_mixture.validation_accuracy(pairs, made)

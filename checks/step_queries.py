@@ -85,15 +85,14 @@ def t10_dialogue(spark, d):
     f"""with lines as (
       select conv_id as q_id, turn as ans_idx, unnest(range(len(s)))::int as step, unnest(s) as line
       from (select *, list_transform(string_split(text, {NL}), lambda x: trim(x, {WS})) as s
-            from conversations where role = 'assistant')),
+            from conversations)),
     turns as (select * replace (case when step = 0 then 'Q: ' || line else line end as line) from lines)
     select a.q_id, a.ans_idx, a.step, 2 * count(*)::int as n_turns, md5(array_to_string(list(b.line || '+' order by b.step), '')) as said
     from turns a join turns b on a.q_id = b.q_id and a.ans_idx = b.ans_idx and b.step <= a.step
     group by a.q_id, a.ans_idx, a.step""",
 )
 def t10_prefixes(spark, d):
-    talk = I.table(spark, d, "conversations").where("role = 'assistant'")
-    rows = talk.select(
+    rows = I.table(spark, d, "conversations").select(
         F.col("conv_id").alias("q_id"),
         F.col("turn").alias("ans_idx"),
         F.lit("Q:").alias("prompt"),
@@ -237,7 +236,22 @@ def p14(spark, d):
     def wins(a, b):
         return (portable_hash(31, a["q_id"], a["ans_idx"], b["ans_idx"]) % 1000) / 999.0
 
-    return ranking.tournament(I.answers(spark, d).select("q_id", "ans_idx", "label"), wins, rounds=3)
+    return ranking.tournament(I.answers(spark, d).select("q_id", "ans_idx", "label"), wins, columns=[])
+
+
+@query(
+    "p14_tournament_batch",
+    f"""with {I.ANSWERS}, best as (select q_id, max(score) as score from answers group by q_id)
+    select a.q_id, min(a.ans_idx) as ans_idx, b.score from answers a join best b on a.q_id = b.q_id and a.score = b.score group by all""",
+)
+def p14_batch(spark, d):
+    """Matches scored a round at a time; the better score wins, so the first best answer wins the tournament."""
+    rows = I.answers(spark, d).select("q_id", "ans_idx", "score")
+
+    def met(matches: DataFrame) -> DataFrame:
+        return matches.withColumn("prob_a", F.when(F.col("a.score") >= F.col("b.score"), 1.0).otherwise(0.0))
+
+    return ranking.tournament(rows, met, batch=True)
 
 
 @query("p15_pass_at_1", f"with {I.ANSWERS} select q_id, {sql_r6('avg(label)')} as pass_at_1 from answers group by q_id")
@@ -317,6 +331,55 @@ def bon_outcome(spark, d):
     return best_of_n.outcome_scored(tagged(spark, d), _step_logits, 6).withColumn("score", r6("score"))
 
 
+@query(
+    "s5_question_records",
+    f"""with {STEP_LOGITS}, one as (
+      select a.q_id, a.ans_idx, a.answer, a.label, list(round(s.score, 9) order by s.step) as scores
+      from tagged a join scored s on s.q_id = a.q_id and s.ans_idx = a.ans_idx group by all)
+    select q_id, count(*) as n_answers, md5(string_agg(answer, '|' order by ans_idx)) as answers,
+           string_agg(label::varchar, ',' order by ans_idx) as label, string_agg(len(scores)::varchar, ',' order by ans_idx) as n_steps,
+           {sql_r6('sum(list_sum(scores))')} as total
+    from one group by q_id""",
+)
+def s5_questions(spark, d):
+    """One object per question, written and read again."""
+    path = io.scratch_path(spark, "questions")
+    answers = tagged(spark, d)
+    scored = _step_logits(steps.step_rows(answers)).withColumn("score", F.round(S.softmax_pair("plus", "minus"), 9))
+    io.write_jsonl(best_of_n.question_records(answers, scored), path)
+    back = io.read_split(spark, path, format="json", schema=best_of_n.QUESTION_SCHEMA)
+    joined = lambda c: F.array_join(c.cast("array<string>"), ",")
+    total = F.aggregate(F.flatten("step_scores"), F.lit(0.0), lambda a, x: a + x)
+    return back.select(
+        "q_id", F.size("answers").cast("long").alias("n_answers"), F.md5(F.array_join("answers", "|")).alias("answers"),
+        joined(F.col("label")).alias("label"), joined(F.transform("step_scores", F.size)).alias("n_steps"), r6(total).alias("total"),
+    )
+
+
+@query(
+    "d12_explode_answers",
+    f"with {TAGGED} select q_id, ans_idx, answer, label from tagged where ans_idx < 5",
+)
+def d12(spark, d):
+    """From answer rows to arrays and back, with the first five of each array."""
+    scored = steps.step_rows(tagged(spark, d)).withColumn("score", F.lit(0.0))
+    arrays = best_of_n.question_records(tagged(spark, d), scored)
+    return steps.explode_answers(steps.first_n_answers(arrays.drop("step_scores"), 5)).select("q_id", "ans_idx", "answer", "label")
+
+
+@query(
+    "best_of_n_accuracy",
+    f"""with {STEP_LOGITS}, best as (
+      select a.q_id, arg_max(a.label, {{'s': round(m.score, 6), 'i': -a.ans_idx}}) as l
+      from answers a join means m on a.q_id = m.q_id and a.ans_idx = m.ans_idx group by a.q_id)
+    select 'steps' as run, {sql_r6('avg((l = 1)::int)')} as accuracy, count(*) as n from best""",
+)
+def bon_accuracy(spark, d):
+    path = io.scratch_path(spark, "accuracy")
+    best_of_n.write_accuracy(bon_steps(spark, d), path, "steps")
+    return io.read_split(spark, path).withColumn("accuracy", r6("accuracy"))
+
+
 RECORD = T.StructType(
     [
         T.StructField("q_id", T.LongType()),

@@ -102,11 +102,18 @@ def bce_term(label: str | Column, logit: str | Column, eps: float = 1e-10) -> Co
 
 
 def matrix(vectors: pa.Array) -> np.ndarray:
-    """The non-null rows of an array column as one matrix, without a copy per row."""
+    """The non-null rows of an array column as one matrix, without a copy per row.
+
+    Rows of different lengths and null elements are errors.
+    """
     rows = vectors.drop_null()
     if not len(rows):
         return np.empty((0, 0))
-    return np.asarray(rows.flatten(), dtype=np.float64).reshape(len(rows), -1)
+    widths = np.unique(np.asarray(rows.value_lengths()))
+    values = rows.flatten()
+    if len(widths) > 1 or values.null_count:
+        raise ValueError(f"vectors of {widths.tolist()} elements, {values.null_count} of them null, where one length is needed")
+    return np.asarray(values, dtype=np.float64).reshape(len(rows), -1)
 
 
 def _like(rows: np.ndarray, source: pa.Array) -> pa.Array:

@@ -21,6 +21,11 @@ def strip(c: str | Column) -> Column:
     return F.btrim(_col(c), F.lit(K.PY_SPACE))
 
 
+def _needed(c: Column, what: str) -> Column:
+    """The text, or an error where it is null: a conversation is never rendered shorter than it is."""
+    return F.coalesce(c, F.raise_error(F.lit(what)).cast("string"))
+
+
 def message(role: str, content: Column) -> Column:
     return F.struct(F.lit(role).alias("role"), content.alias("content"))
 
@@ -31,11 +36,15 @@ def user_assistant(user: Column, assistant: Column) -> Column:
 
 
 def render_turns(conv: str | Column) -> Column:
-    """Plain turn template; the side of a message follows its index, not its role."""
+    """Plain turn template; the side of a message follows its index, not its role.
+
+    A message without content is an error.
+    """
     turns = F.transform(
         _col(conv),
         lambda m, i: F.concat(
-            F.when(i % 2 == 0, F.lit(K.TURN_USER)).otherwise(F.lit(K.TURN_ASSISTANT)), m["content"]
+            F.when(i % 2 == 0, F.lit(K.TURN_USER)).otherwise(F.lit(K.TURN_ASSISTANT)),
+            _needed(m["content"], "message without content"),
         ),
     )
     return F.concat(F.lit(K.TURN_OPEN), F.array_join(turns, ""), F.lit(K.TURN_CLOSE))
@@ -98,14 +107,18 @@ def parse_multiturn(text: str | Column, strict: bool = False) -> Column:
 
 
 def judge_prompt(conv: str | Column, response_1: str | Column, response_2: str | Column, swapped: bool = False) -> Column:
-    """Judge instruction for two responses, in the given or the swapped order."""
+    """Judge instruction for two responses, in the given or the swapped order.
+
+    A message without content is an error.
+    """
     first, second = _col(response_1), _col(response_2)
     if swapped:
         first, second = second, first
     turns = F.transform(
         _col(conv),
         lambda m: F.concat(
-            F.when(m["role"] == "user", F.lit(K.JUDGE_USER)).otherwise(F.lit(K.JUDGE_ASSISTANT)), m["content"]
+            F.when(m["role"] == "user", F.lit(K.JUDGE_USER)).otherwise(F.lit(K.JUDGE_ASSISTANT)),
+            _needed(m["content"], "message without content"),
         ),
     )
     fill = {"conversation": strip(F.array_join(turns, "")), "response_1": first, "response_2": second}
@@ -130,10 +143,18 @@ def parse_verdict(text: str | Column) -> Column:
 
 
 def render_chat(conv: str | Column, prefix_by_role: Mapping[str, str], suffix: str = "", bos: str = "") -> Column:
-    """A model's chat template given as parameters; `bos` is removed wherever it occurs."""
+    """A model's chat template given as parameters; `bos` is removed wherever it occurs.
+
+    A message without content, or whose role has no prefix, is an error.
+    """
     prefixes = F.create_map(*[F.lit(x) for kv in prefix_by_role.items() for x in kv])
     turns = F.transform(
-        _col(conv), lambda m: F.concat(F.try_element_at(prefixes, m["role"]), m["content"], F.lit(suffix))
+        _col(conv),
+        lambda m: F.concat(
+            _needed(F.try_element_at(prefixes, m["role"]), "role without a prefix"),
+            _needed(m["content"], "message without content"),
+            F.lit(suffix),
+        ),
     )
     text = F.concat(F.lit(bos), F.array_join(turns, ""))
     return F.replace(text, F.lit(bos), F.lit("")) if bos else text

@@ -18,15 +18,26 @@ def benchmark_registry(spark: SparkSession, counts: Mapping[str, int] | None = N
 
 
 def subset_accuracy(df: DataFrame, registry: DataFrame) -> DataFrame:
-    """Mean of `correct` and number of rows for every subset of the registry; null for none."""
+    """Mean of `correct` and number of rows that have one, for every subset of the registry; null for none.
+
+    A subset that isn't in the registry is an error; see `unregistered`.
+    """
     require(df, "subset", "correct")
-    # The aggregate has as many rows as the registry, so the join is local to it.
-    measured = df.groupBy("subset").agg(F.avg("correct").alias("accuracy"), F.count("*").alias("n"))
-    return registry.join(measured, "subset", "left").select(
-        "section", "subset", "example_count", F.coalesce("n", F.lit(0)).alias("n"), "accuracy"
+    # The aggregate has as many rows as there are subsets, so the join is local to it.
+    measured = df.groupBy(F.coalesce("subset", F.lit("")).alias("subset")).agg(F.avg("correct").alias("accuracy"), F.count("correct").alias("n"))
+    known = registry.select("subset", "section", "example_count")
+    unknown = F.raise_error(F.concat(F.lit("subset not in the registry: "), F.col("subset"))).cast("string")
+    return known.join(measured, "subset", "full").select(
+        F.coalesce("section", unknown).alias("section"), "subset", "example_count", F.coalesce("n", F.lit(0)).alias("n"), "accuracy"
     )
 
 
+def unregistered(df: DataFrame, registry: DataFrame) -> DataFrame:
+    """Rows of subsets that the registry doesn't have, those without a subset among them."""
+    require(df, "subset")
+    return df.join(registry.select("subset"), "subset", "left_anti")
+
+
 def section_scores(accuracy: DataFrame, decimals: int | None = 2) -> DataFrame:
     """Accuracy in percent per section, weighted by example count over the subsets present; 0 for none."""
     require(accuracy, "section", "accuracy", "example_count")
@@ -40,7 +51,7 @@ def section_scores(accuracy: DataFrame, decimals: int | None = 2) -> DataFrame:
 
 
 def overall_score(sections: DataFrame, decimals: int = 2) -> DataFrame:
-    """Mean of the section scores, each with the same weight."""
+    """Mean of the section scores, each with the same weight; of unrounded ones, so that only the mean is rounded."""
     require(sections, "score")
     return sections.agg(F.round(F.avg("score"), decimals).alias("score"))
 

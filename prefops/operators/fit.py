@@ -36,15 +36,33 @@ from prefops.sources.io import written
 OPEN_PATTERNS = 8
 
 
-def _fewer_partitions(df: DataFrame) -> DataFrame:
-    """At most one partition per core, so that partial sums are few; moves no rows.
+#: Partial sums of tasks are added in so many groups, and then over the groups.
+GROUPS = 64
 
-    Where executors come up later, spark.default.parallelism says how many cores
-    there will be. A task then works through several input partitions one after
-    the other, so the input should be a scan and not a join or an aggregate, which
-    would hold memory for each of them.
+
+def _added(parts: DataFrame, *by: str) -> DataFrame:
+    """Sums of the vectors `v` by key, over groups of tasks first, so that no task adds those of all tasks."""
+    total = Summarizer.sum(F.col("v")).alias("v")
+    grouped = parts.withColumns({"v": array_to_vector("v"), "_group": F.spark_partition_id() % GROUPS}).groupBy(*by, "_group").agg(total)
+    return grouped.groupBy(*by).agg(total).select(*by, vector_to_array("v").alias("v"))
+
+
+def label_columns(df: DataFrame, attrs: Sequence[str], labels: str = "labels") -> DataFrame:
+    """An array of labels as one nullable column per attribute; NaN stands for a label that is absent.
+
+    An array of another length than `attrs` is an error, a null one has no labels.
     """
-    return df.coalesce(max(1, df.sparkSession.sparkContext.defaultParallelism))
+    require(df, labels)
+    array = F.when(
+        F.size(labels) != len(attrs), F.raise_error(F.lit(f"not {len(attrs)} labels")).cast("array<double>")
+    ).otherwise(F.col(labels).cast("array<double>"))
+    columns = {a: F.nullif(F.get(array, F.lit(i)), F.lit(float("nan"))) for i, a in enumerate(attrs)}
+    return df.withColumns(columns).drop(labels)
+
+
+def _known(attr: str) -> Column:
+    """A label, null where it is NaN."""
+    return F.nullif(F.col(attr).cast("double"), F.lit(float("nan")))
 
 
 def gram_partials(df: DataFrame, features: str, attrs: Sequence[str], split: str) -> DataFrame:
@@ -58,10 +76,10 @@ def gram_partials(df: DataFrame, features: str, attrs: Sequence[str], split: str
     if len(attrs) > 62:
         raise ValueError("at most 62 attributes")
     mask = sum(
-        (F.when(F.col(a).isNotNull(), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, a in enumerate(attrs)),
+        (F.when(_known(a).isNotNull(), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, a in enumerate(attrs)),
         start=F.lit(0).cast("long"),
     )
-    labels = F.array(*[F.coalesce(F.col(a).cast("double"), F.lit(0.0)) for a in attrs])
+    labels = F.array(*[F.coalesce(_known(a), F.lit(0.0)) for a in attrs])
     rows = df.where(F.col(features).isNotNull()).select(
         F.col(split).cast("boolean").alias("split"), mask.alias("mask"), F.col(features).alias("x"), labels.alias("y")
     )
@@ -83,7 +101,7 @@ def gram_partials(df: DataFrame, features: str, attrs: Sequence[str], split: str
                         yield from _drain(sums)
         yield from _drain(sums)
 
-    return _fewer_partitions(rows).mapInArrow(partials, "split boolean, mask long, i int, v array<double>")
+    return rows.mapInArrow(partials, "split boolean, mask long, i int, v array<double>")
 
 
 def _drain(sums: dict) -> Iterator[pa.RecordBatch]:
@@ -118,16 +136,11 @@ def ridge_path(
     Fitted on the rows outside `split`, loss is the mean squared error inside
     it. An attribute without a label on either side has no row. Partial sums are
     added up per matrix row, then each attribute is solved from its d × d system
-    in a task of its own; the loss comes from the same sums. `df` should be a
-    table: it is read once, by one task per core.
+    in a task of its own; the loss comes from the same sums. NaN is no label.
     """
     require(df, features, split, *attrs)
     parts = gram_partials(df, features, attrs, split)
-    by_pattern = (
-        parts.groupBy("split", "mask", "i")
-        .agg(Summarizer.sum(array_to_vector("v")).alias("v"))
-        .select("split", "mask", "i", vector_to_array("v").alias("v"))
-    )
+    by_pattern = _added(parts, "split", "mask", "i")
     width = F.size("v") - len(attrs)
     bits = F.array(*[F.struct(F.lit(a).alias("attr_idx"), F.lit(1 << a).alias("bit")) for a in range(len(attrs))])
     own = F.filter(bits, lambda b: F.col("mask").bitwiseAND(b["bit"]) != 0)
@@ -186,10 +199,17 @@ def fit_ridge_probe(
     return path.groupBy("attr_idx").agg(best).select("attr_idx", "_b.*")
 
 
-def weight_matrix(probes: DataFrame) -> np.ndarray:
-    """Weights of the attributes, one row each, as a matrix on the driver (objectives × d)."""
-    rows = probes.select("attr_idx", "weight").orderBy("attr_idx").collect()
-    return np.array([r["weight"] for r in rows])
+def weight_matrix(probes: DataFrame, n: int | None = None) -> np.ndarray:
+    """Weights of the attributes, one row each at its index, as a matrix on the driver (objectives × d).
+
+    An attribute among the n (by default up to the last that has weights) for
+    which no probe could be fitted is an error: the others would move up.
+    """
+    rows = {r["attr_idx"]: r["weight"] for r in probes.select("attr_idx", "weight").collect()}
+    n = max(rows, default=-1) + 1 if n is None else n
+    if missing := [i for i in range(n) if i not in rows]:
+        raise ValueError(f"no probe for the attributes {missing}")
+    return np.array([rows[i] for i in range(n)])
 
 
 def _head(rows: DataFrame, reg: float, max_iter: int) -> LogisticRegressionModel:
@@ -350,12 +370,12 @@ def fit_gate(
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     losses = []
     table = written(df.select(*cols).dropna(), "gate")
-    rows = _fewer_partitions(table).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = table.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         for step in range(steps):
             w, b = theta[: objectives * dim].reshape(objectives, dim), theta[objectives * dim :]
             parts = rows.mapInArrow(_gate_partials(w, b, temperature, over), "v array<double>")
-            total = parts.agg(Summarizer.sum(array_to_vector("v")).alias("v")).first()["v"].toArray()
+            total = np.array(_added(parts.withColumn("_", F.lit(0)), "_").first()["v"])
             if not total[1]:
                 raise ValueError("no rows to fit the gate on")
             losses.append(total[0] / total[1])

@@ -103,13 +103,15 @@ def pending(df: DataFrame, done: DataFrame, keys: Sequence[str] = RESULT_KEYS) -
 def latest_results(df: DataFrame, version: str, keys: Sequence[str] = RESULT_KEYS) -> DataFrame:
     """One row per key, the one of the highest version.
 
-    `max_by` keeps one candidate per task and key before the shuffle, so a key
-    repeated many times costs no more than another.
+    Of several rows with that version the largest values win, so that the choice
+    doesn't depend on the order of rows. `max_by` keeps one candidate per task
+    and key before the shuffle, so a key repeated many times costs no more than
+    another.
     """
     keys = list(keys)
     require(df, *keys, version)
     values = [c for c in df.columns if c not in keys and c != version]
-    newest = F.max_by(F.struct(*values), F.col(version)).alias("_v")
+    newest = F.max_by(F.struct(*values), F.struct(version, *values)).alias("_v")
     return df.groupBy(*keys).agg(newest).select(*keys, "_v.*")
 
 

@@ -26,7 +26,7 @@ def dense_index(
 ) -> DataFrame:
     """Add a 0-based dense index in the order of (hash(seed, key), key).
 
-    `key` must be unique. `df` is read twice, once for its keys alone, so it
+    `key` must be unique; a key that repeats is an error. `df` is read twice, once for its keys alone, so it
     should be a table or a plan that is cheap to repeat.
     """
     require(df, key)
@@ -35,7 +35,9 @@ def dense_index(
     # At most 2**bits rows.
     offsets = sizes.select("_b", F.coalesce(F.sum("_n").over(_upto(-1)), F.lit(0)).alias("_before"))
     inside = Window.partitionBy("_b").orderBy("_h", key)
-    index = (F.col("_before") + F.row_number().over(inside) - 1).cast("long")
+    again = F.raise_error(F.concat(F.lit("key repeats: "), F.col(key).cast("string"))).cast("long")
+    place = F.when(F.lag(key).over(inside) == F.col(key), again).otherwise(F.row_number().over(inside))
+    index = (F.col("_before") + place - 1).cast("long")
     return keyed.join(F.broadcast(offsets), "_b").withColumn(name, index).select(*df.columns, name)
 
 
@@ -58,7 +60,8 @@ def train_val_split(
 
     Only the last marked (hash, key) is looked for, among the keys of the one
     bucket it falls into. The rows themselves are compared with it where they
-    are, so wide rows are not shuffled.
+    are, so wide rows are not shuffled. Keys are expected to be unique; a last
+    key that repeats, which would mark more rows, is an error.
     """
     require(df, key)
     hashes = df.select(F.col(key).alias("_k"), portable_hash(seed, key).alias("_h"))
@@ -73,8 +76,12 @@ def train_val_split(
     border = reach.where((F.col("_before") < F.col("_want")) & (F.col("_want") <= F.col("_to")))
     # `border` has at most one row.
     near = hashes.join(F.broadcast(border.select("_b", (F.col("_want") - F.col("_before")).alias("_r"))), "_b")
-    place = F.row_number().over(Window.partitionBy("_b").orderBy("_h", "_k"))
-    last = near.withColumn("_place", place).where(F.col("_place") == F.col("_r")).select(F.struct("_h", "_k"))
+    inside = Window.partitionBy("_b").orderBy("_h", "_k")
+    again = F.raise_error(F.concat(F.lit("key repeats: "), F.col("_k").cast("string"))).cast("long")
+    placed = near.withColumns({"_place": F.row_number().over(inside), "_next": F.lead("_k").over(inside)})
+    last = placed.where(F.col("_place") == F.col("_r")).select(
+        F.struct(F.when(F.col("_next") == F.col("_k"), again).otherwise(F.col("_h")).alias("_h"), "_k")
+    )
     mine = F.struct(portable_hash(seed, key).alias("_h"), F.col(key).alias("_k"))
     return df.withColumn(name, F.coalesce(mine <= last.scalar(), F.lit(False)))
 

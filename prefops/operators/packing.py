@@ -31,10 +31,11 @@ def pack_sequences(
     bucket is packed longest first, each row into the fullest block that still
     has room. A row longer than a block gets a block of its own. Keys and
     lengths are written to the shared folder first, so that the lengths are
-    computed once, and nothing but them is moved.
+    computed once, and nothing but them is moved. A null length is an error.
     """
     require(df, key, len_col)
-    narrow = written(df.select(F.col(key), F.col(len_col).cast("long").alias("length")), "lengths")
+    length = F.coalesce(F.col(len_col).cast("long"), F.raise_error(F.lit("row without a length")).cast("long"))
+    narrow = written(df.select(F.col(key), length.alias("length")), "lengths")
     buckets = max(1, math.ceil(narrow.count() / rows_per_bucket))
     spread = narrow.withColumn("bucket", F.pmod(portable_hash(seed, key), F.lit(buckets)))
 

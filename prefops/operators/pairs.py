@@ -126,14 +126,17 @@ def keep_rate(df: DataFrame, mask: Column) -> DataFrame:
 
 
 def debiased_preference(
-    df: DataFrame, keys: Sequence[str] | str = "id", prob: str = "prob_chosen"
+    df: DataFrame, keys: Sequence[str] | str = "id", prob: str = "prob_chosen", orders: int = 2
 ) -> DataFrame:
-    """Mean probability of the chosen answer over the stored orders of a pair."""
+    """Mean probability of the chosen answer over the stored orders of a pair.
+
+    A pair that has not exactly `orders` probabilities isn't debiased: null.
+    """
     keys = [keys] if isinstance(keys, str) else list(keys)
     require(df, *keys, prob)
     return (
         df.groupBy(*keys)
-        .agg(F.avg(prob).alias("chosen_prob"))
+        .agg(F.when(F.count(prob) == orders, F.avg(prob)).alias("chosen_prob"))
         .withColumn("preference", S.preference_from_prob("chosen_prob"))
     )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,8 +50,8 @@ def tournament(
     df: DataFrame,
     prob_a: Callable[[Column, Column], Column] | Callable[[DataFrame], DataFrame],
     key: str = "q_id",
-    rounds: int | None = None,
     batch: bool = False,
+    columns: Sequence[str] | None = None,
 ) -> DataFrame:
     """Best answer of every question by knock-out matches, n - 1 of them for n answers.
 
@@ -64,12 +64,15 @@ def tournament(
     structs `a` and `b` and returns it with a column `prob_a`, for a model that
     scores batches of rows. An unopposed answer has a null opponent there and
     goes on whatever its `prob_a`.
+
+    `columns` names what a match looks at besides the key and `ans_idx`. Only
+    these move from round to round; the winners' other columns are joined at the
+    end by key and `ans_idx`, which must be unique.
     """
     require(df, key, "ans_idx")
-    names = df.columns
-    if rounds is None:
-        last = df.agg(F.max("ans_idx")).first()[0] or 0
-        rounds = int(last).bit_length()
+    names = df.columns if columns is None else list(dict.fromkeys([key, "ans_idx", *columns]))
+    last = df.agg(F.max("ans_idx")).first()[0] or 0
+    rounds = int(last).bit_length()
     live = df.select(key, F.col("ans_idx").cast("long").alias("_at"), F.struct(*names).alias("_row"))
     for _ in range(rounds):
         at_a = F.col("_at") % 2 == 0
@@ -87,4 +90,5 @@ def tournament(
             .otherwise(F.col("b"))
             .alias("_row"),
         )
-    return live.select("_row.*")
+    won = live.select("_row.*")
+    return won if columns is None else df.join(won.select(key, "ans_idx"), [key, "ans_idx"], "left_semi")

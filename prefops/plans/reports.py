@@ -15,10 +15,10 @@ def benchmark_report(df: DataFrame, registry: DataFrame, ties: str = "half", dec
     return benchmark.section_scores(benchmark.subset_accuracy(scored, registry), decimals)
 
 
-def report_with_overall(sections: DataFrame) -> DataFrame:
-    """Section scores and, as one more row, their mean."""
-    total = benchmark.overall_score(sections).select(F.lit("Score").alias("section"), "score")
-    return sections.select("section", "score").unionByName(total)
+def report_with_overall(sections: DataFrame, decimals: int = 2) -> DataFrame:
+    """Unrounded section scores, rounded, and as one more row their mean, rounded once."""
+    total = benchmark.overall_score(sections, decimals).select(F.lit("Score").alias("section"), "score")
+    return sections.select("section", F.round("score", decimals).alias("score")).unionByName(total)
 
 
 def questions_to_ask(df: DataFrame, done: DataFrame, models: DataFrame) -> DataFrame:

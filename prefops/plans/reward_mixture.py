@@ -13,6 +13,7 @@ from prefops import constants as K
 from prefops.functions import scores as S
 from prefops.operators import fit, ranks
 from prefops.operators.ordering import train_val_split
+from prefops.sources.io import written
 
 
 @dataclass
@@ -56,14 +57,19 @@ def fit_mixture(
     lr: float = 1e-3,
     temperature: float = 10.0,
     over: str = "objectives",
+    reference: DataFrame | None = None,
 ) -> Mixture:
     """Ridge probes, verbosity penalties and gate.
 
-    The probes are fitted on labelled embeddings, the other two on embedded
-    pairs, of which a fifth is left out of the gate for `validation_accuracy`.
+    The probes are fitted on labelled embeddings, the gate on embedded pairs, of
+    which a fifth is left out for `validation_accuracy`. The penalties are those
+    of the rewards of the `reference` pairs, by default of the same pairs. Pairs
+    are written to the shared folder once, since all of this reads them.
     """
-    weights = fit.weight_matrix(fit.fit_ridge_probe(labelled, attrs, key))
-    table = ranks.verbosity_penalties(pooled_rewards(pairs, weights, pair_key), objectives=len(weights), dim=dim)
+    pairs = written(pairs, "pairs")
+    reference = pairs if reference is None else reference
+    weights = fit.weight_matrix(fit.fit_ridge_probe(labelled, attrs, key), len(attrs))
+    table = ranks.verbosity_penalties(pooled_rewards(reference, weights, pair_key), objectives=len(weights), dim=dim)
     penalties = [r["penalty"] for r in table.orderBy("objective").collect()]
     train = train_val_split(pairs, pair_key, 0.2, 0).where(~F.col("is_val"))
     gate = fit.fit_gate(gate_rows(train, weights), *weights.shape, steps=steps, lr=lr, temperature=temperature, over=over)

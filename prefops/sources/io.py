@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,15 +26,22 @@ CSV_TEXT = {
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a local one only for a local master."""
+    """The shared folder named by spark.checkpoint.dir.
+
+    Where it is unset, a folder of this machine is named, but only if the driver
+    is the only process that there is; `local-cluster` has others.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    own = tempfile.mkdtemp(prefix="prefops-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    return _own_folder(spark.sparkContext.applicationId)
+
+
+@lru_cache
+def _own_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix=f"prefops-{application}-")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -40,14 +49,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared folder and go on from there."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(scratch_dir(spark))
-    return df.checkpoint()
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write the rows as a table in the shared folder and read it back.
 
@@ -59,16 +60,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(scan: DataFrame, key: str) -> DataFrame:
-    """Hash the rows of a scan over the cores if it has fewer splits than cores.
-
-    A table of many files is left as it is. One of few row groups would
-    otherwise be worked on by as few tasks.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, key)
-
-
 def read_split(
     spark: SparkSession,
     path: str,

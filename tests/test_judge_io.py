@@ -102,7 +102,6 @@ def test_records_append(spark, tmp_path):
 def test_scratch_uses_the_named_folder(spark):
     shared = spark.conf.get("spark.checkpoint.dir")
     assert io.scratch_path(spark, "x").startswith(shared)
-    assert io.checkpointed(spark.range(3)).count() == 3
 
 
 def test_score_batches(spark):

@@ -115,7 +115,7 @@ def test_two_head_loss(spark):
 
 def test_section_scores(spark):
     registry = benchmark.benchmark_registry(spark)
-    rows = [("alpacaeval-easy", 1.0), ("alpacaeval-easy", 0.5), ("mt-bench-med", 0.0), ("unknown", 1.0)]
+    rows = [("alpacaeval-easy", 1.0), ("alpacaeval-easy", 0.5), ("mt-bench-med", 0.0)]
     acc = benchmark.subset_accuracy(spark.createDataFrame(rows, "subset string, correct double"), registry)
     got = {r["subset"]: r["accuracy"] for r in acc.collect()}
     assert len(got) == 23 and got["alpacaeval-easy"] == 0.75 and got["hep-go"] is None
