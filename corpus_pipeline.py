@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prefops.llm import bpe, decontaminate, jaccard, quality, queries, secrets
+from prefops.llm.frames import rows_of_keys
 from prefops.sources import io
 
 
@@ -25,8 +26,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest id stays; rows without an id stay."""
     groups = jaccard.jaccard_components(docs)
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = io.written(groups.where("doc_id <> component_id").select("doc_id"), "gone")
+    return rows_of_keys(docs, "doc_id", gone, inside=False)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

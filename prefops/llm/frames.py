@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,3 +53,38 @@ def map_texts(
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in range(n)), *new], names)
 
     return source.mapInArrow(run, types)
+
+
+#: Up to so many keys (32 MB) are sent to every task as a list.
+MOST_KEYS = 4_000_000
+_INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+
+
+def rows_of_keys(df: DataFrame, key: str, keys: DataFrame, inside: bool = True, most: int = MOST_KEYS) -> DataFrame:
+    """The rows of df whose key is among those of the one column of `keys`, or those whose key isn't.
+
+    Up to `most` integer keys go to the tasks as a sorted list, so that df, which
+    may hold long texts, isn't moved. More keys, or others, are joined. A null key
+    is among none. `keys` is read twice.
+    """
+    name = keys.columns[0]
+    keys = keys.where(F.col(quoted(name)).isNotNull()).distinct()
+    if not isinstance(df.schema[key].dataType, _INTEGERS) or keys.count() > most:
+        other = keys.select(F.col(quoted(name)).alias("__other"))
+        return df.join(other, F.col(quoted(key)) == F.col("__other"), "left_semi" if inside else "left_anti")
+    listed = np.sort(keys.select(F.col(quoted(name)).cast("long").alias("k")).toArrow()["k"].to_numpy())
+    shared = df.sparkSession.sparkContext.broadcast(listed)
+    at = df.columns.index(key)
+
+    def run(batches):
+        listed = shared.value
+        for batch in batches:
+            column = batch.column(at)
+            k = column.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
+            found = np.zeros(len(k), bool)
+            if len(listed):
+                found = listed[np.minimum(np.searchsorted(listed, k), len(listed) - 1)] == k
+                found &= np.asarray(column.is_valid())
+            yield batch.filter(pa.array(found == inside))
+
+    return df.mapInArrow(run, df.schema)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prefops.llm import bpe, chat, decontaminate, jaccard, language, passages, quality, secrets, tokenfile, toxicity
+from prefops.llm.frames import rows_of_keys
 from prefops.sources import io
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,8 +39,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def trusted_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The texts of all documents whose label says that their quality is good."""
-    good = labels.where("quality = 1").select(F.col("doc_id").alias("__good")).distinct()
-    return docs.join(good, docs.doc_id == good["__good"], "left_semi").select("doc_id", "text")
+    return rows_of_keys(docs.select("doc_id", "text"), "doc_id", labels.where("quality = 1").select("doc_id"))
 
 
 @query("op1_quality_rules")

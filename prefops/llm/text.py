@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Texts are worked on in pieces of about so many bytes; a longer text is a piece of its own.
-PIECE_BYTES = 1 << 21
+PIECE_BYTES = 1 << 20
 
 U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
