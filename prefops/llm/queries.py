@@ -166,8 +166,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def severity_grades(labels: DataFrame) -> DataFrame:
-    """0 for a document that isn't toxic, 1 for a toxic one in good prose, 2 for one in bad prose."""
-    return labels.select("doc_id", F.when(F.col("toxic") == 1, F.when(F.col("quality") == 0, 2).otherwise(1)).when(F.col("toxic") == 0, 0).alias("grade"))
+    """The grades that the labels know: 1 for a toxic document, 0 for another."""
+    return labels.select("doc_id", F.col("toxic").alias("grade"))
 
 
 @query("op9_toxicity")

@@ -4,7 +4,7 @@ The chance of a grade above g is the logistic function of a weighted sum of the
 words that a text holds, less a threshold of g. All grades share the weights;
 only the ordered thresholds differ. A text's severity is its expected grade.
 
-Weights are for exact words, chosen by how their presence differs between grades,
+Weights are for exact words and beginnings of words, chosen by how their presence differs between grades,
 so that a long text doesn't become toxic by the collisions of its many words.
 """
 
@@ -20,12 +20,14 @@ from prefops.llm.frames import map_texts, quoted
 
 #: Labelled rows that a model is fitted on, those of the smallest hashes of their ids.
 MAX_ROWS = 10_000
-MAX_FEATURES = 512
+MAX_FEATURES = 1024
+#: Words also count by their first so many bytes, for families of words and for inflected ones.
+BEGINNINGS = (5, 6, 8)
 #: A word counts if it is in so many of these rows, and its share differs between grades by so many standard errors.
 MIN_ROWS = 3
 MIN_Z = 4.0
-L2 = 0.02
-STEPS = 800
+L2 = 0.5
+STEPS = 600
 MILLION = 1_000_000
 
 
@@ -44,9 +46,15 @@ class Model:
 
 
 def held_words(texts: tx.Texts) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of letters, A-Z as a-z, and where each text's begin."""
+    """Hashes of all words of letters and of their beginnings, A-Z as a-z, and the text of each."""
     words = tx.words_of(texts, tx.LETTER_BYTES)
-    return tx.hash_spans(texts.data, words.starts, words.ends, fold=True), words.first
+    owner = words.text_of()
+    hashes, owners = [tx.hash_spans(texts.data, words.starts, words.ends, fold=True)], [owner]
+    for size in BEGINNINGS:
+        longer = words.ends - words.starts > size
+        hashes.append(tx.hash_spans(texts.data, words.starts[longer], words.starts[longer] + size, fold=True))
+        owners.append(owner[longer])
+    return np.concatenate(hashes), np.concatenate(owners)
 
 
 def labelled_words(docs: DataFrame, labels: DataFrame, key: str, text: str, grade: str, max_rows: int) -> DataFrame:
@@ -57,8 +65,10 @@ def labelled_words(docs: DataFrame, labels: DataFrame, key: str, text: str, grad
     rows = docs.select(F.col(quoted(key)).alias("__key"), F.col(quoted(text)).alias("text")).join(F.broadcast(sample), "__key")
 
     def make(column: pa.Array) -> list[pa.Array]:
-        hashes, first = held_words(tx.texts_of(column))
-        return [pa.array([np.unique(hashes[a:b]).tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)], pa.binary())]
+        hashes, owner = held_words(tx.texts_of(column))
+        order = np.argsort(owner, kind="stable")
+        parts = np.split(hashes[order], np.searchsorted(owner[order], np.arange(1, len(column))))
+        return [pa.array([np.unique(x).tobytes() for x in parts], pa.binary())]
 
     return map_texts(rows, "text", "words binary", make, keep=["grade"])
 
@@ -151,15 +161,14 @@ def predict(df: DataFrame, model: Model, text: str = "text", keep: list[str] | N
     def make(column: pa.Array) -> list[pa.Array]:
         model = shared.value
         n = len(column)
-        hashes, first = held_words(tx.texts_of(column))
+        hashes, owner = held_words(tx.texts_of(column))
         at = np.flatnonzero(model.sieve[hashes >> np.uint64(48)])
         place = np.searchsorted(model.words, hashes[at])
         good = place < len(model.words)
         at, place = at[good], place[good]
         same = model.words[place] == hashes[at]
         at, place = at[same], place[same]
-        owner = np.searchsorted(first, at, side="right") - 1
-        pairs = np.unique(owner * max(1, len(model.words)) + place)
+        pairs = np.unique(owner[at] * max(1, len(model.words)) + place)
         total = np.bincount(pairs // max(1, len(model.words)), model.weights[pairs % max(1, len(model.words))] if len(pairs) else None, n) / MILLION
         grades = np.array(model.grades or [0])
         chance = np.diff(np.concatenate([np.zeros((n, 1)), model.at_most(total), np.ones((n, 1))], axis=1), axis=1)
