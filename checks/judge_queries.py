@@ -16,6 +16,7 @@ from prefops.functions.rand import portable_hash
 from prefops.operators import judge
 from prefops.plans import reports
 from prefops.sources import io
+from prefops.streaming import labelling
 
 NL = "chr(10)"
 WS = sql_text(K.PY_SPACE)
@@ -169,6 +170,16 @@ def t7_rows(spark, d):
     return judge.judge_rows(I.raw_answers(spark, d))
 
 
+@query("streaming_label_batches", f"with {I.RAW_ANSWERS}, {SQL_JUDGED} select * from judged")
+def label_batches(spark, d):
+    """Two batches of a labelling run, the second with the answers of the first again, which are left out."""
+    path = io.scratch_path(spark, "labelled")
+    rows = I.raw_answers(spark, d)
+    labelling.label_batch(rows.where("index % 3 = 0"), 0, path)
+    labelling.label_batch(rows.withColumn("response_orig", F.when(F.col("index") % 3 == 0, F.lit("B")).otherwise(F.col("response_orig"))), 1, path)
+    return labelling.read_results(spark, path)
+
+
 @query(
     "c9_pending",
     f"with {I.RAW_ANSWERS} select index, model, split from raw_answers where {H(26, 'index')} % 3 <> 0",

@@ -264,6 +264,20 @@ def t3(spark, d):
     return augment.parse_pair_prompt(flat_prompts(spark, d))
 
 
+@query(
+    "t3_unparsed_prompts",
+    """select doc_id as id from documents where not (doc_id % 2 = 0 and doc_id % 3 <> 0) order by id""",
+)
+def t3_rejects(spark, d):
+    """Of prompts that lack a part, and labels that aren't one, all and no others are told."""
+    docs = I.table(spark, d, "documents").select(F.col("doc_id").alias("id"))
+    part = lambda s: F.concat(F.lit(s), F.col("id").cast("string"))
+    b = F.when(F.col("id") % 2 == 0, part(K.MARK_B)).otherwise(F.lit(""))
+    prompt = F.concat(part(K.MARK_CONTEXT), part(K.MARK_A), b)
+    label = F.when(F.col("id") % 3 == 0, F.lit("C")).otherwise(F.lit("A"))
+    return augment.unparsed_prompts(docs.select("id", X.user_assistant(prompt, label).alias("messages"))).select("id")
+
+
 def sql_render_triple(coin: str) -> str:
     return f"""'[CONTEXT]' || context || '[RESPONSE A]' || case when {coin} = 1 then response_w else response_l end
         || '[RESPONSE B]' || case when {coin} = 1 then response_l else response_w end as prompt,

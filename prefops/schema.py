@@ -16,25 +16,6 @@ STANDARD_PAIR = T.StructType(
     ]
 )
 
-FLAT_PAIR = T.StructType(
-    [
-        T.StructField("pair_id", T.LongType()),
-        T.StructField("prompt", T.StringType()),
-        T.StructField("chosen", T.StringType()),
-        T.StructField("rejected", T.StringType()),
-    ]
-)
-
-TRIPLE = T.StructType(
-    [
-        T.StructField("id", T.LongType()),
-        T.StructField("context", T.StringType()),
-        T.StructField("response_w", T.StringType()),
-        T.StructField("response_l", T.StringType()),
-        T.StructField("neutral", T.BooleanType()),
-    ]
-)
-
 JUDGEMENT = T.StructType(
     [
         T.StructField("split", T.StringType()),
@@ -59,13 +40,3 @@ def require(df: DataFrame, *columns: str) -> DataFrame:
     if missing:
         raise ValueError(f"missing columns {missing}; have {df.columns}")
     return df
-
-
-def require_fields(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Return `df`, or raise when a field of `schema` is missing or has another type."""
-    require(df, *schema.fieldNames())
-    for field in schema:
-        have = df.schema[field.name].dataType
-        if have.simpleString() != field.dataType.simpleString():
-            raise TypeError(f"{field.name}: need {field.dataType.simpleString()}, have {have.simpleString()}")
-    return df
