@@ -15,7 +15,9 @@ one of its shingles, which also meets segments that differ by one); if that
 isn't enough either, it indexes its first shingles one by one. Sets near those
 limits index these too, since their partners may be beyond.
 
-Sets that meet in a signature are compared exactly. Signatures that many sets
+Sets that meet in a signature are compared by sketches first, some bits per
+shingle that bound from below how many shingles they differ in, and what may
+still link is compared exactly. Signatures that many sets
 share are not expanded: every set is compared with the first one, linked sets
 are merged into components, and only sets of different components that still
 share a signature are compared with each other.
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from prefops.llm import text as tx
 from prefops.llm.components import connected_components
-from prefops.llm.frames import map_texts, quoted
+from prefops.llm.frames import MOST_KEYS, map_texts, quoted, rows_of_keys
 from prefops.sources import io
 
 SHINGLE = 5
@@ -43,8 +45,8 @@ FREQUENT_SHARE = 1 / 2000
 LEAST_FREQUENT = 32
 #: A task tells of the shingles that so many of its sets hold.
 LOCAL_FREQUENT = 3
-#: Up to so many sets that share a signature are compared with each other at once.
-SMALL = 8
+#: So many sets that share a signature are compared with each other at once; of more, each with the first.
+SMALL = 2
 
 _SALT = np.uint64(0xA0761D6478BD642F)
 _SINGLE = np.uint64(0xE7037ED1A0B428DB)
@@ -89,6 +91,30 @@ def sets_of(texts: tx.Texts, shingle: int = SHINGLE) -> Sets:
     return Sets(found[new], np.searchsorted(owner[new], np.arange(n + 1)))
 
 
+def sketches(sets: Sets) -> list[bytes]:
+    """For each set, whether the number of its shingles is odd in each of two to four times as many ranges of hash."""
+    bits = np.where(sets.sizes > 0, 2 << np.ceil(np.log2(np.maximum(sets.sizes, 4))).astype(np.int64), 8)
+    base = np.append(0, np.cumsum(bits))
+    shift = (64 - np.round(np.log2(bits)).astype(np.int64)).astype(np.uint64)
+    place = (sets.hashes >> np.repeat(shift, sets.sizes)).astype(np.int64) + np.repeat(base[:-1], sets.sizes)
+    raw = np.packbits((np.bincount(place, minlength=int(base[-1])) & 1).astype(np.uint8)).tobytes()
+    at = (base // 8).tolist()
+    return [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+
+def may_link(x: bytes, y: bytes, total: int, percent: int) -> bool:
+    """Whether the sketches of two sets of `total` shingles together allow that they link.
+
+    A range in which one number is odd and the other even holds a shingle that
+    only one set has. Ranges of the finer sketch are put together for the other.
+    """
+    a, b = np.unpackbits(np.frombuffer(x, np.uint8)), np.unpackbits(np.frombuffer(y, np.uint8))
+    if len(a) < len(b):
+        a, b = b, a
+    a = a.reshape(len(b), -1).sum(axis=1) & 1
+    return int(np.count_nonzero(a != b)) * (100 + percent) <= total * (100 - percent)
+
+
 def shares(percent: int) -> tuple[int, int]:
     if not 50 <= percent < 100:
         raise ValueError("percent must be from 50 to 99")
@@ -204,7 +230,7 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def shingle_sets(df: DataFrame, key: str, text: str, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame, np.ndarray]:
-    """Each row's key, set size and set id; frequent shingles with their counts; the frequent ones, sorted."""
+    """Each row's key, set size, set id and sketch; frequent shingles with their counts; the frequent ones, sorted."""
     spark = df.sparkSession
 
     def scan(batches):
@@ -216,7 +242,7 @@ def shingle_sets(df: DataFrame, key: str, text: str, shingle: int = SHINGLE) ->
                 sets = sets_of(tx.texts_of(column.slice(lo, hi - lo)), shingle)
                 rows = batch.column(0).slice(lo, hi - lo)
                 n = len(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int8)), rows, pa.array(sets.sizes), pa.array(sets.ids)], ["kind", "key", "n", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int8)), rows, pa.array(sets.sizes), pa.array(sets.ids), pa.array(sketches(sets), pa.binary())], _SET_COLUMNS)
                 _, once = np.unique(sets.ids, return_index=True)
                 seen.append(sets.chosen(once).hashes)
                 held += len(seen[-1])
@@ -227,9 +253,9 @@ def shingle_sets(df: DataFrame, key: str, text: str, shingle: int = SHINGLE) ->
             yield _reports(seen, rows.type)
 
     kind = df.schema[key].dataType.simpleString()
-    both = df.select(F.col(quoted(key)).alias("key"), F.col(quoted(text)).cast("string")).mapInArrow(scan, f"kind byte, key {kind}, n long, id long")
+    both = df.select(F.col(quoted(key)).alias("key"), F.col(quoted(text)).cast("string")).mapInArrow(scan, f"kind byte, key {kind}, n long, id long, sketch binary")
     table = io.written(both, "sets")
-    keys = table.where("kind = 0").select("key", "n", "id")
+    keys = table.where("kind = 0").select("key", "n", "id", "sketch")
     least = max(LEAST_FREQUENT, int(keys.count() * FREQUENT_SHARE))
     # The counts of all shingles add up to all sizes, so no more than 1 / FREQUENT_SHARE times the mean size pass.
     counts = table.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
@@ -237,6 +263,7 @@ def shingle_sets(df: DataFrame, key: str, text: str, shingle: int = SHINGLE) ->
     return keys, counts, np.sort(frequent)
 
 
+_SET_COLUMNS = ["kind", "key", "n", "id", "sketch"]
 #: A task counts so many shingles (64 MB) together.
 MOST_HELD = 8_000_000
 
@@ -245,7 +272,7 @@ def _reports(seen: list[np.ndarray], key_type) -> pa.RecordBatch:
     values, counts = np.unique(np.concatenate(seen), return_counts=True)
     often = counts >= LOCAL_FREQUENT
     n = int(often.sum())
-    return pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int8)), pa.nulls(n, key_type), pa.array(counts[often]), pa.array(values[often].view(np.int64))], ["kind", "key", "n", "id"])
+    return pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int8)), pa.nulls(n, key_type), pa.array(counts[often]), pa.array(values[often].view(np.int64)), pa.nulls(n, pa.binary())], _SET_COLUMNS)
 
 
 def candidates(df: DataFrame, text: str, frequent: np.ndarray, percent: int, shingle: int) -> tuple[DataFrame, DataFrame]:
@@ -339,22 +366,37 @@ def _met(kind: int, rows: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), kind, np.int8)), pa.array(np.ascontiguousarray(rows[:, 0])), pa.array(np.ascontiguousarray(rows[:, 1]))], ["kind", "a", "b"])
 
 
-def linked(pairs: DataFrame, keys: DataFrame, df: DataFrame, key: str, text: str, percent: int, shingle: int) -> DataFrame:
-    """The pairs (a, b) whose sets link, from the whole sets.
+def linked(pairs: DataFrame, keys: DataFrame, df: DataFrame, key: str, text: str, percent: int, shingle: int, most_keys: int = MOST_KEYS) -> DataFrame:
+    """The pairs (a, b) whose sets link: by their sketches first, then from the whole sets.
 
-    One text of each set that is in a pair is read again; no other set is moved.
+    One text of each set that is in a pair is read again; no other text or set is
+    moved, up to `most_keys` of them (see `rows_of_keys`).
     """
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    one = keys.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("key").alias("key"))
-    texts = df.select(F.col(quoted(key)).alias("key"), F.col(quoted(text)).cast("string").alias("text")).join(one, "key")
+    # Equal ids have equal sizes and sketches.
+    one = keys.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("key").alias("key"), F.max("n").alias("n"), F.max("sketch").alias("sketch"))
+    one = io.written(one, "wanted")
+    sketched = pairs.join(one.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
+    sketched = sketched.join(one.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
+
+    def likely(batches):
+        for batch in batches:
+            total = batch.column(2).to_numpy()
+            x, y = batch.column(3), batch.column(4)
+            good = [may_link(x[i].as_py(), y[i].as_py(), int(total[i]), percent) for i in range(batch.num_rows)]
+            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+
+    pairs = io.written(sketched.select("a", "b", F.col("na") + F.col("nb"), "sa", "sb").mapInArrow(likely, "a long, b long"), "likely")
+    one = one.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi")
+    texts = rows_of_keys(df.select(F.col(quoted(key)).alias("key"), F.col(quoted(text)).cast("string").alias("text")), "key", one.select("key"), most=most_keys)
 
     def make(column: pa.Array) -> list[pa.Array]:
         sets = sets_of(tx.texts_of(column), shingle)
         raw, first = sets.hashes.tobytes(), sets.first.tolist()
         return [pa.array(sets.ids), pa.array([raw[8 * a : 8 * b] for a, b in zip(first, first[1:], strict=False)], pa.binary())]
 
-    # Other rows with the same key may have another set.
-    sets = io.written(map_texts(texts, "text", "own long, hashes binary", make, keep=["id"]).where("id = own").select("id", "hashes"), "compared")
+    # Rows with the same key may have other sets, that nobody asks for.
+    sets = io.written(map_texts(texts, "text", "id long, hashes binary", make, keep=[]), "compared")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b")
 
     def compare(batches):

@@ -127,6 +127,16 @@ def test_long_texts_and_clashing_names(spark):
     assert [(r.doc_id, r.component_id) for r in jaccard.jaccard_components(df).orderBy("doc_id").collect()] == [(0, 0), (1, 0), (2, 2)]
 
 
+def test_texts_found_by_a_join(spark):
+    """Beyond the limit of the broadcast the same links are found."""
+    texts = near_copies(9, 40, 4)
+    df = documents(spark, texts)
+    keys, _, frequent = jaccard.shingle_sets(df, "doc_id", "text")
+    pairs, _ = jaccard.candidates(df, "text", frequent, 80, 5)
+    found = [sorted(tuple(r) for r in jaccard.linked(pairs, keys, df, "doc_id", "text", 80, 5, most_keys=m).collect()) for m in (0, 10**6)]
+    assert found[0] == found[1] and found[0]
+
+
 def test_components(spark):
     rng = random.Random(3)
     pairs = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 50)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
@@ -146,6 +156,21 @@ def test_components(spark):
     assert set(got) == {x for a, b in pairs if a != b for x in (a, b)}
 
 
+def test_sketches_never_drop_a_link():
+    rng = np.random.default_rng(8)
+    dropped = 0
+    for trial in range(300):
+        n = int(rng.integers(1, [6, 60, 900][trial % 3]))
+        a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        b = np.unique(np.append(rng.choice(a, max(1, int(len(a) * rng.uniform(0.6, 1))), replace=False), rng.integers(0, 2**64, int(n * rng.uniform(0, 0.4)), dtype=np.uint64)))
+        sets = jaccard.Sets(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
+        x, y = jaccard.sketches(sets)
+        may = jaccard.may_link(x, y, len(a) + len(b), 80)
+        assert may or not jaccard.similar(a, b, 80)
+        dropped += not may
+    assert dropped > 50
+
+
 def test_order_of_hashes_is_kept():
     texts = tx.texts_of(pa.array(["a b c d e f a b c d e", None, "x"]))
     sets = jaccard.sets_of(texts)
