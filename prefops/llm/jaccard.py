@@ -15,6 +15,11 @@ one of its shingles, which also meets segments that differ by one); if that
 isn't enough either, it indexes its first shingles one by one. Sets near those
 limits index these too, since their partners may be beyond.
 
+Counts from single tasks miss what is frequent overall but not in a task. So a set
+indexes half as many segments again, and when it is known how many sets share
+each signature, it gives up its most frequent ones, down to H + 1. A pair is
+compared where one of both still stands by the signature that they share.
+
 Sets that meet in a signature are compared by sketches first, some bits per
 shingle that bound from below how many shingles they differ in, and what may
 still link is compared exactly. Signatures that many sets
@@ -27,7 +32,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prefops.llm import text as tx
@@ -45,6 +50,8 @@ FREQUENT_SHARE = 1 / 2000
 LEAST_FREQUENT = 32
 #: A task tells of the shingles that so many of its sets hold.
 LOCAL_FREQUENT = 3
+#: A signature that no more sets share isn't given up.
+CHEAP = 8
 #: So many sets that share a signature are compared with each other at once; of more, each with the first.
 SMALL = 2
 
@@ -138,8 +145,12 @@ def band_edges(largest: int) -> np.ndarray:
     return np.array(edges, np.int64)
 
 
-def signatures(sets: Sets, frequent: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of all sets, and the set of each."""
+def signatures(sets: Sets, frequent: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of all sets, the set of each, and what else matters: how many the set can spare there, and its size.
+
+    The last is the band, the number of signatures in that band that the set can
+    give up, and the size, packed into one number.
+    """
     p, _ = shares(percent)
     sizes = sets.sizes
     edges = band_edges(int(sizes.max(initial=1)))
@@ -150,19 +161,25 @@ def signatures(sets: Sets, frequent: np.ndarray, percent: int = PERCENT) -> tupl
         is_frequent = frequent[place] == sets.hashes
     # A set of fewer shingles only links with an equal one.
     able = budget(sizes, percent) > 1
-    out, of = [], []
+    out, of, infos = [], [], []
     for step in (0, 1):
         # A set that may link with one of the next band also takes part in that band.
         role = band + step
         mine = able if step == 0 else able & (100 * sizes >= p * edges[np.minimum(role, len(edges) - 1)])
         which = np.flatnonzero(mine)
         if len(which):
-            sigs, owner = _band_signatures(sets.chosen(which), role[which], edges, is_frequent[_rows(sets, which)], percent)
+            sigs, owner, spare = _band_signatures(sets.chosen(which), role[which], edges, is_frequent[_rows(sets, which)], percent)
             out.append(sigs)
             of.append(which[owner])
+            infos.append(((role[which] << SIZE_BITS | spare) << SIZE_BITS | sizes[which])[owner])
     if not out:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(out), np.concatenate(of)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(out), np.concatenate(of), np.concatenate(infos)
+
+
+#: Bits of a size; a set of more shingles (134 million) would be an error.
+SIZE_BITS = 27
+SIZE_MASK = (1 << SIZE_BITS) - 1
 
 
 def _rows(sets: Sets, which: np.ndarray) -> np.ndarray:
@@ -202,7 +219,9 @@ def _band_signatures(sets: Sets, role: np.ndarray, edges: np.ndarray, is_frequen
     worth = value[run_first[1:]] - value[run_first[:-1]]
     poor = short & (worth < budget(partner, percent) + 2 * differ)
 
-    take = usable & (short[run_owner] | (rank - before[run_owner] <= need[run_owner]))
+    more = need + need // 2 + 1
+    take = usable & (short[run_owner] | (rank - before[run_owner] <= more[run_owner]))
+    spare = np.where(short, 0, np.minimum(count, more) - need)
     sigs, of = [tx.mix(content[take] + place[take])], [run_owner[take]]
     # One-deletion neighbourhoods of segments that are left with a good shingle.
     wide = usable & (good >= 2) & short[run_owner]
@@ -213,12 +232,16 @@ def _band_signatures(sets: Sets, role: np.ndarray, edges: np.ndarray, is_frequen
         sigs.append(tx.mix(content[run[item]] - mixed[item] + place[run[item]]))
         of.append(owner[item])
     if poor.any():
+        # In one order for all sets: rare shingles first, then by hash.
+        rare_before = rare[:-1] - rare[first[owner]]
         in_set = np.arange(len(hashes)) - first[owner]
+        rares = (rare[first[1:]] - rare[first[:-1]])[owner]
+        place_in_order = np.where(is_frequent, rares + in_set - rare_before, rare_before)
         prefix = sizes - (p * sizes + 99) // 100 + 1
-        item = poor[owner] & (in_set < prefix[owner])
+        item = poor[owner] & (place_in_order < prefix[owner])
         sigs.append(tx.mix(hashes[item] ^ _SINGLE))
         of.append(owner[item])
-    return np.concatenate(sigs), np.concatenate(of)
+    return np.concatenate(sigs), np.concatenate(of), spare
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -276,7 +299,7 @@ def _reports(seen: list[np.ndarray], key_type) -> pa.RecordBatch:
 
 
 def candidates(df: DataFrame, text: str, frequent: np.ndarray, percent: int, shingle: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs of sets (a, b) to compare, and the sets (sig, id) of every signature that more than SMALL share."""
+    """Pairs of sets (a, b) to compare, and the sets (sig, id, info) of every signature that more than SMALL share."""
     known = df.sparkSession.sparkContext.broadcast(frequent)
 
     def index(batches):
@@ -290,16 +313,16 @@ def candidates(df: DataFrame, text: str, frequent: np.ndarray, percent: int, shi
                 if len(done) > MOST_IDS:
                     done.clear()
                 chosen = sets.chosen(fresh)
-                sigs, of = signatures(chosen, known.value, percent)
-                sizes, ids = chosen.sizes[of], chosen.ids[of]
+                sigs, of, infos = signatures(chosen, known.value, percent)
+                ids = chosen.ids[of]
                 for at in range(0, len(sigs), 1 << 18):
                     s = slice(at, at + (1 << 18))
-                    yield pa.RecordBatch.from_arrays([pa.array(sigs[s].view(np.int64)), pa.array(ids[s]), pa.array(sizes[s].astype(np.int32))], ["sig", "id", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(sigs[s].view(np.int64)), pa.array(ids[s]), pa.array(infos[s])], ["sig", "id", "info"])
 
-    rows = df.select(F.col(quoted(text)).cast("string")).mapInArrow(index, "sig long, id long, n int")
+    rows = df.select(F.col(quoted(text)).cast("string")).mapInArrow(index, "sig long, id long, info long")
     sorted_rows = rows.repartition("sig").sortWithinPartitions("sig", "id")
-    met = io.written(sorted_rows.mapInArrow(lambda b: _meet(b, percent), "kind byte, a long, b long"), "met")
-    return met.where("kind = 0").select("a", "b").distinct(), met.where("kind = 1").select(F.col("a").alias("sig"), F.col("b").alias("id"))
+    met = io.written(sorted_rows.mapInArrow(lambda b: _meet(b, percent), "kind byte, a long, b long, info long"), "met")
+    return met.where("kind = 0").select("a", "b").distinct(), met.where("kind = 1").select(F.col("a").alias("sig"), F.col("b").alias("id"), "info")
 
 
 #: A task remembers so many sets that it has indexed already.
@@ -313,7 +336,7 @@ def _meet(batches, percent: int):
     sets at most, so that memory doesn't grow with a signature's sets.
     """
     sig = None
-    held: list[tuple[int, int]] = []  # (id, size) of the sets of the signature that is open
+    held: list[tuple[int, int, int]] = []  # (id, size, info) of the sets of the signature that is open
     large = False
 
     def linkable(a, b):
@@ -324,9 +347,9 @@ def _meet(batches, percent: int):
             pairs += [(min(a[0], b[0]), max(a[0], b[0])) for i, a in enumerate(held) for b in held[i + 1 :] if linkable(a, b)]
 
     for batch in batches:
-        sigs, ids, sizes = (batch.column(i).to_numpy() for i in range(3))
+        sigs, ids, infos = (batch.column(i).to_numpy() for i in range(3))
         pairs: list[tuple[int, int]] = []
-        members: list[tuple[int, int]] = []
+        members: list[tuple[int, int, int]] = []
         n = len(sigs)
         if not n:
             continue
@@ -335,22 +358,23 @@ def _meet(batches, percent: int):
         # Signatures of one set, but for the first and last of the batch, are passed by at once.
         shared = same[:-1] | same[1:]
         shared[0] = shared[-1] = True
-        for s, i, size in zip(sigs[shared].tolist(), ids[shared].tolist(), sizes[shared].tolist(), strict=True):
+        for s, i, info in zip(sigs[shared].tolist(), ids[shared].tolist(), infos[shared].tolist(), strict=True):
+            size = info & SIZE_MASK
             if s != sig:
                 close(pairs)
                 sig, held, large = s, [], False
             if held and held[-1][0] == i:
                 continue
             if large:
-                held[1:] = [(i, size)]
-                members.append((s, i))
-                if linkable(held[0], (i, size)):
+                held[1:] = [(i, size, info)]
+                members.append((s, i, info))
+                if linkable(held[0], held[1]):
                     pairs.append((held[0][0], i))
                 continue
-            held.append((i, size))
+            held.append((i, size, info))
             if len(held) > SMALL:
                 large = True
-                members += [(s, x) for x, _ in held]
+                members += [(s, x, m) for x, _, m in held]
                 pairs += [(held[0][0], x[0]) for x in held[1:] if linkable(held[0], x)]
         different = np.unique(np.array(pairs, np.int64).reshape(-1, 2), axis=0)
         yield _met(0, different)
@@ -363,7 +387,7 @@ def _meet(batches, percent: int):
 
 
 def _met(kind: int, rows: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), kind, np.int8)), pa.array(np.ascontiguousarray(rows[:, 0])), pa.array(np.ascontiguousarray(rows[:, 1]))], ["kind", "a", "b"])
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), kind, np.int8)), *(pa.array(np.ascontiguousarray(rows[:, i])) for i in range(2)), pa.array(np.ascontiguousarray(rows[:, 2]) if kind else np.zeros(len(rows), np.int64))], ["kind", "a", "b", "info"])
 
 
 def linked(pairs: DataFrame, keys: DataFrame, df: DataFrame, key: str, text: str, percent: int, shingle: int, most_keys: int = MOST_KEYS) -> DataFrame:
@@ -431,14 +455,17 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", p
     links = io.written(linked(pairs, real, keyed, "key", "text", percent, shingle), "links")
     roots = connected_components(links)
     # Sets that share a frequent signature, but are not in one component yet.
-    placed = members.distinct().join(roots, members.id == roots.node, "left").select("sig", "id", F.coalesce("root", "id").alias("root"))
-    mixed = placed.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
-    left = placed.join(mixed, "sig", "left_semi").join(real.groupBy("id").agg(F.min("n").alias("n")), "id")
-    left = io.written(left, "left")
+    placed = members.join(roots, members.id == roots.node, "left").select("sig", "id", "info", F.coalesce("root", "id").alias("root"))
+    mixed = placed.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("sets")).where("lo <> hi").select("sig", "sets")
+    spare = F.shiftright("info", SIZE_BITS).bitwiseAND(SIZE_MASK)
+    # Windows of the signatures of one set in one band.
+    dearest = Window.partitionBy("id", F.shiftright("info", 2 * SIZE_BITS)).orderBy(F.desc("sets"), "sig")
+    left = placed.join(mixed, "sig").withColumns({"kept": (F.col("sets") <= CHEAP) | (F.row_number().over(dearest) > spare), "n": F.col("info").bitwiseAND(SIZE_MASK)})
+    left = io.written(left.select("sig", "id", "root", "n", "kept"), "left")
     if not left.isEmpty():
         other = left.select("sig", *(F.col(c).alias(c + "2") for c in ("id", "root", "n")))
-        near = (F.col("id") < F.col("id2")) & (F.col("root") != F.col("root2")) & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
-        more = left.join(other, "sig").where(near).select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+        near = (F.col("root") != F.col("root2")) & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
+        more = left.where("kept").join(other, "sig").where(near).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
         new = io.written(linked(io.written(more, "pairs"), real, keyed, "key", "text", percent, shingle), "links")
         # A component is linked already through its root.
         roots = connected_components(new.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))

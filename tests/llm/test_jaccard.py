@@ -107,7 +107,18 @@ def test_linked_sets_share_a_signature(percent):
         checked += 1
         frequent = np.sort(rng.choice(universe, int(len(universe) * rng.choice([0, 0.3, 0.9, 1])), replace=False))
         sets = jaccard.Sets(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
-        sigs, of = jaccard.signatures(sets, frequent, percent)
+        sigs, of, info = jaccard.signatures(sets, frequent, percent)
+        # One of both may give up any that it can spare, here those of the smallest number.
+        for giver in (0, 1):
+            kept = set(sigs[of == giver].tolist())
+            for band in set((info[of == giver] >> 2 * jaccard.SIZE_BITS).tolist()):
+                mine = (of == giver) & (info >> 2 * jaccard.SIZE_BITS == band)
+                spare = int(info[mine][0] >> jaccard.SIZE_BITS & jaccard.SIZE_MASK)
+                kept -= set(sorted(set(sigs[mine].tolist()))[:spare])
+            met = kept & set(sigs[of == 1 - giver].tolist())
+            needs = int(sets.sizes[giver]) * (100 - percent) // percent
+            other = int(sets.sizes[1 - giver]) * (100 - percent) // percent
+            lost += not met and needs <= other
         lost += not set(sigs[of == 0].tolist()) & set(sigs[of == 1].tolist())
     assert checked > 40 and lost == 0
 
