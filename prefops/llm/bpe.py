@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prefops.llm import text as tx
-from prefops.llm.frames import quoted, without
+from prefops.llm.frames import bounded_batches, quoted, without
 from prefops.llm.secrets import encoding, local_file, vocabulary_file
 
 #: Bytes of text in a block; a longer text is a block of its own.
@@ -104,6 +104,7 @@ def _cut(batches, parts: int) -> Iterator[pa.RecordBatch]:
                         pa.array([packed(np.diff(g, prepend=0)) for g in groups]), pa.array([pack_words([words[i] for i in g.tolist()]) for g in groups]),
                     ], names,
                 )
+    tx.release()
 
 
 def _encode_words(batches, name: str, pattern: str) -> Iterator[pa.RecordBatch]:
@@ -172,6 +173,7 @@ def encode(df: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text: s
     if pattern != tx_pattern():
         raise ValueError("the pre-tokens are those of public_tokenizers.PATTERN")
     spark = df.sparkSession
+    bounded_batches(spark)
     name = vocabulary_file(spark, ranks)
     # As many parts as the session deals out any shuffle to, which grows with the data.
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -208,6 +210,7 @@ def decode(df: DataFrame, ranks: str, pattern: str, ids: str = "ids", keep: list
     beyond the vocabulary gives the bytes of U+FFFD (and 0xFFFFFFFF if null, in
     `packed`). Columns of df that have the name of an added one are replaced.
     """
+    bounded_batches(df.sparkSession)
     table = df.sparkSession.sparkContext.broadcast(token_bytes(ranks, pattern))
     kept = without(df.columns if keep is None else keep, ["decoded", "packed"])
     source = df.select(*(F.col(quoted(c)) for c in kept), F.col(quoted(ids)).cast("array<int>").alias("__ids"))

@@ -9,6 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from prefops.llm import text as tx
+from prefops.llm.frames import bounded_batches
+
 SLICES = 16
 #: Counts are added over so many groups of tasks, then over the groups.
 GROUPS = 64
@@ -20,6 +23,7 @@ def total_counts(df: DataFrame, size: int, count: Callable[[pa.RecordBatch, dict
 
     The driver gets one number per name and count, whatever the data.
     """
+    bounded_batches(df.sparkSession)
     width = -(-size // SLICES)
     columns = df.columns
 
@@ -29,6 +33,7 @@ def total_counts(df: DataFrame, size: int, count: Callable[[pa.RecordBatch, dict
         for batch in batches:
             task = int(batch.column(len(columns))[0].as_py()) if batch.num_rows else task
             count(batch, totals)
+        tx.release()
         yield from _rows({(name, s, task % GROUPS): v[s * width : (s + 1) * width] for name, v in totals.items() for s in range(SLICES)})
 
     def add(batches):

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prefops.llm import text as tx
-from prefops.llm.frames import TEXT, quoted, without
+from prefops.llm.frames import TEXT, bounded_batches, quoted, without
 
 WINDOW = 10
 #: A text of which more than this share of words is hit isn't kept.
@@ -209,6 +209,7 @@ def decontaminate(
     the name of an added one are replaced.
     """
     spark = df.sparkSession
+    bounded_batches(spark)
     added = T.StructType.fromDDL(ADDED)
     kept = without(df.columns if keep is None else keep, added.fieldNames())
     pairs = items.select(F.coalesce(F.col(quoted(item_id)).cast("string"), F.lit("")).alias("id"), F.col(quoted(item_text)).cast("string").alias("text"))

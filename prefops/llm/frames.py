@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,6 +16,18 @@ from prefops.llm import text as tx
 TEXT = "__text"
 
 
+#: Bytes of a batch of rows on its way to Python.
+BATCH_BYTES = 8 << 20
+_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Hold the session's Arrow batches to BATCH_BYTES, so that long texts don't make them as large as they come."""
+    now = spark.conf.get(_LIMIT)
+    if now.startswith("-") or int(re.sub(r"\D", "", now)) > BATCH_BYTES:
+        spark.conf.set(_LIMIT, str(BATCH_BYTES))
+
+
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
@@ -39,6 +52,7 @@ def map_texts(
     A column of df with the name of a new one gives way to it. Rows move through
     Python as Arrow; no column but the text is looked at.
     """
+    bounded_batches(df.sparkSession)
     added = T.StructType.fromDDL(schema)
     kept = without(df.columns if keep is None else keep, added.fieldNames())
     source = df.select(*(F.col(quoted(c)) for c in kept), F.col(quoted(text)).cast("string").alias(TEXT))
@@ -51,6 +65,7 @@ def map_texts(
             for lo, hi in tx.pieces(texts, limit):
                 new = make(texts.slice(lo, hi - lo))
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in range(n)), *new], names)
+        tx.release()
 
     return source.mapInArrow(run, types)
 
@@ -67,6 +82,7 @@ def rows_of_keys(df: DataFrame, key: str, keys: DataFrame, inside: bool = True,
     may hold long texts, isn't moved. More keys, or others, are joined. A null key
     is among none. `keys` is read twice.
     """
+    bounded_batches(df.sparkSession)
     name = keys.columns[0]
     keys = keys.where(F.col(quoted(name)).isNotNull()).distinct()
     if not isinstance(df.schema[key].dataType, _INTEGERS) or keys.count() > most:

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from prefops.llm import text as tx
 from prefops.llm.components import connected_components
-from prefops.llm.frames import MOST_KEYS, map_texts, quoted, rows_of_keys
+from prefops.llm.frames import MOST_KEYS, bounded_batches, map_texts, quoted, rows_of_keys
 from prefops.sources import io
 
 SHINGLE = 5
@@ -254,7 +254,7 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 def shingle_sets(df: DataFrame, key: str, text: str, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame, np.ndarray]:
     """Each row's key, set size, set id and sketch; frequent shingles with their counts; the frequent ones, sorted."""
-    spark = df.sparkSession
+    bounded_batches(df.sparkSession)
 
     def scan(batches):
         seen: list[np.ndarray] = []
@@ -266,7 +266,7 @@ def shingle_sets(df: DataFrame, key: str, text: str, shingle: int = SHINGLE) ->
                 rows = batch.column(0).slice(lo, hi - lo)
                 n = len(rows)
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int8)), rows, pa.array(sets.sizes), pa.array(sets.ids), pa.array(sketches(sets), pa.binary())], _SET_COLUMNS)
-                _, once = np.unique(sets.ids, return_index=True)
+                once = np.unique(sets.ids, return_index=True)[1]
                 seen.append(sets.chosen(once).hashes)
                 held += len(seen[-1])
                 if held > MOST_HELD:
@@ -274,6 +274,7 @@ def shingle_sets(df: DataFrame, key: str, text: str, shingle: int = SHINGLE) ->
                     seen, held = [], 0
         if seen:
             yield _reports(seen, rows.type)
+        tx.release()
 
     kind = df.schema[key].dataType.simpleString()
     both = df.select(F.col(quoted(key)).alias("key"), F.col(quoted(text)).cast("string")).mapInArrow(scan, f"kind byte, key {kind}, n long, id long, sketch binary")
@@ -318,6 +319,7 @@ def candidates(df: DataFrame, text: str, frequent: np.ndarray, percent: int, shi
                 for at in range(0, len(sigs), 1 << 18):
                     s = slice(at, at + (1 << 18))
                     yield pa.RecordBatch.from_arrays([pa.array(sigs[s].view(np.int64)), pa.array(ids[s]), pa.array(infos[s])], ["sig", "id", "info"])
+        tx.release()
 
     rows = df.select(F.col(quoted(text)).cast("string")).mapInArrow(index, "sig long, id long, info long")
     sorted_rows = rows.repartition("sig").sortWithinPartitions("sig", "id")

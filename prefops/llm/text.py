@@ -6,6 +6,7 @@ works on that run: no Python object is made for a word unless it is asked for.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -49,6 +50,24 @@ _FOLDED = _EXACT.copy()
 _FOLDED[65:91] = _EXACT[97:123]
 
 
+def release() -> None:
+    """Give memory that this worker no longer uses back to the machine; workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+def _libc():
+    try:
+        library = ctypes.CDLL("libc.so.6")
+        return library if hasattr(library, "malloc_trim") else None
+    except OSError:
+        return None
+
+
+_LIBC = _libc()
+
+
 class Texts(NamedTuple):
     """The bytes of some texts: text i is data[offsets[i]:offsets[i + 1]]."""
 

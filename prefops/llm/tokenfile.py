@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from prefops.llm import simple8b
 from prefops.llm import text as tx
-from prefops.llm.frames import quoted
+from prefops.llm.frames import bounded_batches, quoted
 from prefops.llm.secrets import local_file, vocabulary_file
 
 #: Ids in a group; a longer document is a group of its own.
@@ -103,6 +103,7 @@ def write_tokens(df: DataFrame, path: str, tokenizer_file: str, end_id: int, key
     are not looked at.
     """
     spark = df.sparkSession
+    bounded_batches(spark)
     name = vocabulary_file(spark, tokenizer_file)
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = df.select(F.col(quoted(key)).cast("long").alias("key"), F.col(quoted(text)).cast("string"))
