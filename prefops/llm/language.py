@@ -172,8 +172,10 @@ def word_scores(model: Model, data: np.ndarray, words: LetterWords) -> np.ndarra
 def viterbi(scores: np.ndarray, first: np.ndarray, penalty: int) -> np.ndarray:
     """The language of every word on each text's best path; ties go to the earlier language.
 
-    A text stays in one language all along if no stretch of words gains as much in
-    another as one change costs. The paths of the others step on together, word by word.
+    A text stays in one language all along if no stretch of words gains half as much
+    in another as one change costs: a path of j stretches, none in that language,
+    changes j - 1 times, so one of them gains (j - 1) / j of a change. The paths of
+    the others step on together, word by word.
     """
     n_texts, n = len(first) - 1, len(scores)
     path = np.zeros(n, np.int64)
@@ -195,7 +197,7 @@ def viterbi(scores: np.ndarray, first: np.ndarray, penalty: int) -> np.ndarray:
         # Texts lie so far below each other that the least value so far is one of the same text.
         apart = owner * (int(upto.max() - before.min()) + 1 + 10 * penalty)
         least = np.minimum.accumulate(before - apart)
-        changes[owner[upto - apart - least >= penalty]] = True
+        changes[owner[2 * (upto - apart - least) >= penalty]] = True
     todo = sorted(np.flatnonzero(changes).tolist(), key=lambda i: -counts[i])
     if not todo:
         return path

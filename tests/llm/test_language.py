@@ -51,6 +51,16 @@ def test_paths_are_the_best(spark):
                 assert mine == brute_path(scores[a:b], penalty)
 
 
+def test_two_stretches_that_share_one_change():
+    scores = np.array([[7, 0, -50], [0, 0, 0], [-50, 0, 7]])
+    assert language.viterbi(scores, np.array([0, 3]), 12).tolist() in ([0, 0, 2], [0, 2, 2])
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        scores = rng.integers(-9, 0, (6, 4))
+        path = language.viterbi(scores, np.array([0, 6]), 12)
+        assert scores[np.arange(6), path].sum() - 12 * (path[1:] != path[:-1]).sum() == brute_path(scores, 12)
+
+
 def test_edges(spark):
     model = language.fit(table(spark, [(1, "the house", "en", ""), (2, "das haus", "de", "")]))
     out = language.identify(documents(spark, EDGE_TEXTS, extra=["lang_pred", "Score"]), model).collect()
