@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefops.llm import bpe, chat, decontaminate, jaccard, language, passages, quality, secrets, tokenfile, toxicity
+from prefops.llm import bpe, chat, decontaminate, jaccard, language, merkle, passages, quality, secrets, spelling, tokenfile, toxicity, treebpe
 from prefops.llm.frames import rows_of_keys
 from prefops.sources import io
 
@@ -20,6 +20,7 @@ ORACLES: dict[str, str] = {}
 SQL_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 BPE_RANKS = "byte_bpe_50k.tiktoken"
 BPE_TOKENIZER = "byte_bpe_50k.json"
+WORD_TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 
 
@@ -182,3 +183,85 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN, keep=["doc_id"])
     base = joined_spans(F.filter("spans", lambda s: s.kind != "random"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(base.cast("binary"), 256).alias("base_sha256"), joined_spans(F.col("spans")).alias("spans"), "n_random")
+
+
+# crc32 of the bytes of a text, bit by bit.
+SQL_CRC32 = """xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(strlen({0})), lambda i: ('0x' || substr(hex({0}), 2 * i + 1, 2))::bigint)),
+  lambda r, c: list_reduce(list_prepend(xor(r, c), range(8)), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295::bigint)"""
+
+
+@query(
+    "op11_merkle_manifest",
+    rf"""
+with recursive d as (select doc_id, source, lang, n_chars, text, coalesce({SQL_CRC32.format("doc_id::varchar")} % 7 = 0, false) changed from documents),
+  f as (select doc_id, lang, changed, n_chars,
+      coalesce(strlen(doc_id::varchar) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') a,
+      coalesce(strlen(text) || ':' || text, '-') z from d),
+  h as (select doc_id, lang, sha256(a || coalesce(strlen(n_chars::varchar) || ':' || n_chars, '-') || z) leaf,
+      sha256(a || coalesce(strlen((n_chars + changed::int)::varchar) || ':' || (n_chars + changed::int), '-') || z) claimed from f),
+  l as (select *, row_number() over () rid, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 pos, count(*) over (partition by lang) n from h),
+  t as (select lang, row_number() over (order by lang nulls first) - 1 tree, count(*) over () n from (select distinct lang from h)),
+  s as (select l.*, t.tree, t.n trees from l join t on l.lang is not distinct from t.lang),
+  low(tree, n, level, idx, h) as (
+    select tree, n, 0, pos, leaf from s union all
+    select tree, (n + 1) // 2, level + 1, idx // 2, sha256(string_agg(h, '' order by idx)) from low where n > 1 group by tree, n, level, idx // 2),
+  sub as (select tree, h from low where n = 1),
+  up(n, level, idx, h) as (
+    select (select count(*) from sub), 0, tree, h from sub union all
+    select (n + 1) // 2, level + 1, idx // 2, sha256(string_agg(h, '' order by idx)) from up where n > 1 group by n, level, idx // 2),
+  one(rid, tree, trees, n, level, idx, acc, proof) as (
+    select rid, tree, trees, n, 0, pos, claimed, '' from s union all
+    select one.rid, one.tree, trees, (one.n + 1) // 2, one.level + 1, one.idx // 2,
+      sha256(case when b.h is null then acc when one.idx % 2 = 0 then acc || b.h else b.h || acc end), proof || coalesce(b.h, '')
+    from one left join low b on b.tree = one.tree and b.level = one.level and b.idx = xor(one.idx, 1) where one.n > 1),
+  two(rid, n, level, idx, acc, proof) as (
+    select rid, trees, 0, tree, acc, proof from one where n = 1 union all
+    select rid, (two.n + 1) // 2, two.level + 1, two.idx // 2,
+      sha256(case when b.h is null then acc when two.idx % 2 = 0 then acc || b.h else b.h || acc end), proof || coalesce(b.h, '')
+    from two left join up b on b.level = two.level and b.idx = xor(two.idx, 1) where two.n > 1)
+select s.doc_id, s.leaf, sub.h subroot, r.h root, sha256(two.proof) proof_sha256, two.acc folded_root, two.acc = r.h verified
+from s join sub on sub.tree = s.tree join two on two.rid = s.rid and two.n = 1 cross join (select h from up where n = 1) r
+""",
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fields = {c: F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")}
+    chosen = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, F.lit(False))
+    more = F.col("n_chars").cast("decimal(38,0)") + F.when(chosen, 1).otherwise(0)
+    tampered = merkle.leaf_hash(list({**fields, "n_chars": more}.values()))
+    proofs = merkle.prove(merkle.manifest(docs, merkle.leaf_hash(list(fields.values())), "lang", "doc_id", tampered, whole=False))
+    return proofs.select(
+        F.col("key").alias("doc_id"), "leaf", "subroot", "root", F.sha2(F.col("proof").cast("binary"), 256).alias("proof_sha256"), "folded_root", "verified"
+    )
+
+
+@query("op12_tree_bpe")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = public_tokenizers.path(WORD_TOKENIZER)
+    ids = treebpe.encode(table(spark, sf_dir, "documents"), tokenizer)
+    both = treebpe.decode(ids, tokenizer, keep=["doc_id", "n_tokens"])
+    return both.select("doc_id", "n_tokens", hex_sha256("packed").alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
+@query(
+    "op13_spelling_variants",
+    rf"""
+with recursive w as (select doc_id, unnest(regexp_extract_all({SQL_LOWER}, '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) w from documents),
+  c as (select doc_id, w, count(*) n, doc_id || ':' || w k from w where length(w) >= 6 group by doc_id, w),
+  h as (select w, n, case when k is null then 1 else {SQL_CRC32.format("k")} end h from c),
+  v as (select case when h % 199 = 0 then left(w, (h % length(w))::int) || substr(w, (h % length(w))::int + 2) else w end word, n from h),
+  u as (select word, sum(n)::bigint n from v where length(word) >= 6 group by word having sum(n) >= 5),
+  i as (select word, n, unnest(range(length(word))) i from u),
+  x as (select distinct word, left(word, i::int) || substr(word, i::int + 2) v, left(word, i::int) || '*' || substr(word, i::int + 2) m from i),
+  p as (select x.word a, u.word b from x join u on x.v = u.word union select u.word, x.word from x join u on x.v = u.word
+    union select x.word, y.word from x join x y on x.m = y.m and x.word <> y.word),
+  b as (select a word, count(*) n_near, first(b order by n desc, b) best, max(n) best_n from p join u on u.word = p.b group by a),
+  f as (select u.word, u.n, coalesce(n_near, 0) n_near, case when best_n >= 5 * u.n then best end form, case when best_n >= 5 * u.n then best_n end form_n
+    from u left join b on b.word = u.word),
+  r(word, root, form) as (select word, word, form from f union all select r.word, f.word, f.form from r join f on f.word = r.form)
+select f.word, f.form, r.root, f.n, f.n_near, f.form_n from f join r on r.word = f.word and r.form is null
+""",
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.word_counts(table(spark, sf_dir, "documents"), change=spelling.planted_change)
+    return spelling.spelling_variants(words)
