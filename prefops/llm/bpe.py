@@ -57,26 +57,25 @@ def unpack_words(raw: bytes) -> list[bytes]:
 
 def block_words(column: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """The different words of a block of texts, frequent ones first; all words as numbers; where each text begins."""
-    hashes, codes, words, firsts, at, n_words = [], [], [], [np.zeros(1, np.int64)], 0, 0
+    codes, firsts, at = [], [np.zeros(1, np.int64)], 0
+    number: dict[bytes, int] = {}
     for lo, hi in tx.pieces(column):
         texts = tx.texts_of(column.slice(lo, hi - lo))
         cut = tx.pretokens(texts)
         found = tx.distinct_words(texts.data, cut)
-        hashes.append(found.hashes)
-        codes.append(found.codes + n_words)
-        words += tx.spans_of(texts.data, found.starts, found.ends)
+        # Pieces share words.
+        of = np.array([number.setdefault(w, len(number)) for w in tx.spans_of(texts.data, found.starts, found.ends)], np.int64)
+        codes.append(of[found.codes] if len(of) else np.zeros(0, np.int64))
         firsts.append(cut.first[1:] + at)
         at += len(found.codes)
-        n_words += len(found.hashes)
-    if not words:
+    if not number:
         return [], np.zeros(0, np.int64), np.concatenate(firsts)
-    # Pieces share words; a word's number is its rank by frequency in the block.
-    _, once, same = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
-    code = same[np.concatenate(codes)]
-    order = np.argsort(-np.bincount(code, minlength=len(once)), kind="stable")
+    # A word's number is its rank by frequency in the block.
+    words, code = list(number), np.concatenate(codes)
+    order = np.argsort(-np.bincount(code, minlength=len(words)), kind="stable")
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
-    return [words[i] for i in once[order].tolist()], rank[code], np.concatenate(firsts)
+    return [words[i] for i in order.tolist()], rank[code], np.concatenate(firsts)
 
 
 def _cut(batches, parts: int) -> Iterator[pa.RecordBatch]:

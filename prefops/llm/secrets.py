@@ -2,8 +2,7 @@
 
 Three shapes are looked for as they are: assignments to a name such as
 `password`, access keys, and long runs of hexadecimal digits. Then every other
-long unbroken string with digits, or with letters of both cases, is encoded with
-a public vocabulary. Words and names take few tokens; a string that needs a token
+unbroken string of 16 characters or more is encoded with a public vocabulary. Words and names take few tokens; a string that needs a token
 for every two characters or so is random. Digests of the usual lengths, UUIDs and
 plain numbers identify things and open nothing, so they are left out.
 """
@@ -27,8 +26,9 @@ ASSIGN = re.compile(r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 ASSIGN_LENGTH, ACCESS_LENGTH, HEX_LENGTH = 6, 20, 24
 
-MIN_LENGTH = 20
-MAX_CHARS_PER_TOKEN = 2.2
+#: Strings of MIN_LENGTH to LONG characters must have fewer characters a token: long words of some languages come close.
+MIN_LENGTH, LONG = 16, 20
+MAX_CHARS_PER_TOKEN, MAX_CHARS_PER_TOKEN_SHORT = 2.2, 1.7
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 _DIGEST = re.compile(rf"(?:0x)?(?:{'|'.join(f'[0-9a-f]{{{n}}}|[0-9A-F]{{{n}}}' for n in DIGEST_LENGTHS)})")
 _UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
@@ -36,9 +36,6 @@ _UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 _HEX = tx.class_table(lambda b: chr(b) in "0123456789abcdef")
 _STRING = tx.class_table(lambda b: b < 128 and (chr(b).isalnum() or chr(b) in "+/_=-"))
 _SIGN = tx.class_table(lambda b: chr(b) in ":=")
-_DIGIT = tx.class_table(lambda b: 48 <= b < 58)
-_UPPER = tx.class_table(lambda b: 65 <= b < 91)
-_LOWER = tx.class_table(lambda b: 97 <= b < 123)
 
 ADDED = "n_assign long, n_access long, n_hex long, n_random long, spans array<struct<kind:string,start:long,end:long>>, clean_text string"
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
@@ -98,6 +95,7 @@ def find_secrets(
     text: str = "text",
     keep: list[str] | None = None,
     max_chars_per_token: float = MAX_CHARS_PER_TOKEN,
+    max_chars_short: float = MAX_CHARS_PER_TOKEN_SHORT,
     mask: str = "[SECRET]",
 ) -> DataFrame:
     """The rows of df with the secrets in their texts.
@@ -107,8 +105,12 @@ def find_secrets(
     points, end exclusive, by start and then kind) and clean_text, in which every
     stretch of spans is replaced by `mask`.
 
+    A string is random if it has fewer than `max_chars_per_token` characters a
+    token, one below 20 characters `max_chars_short`.
+
     Spans of different base kinds may overlap; a random string within a base span
-    isn't listed again. A null text has no spans and a null clean text. Columns
+    isn't listed again. Repeated rows are returned each, an empty table gives an
+    empty one. A null text has no spans and a null clean text. Columns
     of df that have the name of an added one are replaced.
     """
     name = vocabulary_file(df.sparkSession, ranks)
@@ -139,15 +141,12 @@ def find_secrets(
             spans.setdefault(i, []).append((start, 2, end))
 
         strings = tx.words_of(texts, _STRING)
-        count = [np.append(0, np.cumsum(t[data])) for t in (_DIGIT, _UPPER, _LOWER)]
-        digit, upper, lower = (c[strings.ends] - c[strings.starts] for c in count)
-        likely = (strings.ends - strings.starts >= MIN_LENGTH) & ((digit >= 1) & (upper + lower >= 1) | (upper >= 3) & (lower >= 3))
-        for i, a, b, start, end in place(strings, np.flatnonzero(likely)):
+        for i, a, b, start, end in place(strings, np.flatnonzero(strings.ends - strings.starts >= MIN_LENGTH)):
             string = raw[a:b].decode()
             if identifies(string.strip("=-_+/")) or any(s <= start and end <= e for s, _, e in spans.get(i, ())):
                 continue
             tokens = encoding(local_file(name), pattern).encode_ordinary(string)
-            if len(string) < max_chars_per_token * len(tokens):
+            if len(string) < (max_chars_per_token if len(string) >= LONG else max_chars_short) * len(tokens):
                 spans.setdefault(i, []).append((start, 3, end))
 
         counts = np.zeros((len(KINDS), len(column)), np.int64)

@@ -7,6 +7,7 @@ works on that run: no Python object is made for a word unless it is asked for.
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -45,9 +46,8 @@ WORD_BYTES = class_table(lambda b: b >= 0x80 or chr(b).isalnum())
 LETTER_BYTES = class_table(lambda b: b >= 0x80 or chr(b).isalpha())
 NOT_NEWLINE = class_table(lambda b: b != 0x0A)
 
-_EXACT = mix(np.arange(1, 257, dtype=U64) * U64(BASE))
-_FOLDED = _EXACT.copy()
-_FOLDED[65:91] = _EXACT[97:123]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] = np.arange(97, 123)
 
 
 def release() -> None:
@@ -124,29 +124,60 @@ def words_of(texts: Texts, members: np.ndarray) -> Words:
     return Words(starts, ends, np.searchsorted(starts, offsets))
 
 
-_powers: list[np.ndarray] = []
+#: Bytes of a span that are hashed in steps of eight; a longer one is hashed in one go by itself.
+LONG_SPAN = 512
+_PARTS = np.array([(1 << (8 * k)) - 1 for k in range(9)], U64)
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of BASE and of its inverse, at least n of them."""
-    if not _powers or len(_powers[0]) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        ones = np.full(size, BASE, U64), np.full(size, pow(BASE, -1, 1 << 64), U64)
-        for x in ones:
-            x[0] = 1
-        _powers[:] = [np.multiply.accumulate(x) for x in ones]
-    return _powers[0], _powers[1]
+def _eights(data: np.ndarray) -> np.ndarray:
+    """At every byte the number that it and the seven after it make, with zeros beyond the end."""
+    padded = np.zeros(len(data) + 16, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data) + 8, "<u8", padded, strides=(1,))
 
 
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = False) -> np.ndarray:
-    """A 64-bit hash of each span's bytes, with A-Z taken as a-z if `fold`."""
+    """A 64-bit hash of each span's bytes, with A-Z taken as a-z if `fold`.
+
+    Eight bytes after eight go through a mixing function, so that the result isn't
+    a sum over the bytes: sums are alike for texts that mirror each other.
+    """
     if not len(starts):
         return np.zeros(0, U64)
-    lo, hi = int(starts[0]), int(ends[-1])
-    up, down = _power_tables(hi - lo + 1)
-    sums = np.zeros(hi - lo + 1, U64)
-    np.cumsum((_FOLDED if fold else _EXACT)[data[lo:hi]] * up[: hi - lo], out=sums[1:])
-    return mix((sums[ends - lo] - sums[starts - lo]) * down[starts - lo])
+    lo = int(starts[0])
+    data = data[lo : int(ends[-1])]
+    data, starts, sizes = _LOWER[data] if fold else data, starts - lo, ends - starts
+    eights = _eights(data)
+    out = mix(sizes.astype(U64) + U64(BASE))
+    rows = np.flatnonzero(sizes <= LONG_SPAN)
+    for at in range(0, LONG_SPAN, 8):
+        rows = rows[sizes[rows] > at] if at else rows
+        if not len(rows):
+            break
+        part = eights[starts[rows] + at] & _PARTS[np.minimum(sizes[rows] - at, 8)]
+        out[rows] = mix((out[rows] ^ part) * U64(BASE))
+    for i in np.flatnonzero(sizes > LONG_SPAN).tolist():
+        raw = data[starts[i] : starts[i] + sizes[i]].tobytes()
+        out[i] = int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little")
+    return out
+
+
+def equal_spans(a: np.ndarray, a_starts: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_starts: np.ndarray, b_ends: np.ndarray) -> np.ndarray:
+    """Whether span i of the bytes a is, byte by byte, span i of the bytes b."""
+    sizes = a_ends - a_starts
+    same = sizes == b_ends - b_starts
+    rows = np.flatnonzero(same & (sizes <= LONG_SPAN))
+    a8, b8 = _eights(a), _eights(b)
+    for at in range(0, LONG_SPAN, 8):
+        rows = rows[sizes[rows] > at]
+        if not len(rows):
+            break
+        differ = ((a8[a_starts[rows] + at] ^ b8[b_starts[rows] + at]) & _PARTS[np.minimum(sizes[rows] - at, 8)]) != 0
+        same[rows[differ]] = False
+        rows = rows[~differ]
+    for i in np.flatnonzero(same & (sizes > LONG_SPAN)).tolist():
+        same[i] = np.array_equal(a[a_starts[i] : a_ends[i]], b[b_starts[i] : b_ends[i]])
+    return same
 
 
 def windows(hashes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -269,8 +300,16 @@ class Distinct(NamedTuple):
 
 
 def distinct_words(data: np.ndarray, words: Words) -> Distinct:
-    hashes, at, codes = np.unique(hash_spans(data, words.starts, words.ends), return_index=True, return_inverse=True)
-    return Distinct(hashes, words.starts[at], words.ends[at], codes)
+    """Words are the same if their bytes are; one that only shares the hash of another gets a hash of its own."""
+    hashes = hash_spans(data, words.starts, words.ends)
+    found, at, codes = np.unique(hashes, return_index=True, return_inverse=True)
+    once = at[codes]
+    other = np.flatnonzero(~equal_spans(data, words.starts, words.ends, data, words.starts[once], words.ends[once]))
+    if len(other):
+        for i, raw in zip(other.tolist(), spans_of(data, words.starts[other], words.ends[other]), strict=True):
+            hashes[i] = int.from_bytes(hashlib.sha256(raw).digest()[:8], "little")
+        found, at, codes = np.unique(hashes, return_index=True, return_inverse=True)
+    return Distinct(found, words.starts[at], words.ends[at], codes)
 
 
 def spans_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:

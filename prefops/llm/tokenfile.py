@@ -9,6 +9,7 @@ ids of all earlier files gives every document its place in the corpus.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from functools import lru_cache
 
@@ -34,14 +35,16 @@ def tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    # The strings of special tokens are ordinary text.
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(path)
+
+
+@lru_cache(maxsize=1)
+def special_strings(path: str) -> list[bytes]:
+    return [t.content.encode() for t in tokenizer(path).get_added_tokens_decoder().values()]
 
 
 class WordIds:
-    """Ids of words by the words' hashes, as sorted arrays: some 30 bytes a word.
+    """Ids of words, found by hash and compared by bytes: some 40 bytes a word.
 
     The tokenizer sees every different word once, as long as it is remembered.
     """
@@ -52,9 +55,14 @@ class WordIds:
 
     def forget(self) -> None:
         self.hashes = np.zeros(0, np.uint64)
-        self.place = np.zeros(0, np.int64)  # of each hash's ids among the runs
+        self.place = np.zeros(0, np.int64)  # of each hash's word and ids
+        self.words = np.zeros(0, np.uint8)
+        self.ends = np.zeros(1, np.int64)
         self.runs = tx.Runs(np.zeros(0, np.uint32), np.zeros(0, np.int64))
 
+    def _ids(self, words: list[bytes]) -> tx.Runs:
+        return tx.runs_of([e.ids for e in tokenizer(self.path).encode_batch_fast([w.decode() for w in words], add_special_tokens=False)], np.uint32)
+
     def of(self, data: np.ndarray, found: tx.Distinct) -> tx.Runs:
         """The ids of each different word."""
         at = np.searchsorted(self.hashes, found.hashes)
@@ -67,14 +75,45 @@ class WordIds:
         new = np.flatnonzero(~known)
         if len(new):
             words = tx.spans_of(data, found.starts[new], found.ends[new])
-            fresh = tx.runs_of([e.ids for e in tokenizer(self.path).encode_batch_fast([w.decode() for w in words], add_special_tokens=False)], np.uint32)
+            fresh = self._ids(words)
             place = np.append(self.place, np.arange(len(new)) + len(self.runs.ends))
             hashes = np.append(self.hashes, found.hashes[new])
             order = np.argsort(hashes, kind="stable")
             self.hashes, self.place = hashes[order], place[order]
-            self.runs = tx.Runs(np.append(self.runs.values, fresh.values), np.append(self.runs.ends, fresh.ends + len(self.runs.values)))
+            self.words = np.append(self.words, np.frombuffer(b"".join(words), np.uint8))
+            self.ends = np.append(self.ends, self.ends[-1] + np.cumsum([len(w) for w in words]))
+            self.runs = _together(self.runs, fresh)
             at = np.searchsorted(self.hashes, found.hashes)
-        return tx.take_runs(self.runs, self.place[at])
+        place, runs = self.place[at], self.runs
+        # Words that only share a hash with one that is remembered are encoded each time.
+        other = np.flatnonzero(~tx.equal_spans(data, found.starts, found.ends, self.words, self.ends[place], self.ends[place + 1]))
+        if len(other):
+            place[other] = np.arange(len(other)) + len(runs.ends)
+            runs = _together(runs, self._ids(tx.spans_of(data, found.starts[other], found.ends[other])))
+        return tx.take_runs(runs, place)
+
+
+def _together(a: tx.Runs, b: tx.Runs) -> tx.Runs:
+    return tx.Runs(np.append(a.values, b.values), np.append(a.ends, b.ends + len(a.values)))
+
+
+def words_and_specials(texts: tx.Texts, specials: list[bytes]) -> tx.Words:
+    """Pre-tokens of texts; the string of a special token is one, and the text before and after it is cut by itself."""
+    data, offsets = texts
+    raw = data.tobytes()
+    spans = [m.span() for m in re.finditer(b"|".join(map(re.escape, specials)), raw)] if specials else []
+    # A string that lies across the end of a text isn't one.
+    lo, hi = np.array(spans, np.int64).reshape(-1, 2).T
+    within = np.searchsorted(offsets, lo, side="right") == np.searchsorted(offsets, hi, side="left")
+    lo, hi = lo[within], hi[within]
+    if not len(lo):
+        return tx.pretokens(texts)
+    cut = tx.pretokens(tx.Texts(data, np.unique(np.concatenate([offsets, lo, hi]))))
+    of = np.searchsorted(lo, cut.starts, side="right") - 1
+    inside = (of >= 0) & (cut.starts < hi[of])
+    starts = np.sort(np.append(cut.starts[~inside], lo))
+    ends = np.sort(np.append(cut.ends[~inside], hi))
+    return tx.Words(starts, ends, np.searchsorted(starts, offsets))
 
 
 @lru_cache(maxsize=1)
@@ -86,7 +125,7 @@ def word_ids(path: str) -> WordIds:
 def encoded(words: WordIds, column: pa.Array, end_id: int) -> tx.Runs:
     """The ids of each text of a piece, with the end id after them."""
     texts = tx.texts_of(column)
-    cut = tx.pretokens(texts)
+    cut = words_and_specials(texts, special_strings(words.path))
     found = tx.distinct_words(texts.data, cut)
     runs = tx.take_runs(words.of(texts.data, found), found.codes)
     ends = np.append(0, runs.ends)[cut.first]
@@ -98,7 +137,7 @@ def write_tokens(df: DataFrame, path: str, tokenizer_file: str, end_id: int, key
 
     `files` ranges of keys, by default as many as the session has shuffle
     partitions, become a file each. A null text is an empty one: its ids are the
-    end id. Rows with a null key come first; rows with the same key follow each
+    end id. The string of a special token within a text is that token. Rows with a null key come first; rows with the same key follow each
     other in the order of their ids. An empty table writes no row. Other columns
     are not looked at.
     """

@@ -31,3 +31,12 @@ def random_texts(seed, n, vocabulary=12, longest=60):
 
 
 EDGE_TEXTS = [None, "", " ", "\n\n", "word", "Zoë zoë ZOË", "a" * 5000, "same text here", "same text here", "\u0000x", "𝒳 y \U0001f600"]
+
+
+def _mirrored(n):
+    letters = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return [letters, letters.translate(str.maketrans("ab", "ba"))]
+
+
+#: Two words, each the other with a and b changed, alike under any sum of bytes times powers of an odd number.
+MIRRORED = _mirrored(1 << 11)

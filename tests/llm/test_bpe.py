@@ -13,11 +13,12 @@ from prefops.llm import bpe, simple8b, tokenfile
 from prefops.llm import text as tx
 from prefops.llm.queries import BPE_RANKS, BPE_TOKENIZER
 from prefops.llm.secrets import encoding
-from tests.llm.common import EDGE_TEXTS, documents, random_texts
+from tests.llm.common import EDGE_TEXTS, MIRRORED, documents, random_texts
 
 RANKS, JSON, PATTERN = public_tokenizers.path(BPE_RANKS), public_tokenizers.path(BPE_TOKENIZER), public_tokenizers.PATTERN
 HARD = ["it's we'll 'S 's' ''s don't'd", "  two  spaces\n\n  tab\t x ", "<|endoftext|> as text", "123 456abc ½ Ⅷ ٣", "\x1c\x85  a b", "é'ré 'sé", " ", "\n'll"]
 EDGES = EDGE_TEXTS + HARD
+SPECIALS = ["a<|endoftext|>b", "<|endoftext|>", "  <|endoftext|>  <|endoftext|><|endoftext|>x", "half <|endo", "ftext|> of one", "'<|endoftext|>s \n\n<|endoftext|>"]
 
 
 @given(st.lists(st.text(alphabet=st.sampled_from(list("ab'strevlmdLZ19 \n\t.,!é中\x1c\x85 😀")), max_size=30), max_size=8))
@@ -45,6 +46,31 @@ def test_ids_are_those_of_the_library_and_decode_again(spark):
         assert bytes(r.packed) == np.array(want, "<u4").tobytes()
 
 
+def test_words_that_mirror_each_other(spark, tmp_path):
+    """Sums over bytes can't tell such words apart."""
+    texts = [*MIRRORED, MIRRORED[1] + " " + MIRRORED[0]]
+    enc, t = encoding(RANKS, PATTERN), tokenfile.tokenizer(JSON)
+    rows = bpe.decode(encode(documents(spark, texts).coalesce(1)), RANKS, PATTERN).collect()
+    assert {r.doc_id: (list(r.ids), bytes(r.decoded).decode()) for r in rows} == {i: (enc.encode_ordinary(x), x) for i, x in enumerate(texts)}
+    tokenfile.write_tokens(documents(spark, texts).coalesce(1), str(tmp_path / "t"), JSON, 2)
+    assert {r.key: list(r.ids) for r in tokenfile.read_tokens(spark, str(tmp_path / "t")).collect()} == {i: [*t.encode(x, add_special_tokens=False).ids, 2] for i, x in enumerate(texts)}
+
+
+def test_words_with_the_same_hash(monkeypatch):
+    monkeypatch.setattr(tx, "hash_spans", lambda data, starts, ends, fold=False: (ends - starts).astype(np.uint64))
+    texts = random_texts(8, 6, vocabulary=40)
+    found = tx.texts_of(pa.array(texts))
+    cut = tx.pretokens(found)
+    words = tx.spans_of(found.data, cut.starts, cut.ends)
+    d = tx.distinct_words(found.data, cut)
+    once = tx.spans_of(found.data, d.starts, d.ends)
+    assert [once[c] for c in d.codes] == words and len(set(once)) == len(once)
+    assert sorted(bpe.block_words(pa.array(texts))[0]) == sorted(once)
+    ids, t = tokenfile.WordIds(JSON), tokenfile.tokenizer(JSON)
+    for part in (texts[:3], texts[3:], texts):
+        assert tokenfile.encoded(ids, pa.array(part), 2).values.tolist() == [i for x in part for i in [*t.encode(x, add_special_tokens=False).ids, 2]]
+
+
 def test_blocks_with_equal_rows_long_texts_and_null_keys(spark):
     long = "and so it goes; " * 700_000
     df = spark.createDataFrame([(None, "a b"), (1, "a b"), (1, "a b"), (2, long), (2, long)], "doc_id long, text string").repartition(1)
@@ -103,7 +129,7 @@ def brute_tokens(rows, end_id=2):
 
 @pytest.mark.parametrize("files", [1, 3, 16])
 def test_token_files(spark, tmp_path, files):
-    texts = EDGES + random_texts(4, 50)
+    texts = EDGES + SPECIALS + random_texts(4, 50)
     rows = [(3 * i - 40, t) for i, t in enumerate(texts)] + [(None, "no key")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     tokenfile.write_tokens(df, str(tmp_path / "t"), JSON, 2, files=files)

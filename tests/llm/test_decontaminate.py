@@ -2,7 +2,7 @@ import hashlib
 import re
 
 from prefops.llm import decontaminate
-from tests.llm.common import EDGE_TEXTS, documents, random_texts
+from tests.llm.common import EDGE_TEXTS, MIRRORED, documents, random_texts
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -77,3 +77,10 @@ def test_given_tables(spark, sf_dir):
         n, n_hit, found = brute(docs[r.doc_id], items, 10)
         assert (r.n_words, r.n_hit, r.n_items) == (n, n_hit, len(found))
         assert r.items_sha256 == hashlib.sha256(",".join(found).encode()).hexdigest()
+
+
+def test_words_that_mirror_each_other(spark):
+    a, b = MIRRORED
+    items = spark.createDataFrame([("x", a)], "item_id string, text string")
+    got = {r.doc_id: r.n_hit for r in decontaminate.decontaminate(documents(spark, [a, b]), items).collect()}
+    assert got == {0: 1, 1: 0}

@@ -7,7 +7,7 @@ import pytest
 
 from prefops.llm import components, jaccard
 from prefops.llm import text as tx
-from tests.llm.common import EDGE_TEXTS, documents, random_texts
+from tests.llm.common import EDGE_TEXTS, MIRRORED, documents, random_texts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -187,3 +187,9 @@ def test_order_of_hashes_is_kept():
     sets = jaccard.sets_of(texts)
     assert sets.sizes.tolist() == [6, 0, 1]
     assert (np.diff(sets.hashes[:6].astype(object)) > 0).all()
+
+
+def test_words_that_mirror_each_other(spark):
+    a, b = MIRRORED
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(documents(spark, [a, b, a]).coalesce(1)).collect()}
+    assert got == {0: 0, 1: 1, 2: 0}

@@ -56,3 +56,14 @@ def test_null_texts_and_ids_pass(spark, sf_dir):
     df = documents(spark, [None, "", "some words"]).union(documents(spark, ["no id"]).withColumn("doc_id", F.lit(None).cast("long")))
     for name, stage in corpus_pipeline.STAGES[1:]:
         assert stage(spark, df, sf_dir).count() == 4, name
+
+
+def test_repeated_ids(spark, sf_dir):
+    """A text stays even if its id is also that of a duplicate; of identical rows one stays."""
+    a, b, c = ("alpha " * 3 + "one two three four five six seven eight nine ten " + x for x in ("alpha", "beta gamma delta " * 4, "zeta eta theta " * 9))
+    rows = [(1, a), (5, a), (5, b), (8, c), (8, c), (9, None), (9, ""), (None, a), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en")).repartition(3)
+    left = corpus_pipeline.near_duplicates(spark, docs, sf_dir)
+    assert left.columns == ["doc_id", "text", "lang"]
+    got = sorted(((r.doc_id or 0, r.text) for r in left.collect()), key=repr)
+    assert got == sorted([(1, a), (5, b), (8, c), (9, None), (9, ""), (0, a), (0, a)], key=repr)

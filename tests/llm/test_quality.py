@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from prefops.llm import quality
-from tests.llm.common import EDGE_TEXTS, documents, random_texts
+from tests.llm.common import EDGE_TEXTS, MIRRORED, documents, random_texts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -88,3 +88,8 @@ def test_given_tables(spark, sf_dir):
     good = [r.kept for r in passed if labels[r.doc_id] == 1]
     bad = [r.kept for r in passed if labels[r.doc_id] == 0]
     assert all(good) and sum(bad) <= 0.1 * max(1, len(bad))
+
+
+def test_lines_that_mirror_each_other(spark):
+    text = "\n".join([*MIRRORED, MIRRORED[0]])
+    assert quality.score_quality(documents(spark, [text]), documents(spark, ["a b c"])).first().n_dup_lines == 1
