@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prefops.llm import bpe, decontaminate, jaccard, quality, queries, secrets
-from prefops.llm.frames import rows_of_keys
 from prefops.sources import io
 
 
@@ -18,26 +17,34 @@ def with_text(rows: DataFrame, columns: list[str], text: str) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and are like the trusted ones."""
+    """Documents that pass the base rules and are like the trusted ones; a null text fails the base rules."""
     trusted = queries.trusted_texts(docs, queries.table(spark, sf_dir, "labels"))
     return quality.score_quality(docs, trusted).where("kept").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays; rows without an id stay."""
-    groups = jaccard.jaccard_components(docs)
-    gone = io.written(groups.where("doc_id <> component_id").select("doc_id"), "gone")
-    return rows_of_keys(docs, "doc_id", gone, inside=False)
+    """Of each group of linked documents the one with the smallest id stays, of identical rows one.
+
+    Documents are told apart by a number of their row, so that different texts
+    under one id are decided each by itself. Documents without an id, and without
+    words, stay.
+    """
+    rows = io.written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    groups = jaccard.jaccard_components(rows.select("__row", "text"), key="__row").select("__row", "component_id")
+    named = rows.select("__row", "doc_id").where("doc_id is not null").join(groups, "__row")
+    first = named.groupBy("component_id").agg(F.min(F.struct("doc_id", "__row")).alias("first"))
+    gone = io.written(named.join(first, "component_id").where("__row <> first.__row").select("__row"), "gone")
+    return rows.join(gone, "__row", "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark passages are cut out; a document that mostly consists of them goes."""
+    """Benchmark passages are cut out; a document that mostly consists of them goes; a null text stays."""
     found = decontaminate.decontaminate(docs, queries.table(spark, sf_dir, "benchmark"))
     return with_text(found.where("kept"), docs.columns, "clean_text")
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked; every document stays."""
+    """Secrets are masked; every document stays, a null text as it is."""
     found = secrets.find_secrets(docs, public_tokenizers.path(queries.BPE_RANKS), public_tokenizers.PATTERN)
     return with_text(found, docs.columns, "clean_text")
 
