@@ -88,13 +88,32 @@ def _at_optimum(rows: DataFrame, residual: Column, loss: Column, model, reg: flo
     return means.select("n", (F.col("loss") < math.log(2)).alias("better_than_nothing"), (F.round(worst, 3) + 0.0).alias("slope"))
 
 
-@query("m3_fit_gate")
+SQL_GATE = f"with {I.PAIR_EMBEDDINGS} select count(*) as n, true as better_than_start, 0.0::double as loss_gap from pair_embeddings"
+
+
+def _gate_facts(pairs: DataFrame, **how) -> DataFrame:
+    """The fit's own loss must be the one that expressions over the scores give, and below that of the weights it started from."""
+    rows = reward_mixture.gate_rows(pairs, W, "pair_id")
+    start = fit.fit_gate(rows, N, I.DIM, steps=0, temperature=TEMPERATURE, **how)
+    gate = fit.fit_gate(rows, N, I.DIM, lr=0.02, temperature=TEMPERATURE, batch=1024, key="pair_id", **how)
+    scored = fit.mixture_pairs(pairs, W, gate.layers, TEMPERATURE)
+    loss = F.avg(F.log1p(F.exp(F.col("score_rejected") - F.col("score_chosen"))))
+    return scored.agg(
+        F.count("*").alias("n"),
+        (loss < fit.gate_loss(rows, start)).alias("better_than_start"),
+        F.round(F.abs(loss - fit.gate_loss(rows, gate)), 9).alias("loss_gap"),
+    )
+
+
+@query("m3_fit_gate", SQL_GATE)
 def m3(spark, d):
-    """Scores of pairs under a gate fitted on them."""
-    pairs = I.pair_embeddings(spark, d)
-    gate = fit.fit_gate(reward_mixture.gate_rows(pairs, W), N, I.DIM, lr=0.05, temperature=TEMPERATURE)
-    scored = fit.mixture_pairs(pairs, W, [(gate.weight, gate.bias)], TEMPERATURE)
-    return scored.select("pair_id", "score_chosen", "score_rejected", "correct")
+    return _gate_facts(I.pair_embeddings(spark, d))
+
+
+@query("m3_fit_gate_deep", SQL_GATE)
+def m3_deep(spark, d):
+    """Three hidden layers, as the gate in use has."""
+    return _gate_facts(I.pair_embeddings(spark, d), hidden=(32, 32, 32))
 
 
 def compared(spark: SparkSession, d: str) -> DataFrame:

@@ -6,9 +6,7 @@ and not of the data.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -24,29 +22,19 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from prefops import constants as K
 from prefops.functions import scores as S
 from prefops.operators import benchmark
+from prefops.operators.gate import GATE_FORMS, SIGNS, Gate, fit_gate, gate_loss
 from prefops.operators.ordering import train_val_split
+from prefops.operators.sums import added
 from prefops.schema import require
 from prefops.sources.io import written
 
 OPEN_PATTERNS = 8
 
 
-#: Partial sums of tasks are added in so many groups, and then over the groups.
-GROUPS = 64
-
-
-def _added(parts: DataFrame, *by: str) -> DataFrame:
-    """Sums of the vectors `v` by key, over groups of tasks first, so that no task adds those of all tasks."""
-    total = Summarizer.sum(F.col("v")).alias("v")
-    grouped = parts.withColumns({"v": array_to_vector("v"), "_group": F.spark_partition_id() % GROUPS}).groupBy(*by, "_group").agg(total)
-    return grouped.groupBy(*by).agg(total).select(*by, vector_to_array("v").alias("v"))
-
-
 def label_columns(df: DataFrame, attrs: Sequence[str], labels: str = "labels") -> DataFrame:
     """An array of labels as one nullable column per attribute; NaN stands for a label that is absent.
 
@@ -140,7 +128,7 @@ def ridge_path(
     """
     require(df, features, split, *attrs)
     parts = gram_partials(df, features, attrs, split)
-    by_pattern = _added(parts, "split", "mask", "i")
+    by_pattern = added(parts, "split", "mask", "i")
     width = F.size("v") - len(attrs)
     bits = F.array(*[F.struct(F.lit(a).alias("attr_idx"), F.lit(1 << a).alias("bit")) for a in range(len(attrs))])
     own = F.filter(bits, lambda b: F.col("mask").bitwiseAND(b["bit"]) != 0)
@@ -284,113 +272,6 @@ def preference_from_objectives(
     return scored.select(*kept, F.col("prediction").cast("int").alias(name))
 
 
-@dataclass
-class Gate:
-    """A fitted gate: weight (objectives × d), bias (objectives), and the loss before each step."""
-
-    weight: np.ndarray
-    bias: np.ndarray
-    temperature: float
-    over: str = "objectives"
-    losses: list[float] = field(default_factory=list)
-
-
-def _over_objectives(z: dict, r: dict, t: float) -> tuple[np.ndarray, dict]:
-    """Score gap of a batch and its slope by the logits of each side, softmax over objectives."""
-    gap, slopes = 0.0, {}
-    for side, sign in SIGNS.items():
-        g = S.softmax_rows(z[side], t)
-        score = (g * r[side]).sum(axis=1)
-        gap = gap + sign * score
-        slopes[side] = sign * g * (r[side] - score[:, None]) / t
-    return gap, slopes
-
-
-def _over_sides(z: dict, r: dict, t: float) -> tuple[np.ndarray, dict]:
-    """The same with the softmax over the two sides of a pair."""
-    g = 1.0 / (1.0 + np.exp(np.clip((z["rejected"] - z["chosen"]) / t, -700, 700)))
-    gap = (g * r["chosen"] - (1.0 - g) * r["rejected"]).sum(axis=1)
-    slope = g * (1.0 - g) * (r["chosen"] + r["rejected"]) / t
-    return gap, {"chosen": slope, "rejected": -slope}
-
-
-SIGNS = {"chosen": 1.0, "rejected": -1.0}
-GATE_FORMS = {"objectives": _over_objectives, "sides": _over_sides}
-
-
-def _gate_partials(weight: np.ndarray, bias: np.ndarray, temperature: float, over: str) -> Callable:
-    """Per task: sum of losses, rows, and gradient by weight and bias, as one array."""
-    form = GATE_FORMS[over]
-
-    def partials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(2 + weight.size + bias.size)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = {side: S.matrix(batch.column(f"{side}_prompt")) for side in SIGNS}
-            r = {side: S.matrix(batch.column(f"{side}_rewards")) for side in SIGNS}
-            gap, slopes = form({side: x[side] @ weight.T + bias for side in SIGNS}, r, temperature)
-            total[0] += np.logaddexp(0.0, -gap).sum()
-            total[1] += len(gap)
-            by_gap = -1.0 / (1.0 + np.exp(np.clip(gap, -700, 700)))
-            for side in SIGNS:
-                dz = by_gap[:, None] * slopes[side]
-                total[2 : 2 + weight.size] += (dz.T @ x[side]).reshape(-1)
-                total[2 + weight.size :] += dz.sum(axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], names=["v"])
-
-    return partials
-
-
-def fit_gate(
-    df: DataFrame,
-    objectives: int,
-    dim: int,
-    steps: int = 100,
-    lr: float = 1e-3,
-    temperature: float = 10.0,
-    weight_decay: float = 0.0,
-    seed: int = 0,
-    over: str = "objectives",
-) -> Gate:
-    """Softmax gate on the prompt embedding under the pairwise logistic loss of the mixture.
-
-    Rows have `chosen_prompt`, `rejected_prompt` (d) and `chosen_rewards`,
-    `rejected_rewards` (objectives). Every step takes the gradient over all rows
-    in one job; AdamW with a cosine schedule moves the objectives × d weights on
-    the driver. The rows are written to the shared folder once and kept in
-    memory from there, since every step reads them. `over` is as in
-    `mixture_pairs`.
-    """
-    cols = ["chosen_prompt", "rejected_prompt", "chosen_rewards", "rejected_rewards"]
-    require(df, *cols)
-    rng = np.random.default_rng(seed)
-    bound = 1.0 / math.sqrt(dim)
-    theta = rng.uniform(-bound, bound, objectives * (dim + 1))
-    first, second = np.zeros_like(theta), np.zeros_like(theta)
-    losses = []
-    table = written(df.select(*cols).dropna(), "gate")
-    rows = table.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        for step in range(steps):
-            w, b = theta[: objectives * dim].reshape(objectives, dim), theta[objectives * dim :]
-            parts = rows.mapInArrow(_gate_partials(w, b, temperature, over), "v array<double>")
-            total = np.array(_added(parts.withColumn("_", F.lit(0)), "_").first()["v"])
-            if not total[1]:
-                raise ValueError("no rows to fit the gate on")
-            losses.append(total[0] / total[1])
-            grad = total[2:] / total[1]
-            first = 0.9 * first + 0.1 * grad
-            second = 0.999 * second + 0.001 * grad**2
-            rate = lr * (1 + math.cos(math.pi * step / steps)) / 2
-            move = (first / (1 - 0.9 ** (step + 1))) / (np.sqrt(second / (1 - 0.999 ** (step + 1))) + 1e-8)
-            theta = theta * (1 - rate * weight_decay) - rate * move
-    finally:
-        rows.unpersist()
-    w, b = theta[: objectives * dim].reshape(objectives, dim), theta[objectives * dim :]
-    return Gate(w, b, temperature, over, losses)
-
-
 def mixture_pairs(
     df: DataFrame,
     weights: np.ndarray,

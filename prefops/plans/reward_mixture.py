@@ -36,9 +36,10 @@ def pooled_rewards(pairs: DataFrame, weights: np.ndarray, key: str = "pair_id")
     return pairs.select(F.inline(sides)).select("id", S.objective_rewards("e", weights).alias("rewards"))
 
 
-def gate_rows(pairs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """What the gate is fitted on: prompt embeddings and raw rewards of both sides."""
+def gate_rows(pairs: DataFrame, weights: np.ndarray, *keys: str) -> DataFrame:
+    """What the gate is fitted on: prompt embeddings and raw rewards of both sides, and the given keys."""
     return pairs.select(
+        *keys,
         F.col("chosen_prompt_emb").alias("chosen_prompt"),
         F.col("rejected_prompt_emb").alias("rejected_prompt"),
         S.objective_rewards("chosen_emb", weights).alias("chosen_rewards"),
@@ -58,11 +59,15 @@ def fit_mixture(
     temperature: float = 10.0,
     over: str = "objectives",
     reference: DataFrame | None = None,
+    hidden: Sequence[int] = (),
+    batch: int | None = 1024,
+    dropout: float = 0.0,
 ) -> Mixture:
     """Ridge probes, verbosity penalties and gate.
 
     The probes are fitted on labelled embeddings, the gate on embedded pairs, of
-    which a fifth is left out for `validation_accuracy`. The penalties are those
+    which a fifth is left out for `validation_accuracy`; its layers, batches and
+    dropout are as in `fit_gate`. The penalties are those
     of the rewards of the `reference` pairs, by default of the same pairs. Pairs
     are written to the shared folder once, since all of this reads them.
     """
@@ -72,7 +77,10 @@ def fit_mixture(
     table = ranks.verbosity_penalties(pooled_rewards(reference, weights, pair_key), objectives=len(weights), dim=dim)
     penalties = [r["penalty"] for r in table.orderBy("objective").collect()]
     train = train_val_split(pairs, pair_key, 0.2, 0).where(~F.col("is_val"))
-    gate = fit.fit_gate(gate_rows(train, weights), *weights.shape, steps=steps, lr=lr, temperature=temperature, over=over)
+    gate = fit.fit_gate(
+        gate_rows(train, weights, pair_key), *weights.shape, steps=steps, lr=lr, temperature=temperature, over=over,
+        hidden=hidden, batch=batch, key=pair_key, dropout=dropout,
+    )
     return Mixture(weights, penalties, gate)
 
 
@@ -80,7 +88,7 @@ def scored_pairs(pairs: DataFrame, mixture: Mixture, debias: bool = False, dim:
     """Pairs with the mixture score of both sides; raw rewards unless `debias`."""
     g = mixture.gate
     return fit.mixture_pairs(
-        pairs, mixture.weights, [(g.weight, g.bias)], g.temperature, mixture.penalties if debias else None, dim, g.over
+        pairs, mixture.weights, g.layers, g.temperature, mixture.penalties if debias else None, dim, g.over
     )
 
 

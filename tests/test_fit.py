@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -5,6 +7,7 @@ from pyspark.sql import functions as F
 from prefops import constants as K
 from prefops.functions import scores as S
 from prefops.operators import fit
+from prefops.operators import gate as gate_module
 from prefops.operators.ordering import train_val_split
 from prefops.plans import reward_mixture
 
@@ -122,37 +125,136 @@ def test_outcome_head_separates(spark):
     assert right.count() > 280
 
 
-def gate_numpy(w, b, t, c, r, p, steps, lr):
-    """The same fit with a dense gradient."""
-    k, d = w.shape
-    theta = np.concatenate([w.reshape(-1), b])
-    m, v = np.zeros_like(theta), np.zeros_like(theta)
+def dense_step(layers, t, c, r, p, masks=None):
+    """Loss and gradients of the network over some pairs whose two sides share the prompt, written out plainly."""
+    total, grads = 0.0, [(np.zeros_like(w), np.zeros_like(b)) for w, b in layers]
+    for row in range(len(c)):
+        acts, gap, back = {}, 0.0, {}
+        for side, sign, rewards in (("chosen", 1, c[row]), ("rejected", -1, r[row])):
+            a = [p[row]]
+            for i, (w, b) in enumerate(layers):
+                z = w @ a[-1] + b
+                if i < len(layers) - 1:
+                    z = np.maximum(z, 0) * (1 if masks is None else masks[side][i][row])
+                a.append(z)
+            g = np.exp(a[-1] / t - max(a[-1] / t))
+            g /= g.sum()
+            gap += sign * g @ rewards
+            back[side] = sign * (np.diag(g) - np.outer(g, g)) @ rewards / t
+            acts[side] = a
+        total += np.log1p(np.exp(-gap))
+        for side, a in acts.items():
+            d = back[side] * (-1 / (1 + np.exp(gap)))
+            for i in range(len(layers) - 1, -1, -1):
+                grads[i][0][:] += np.outer(d, a[i])
+                grads[i][1][:] += d
+                d = layers[i][0].T @ d * (a[i] > 0) * (1 if masks is None or not i else masks[side][i - 1][row])
+    return total / len(c), [(w / len(c), b / len(c)) for w, b in grads]
+
+
+def dense_fit(layers, t, c, r, p, steps, lr, chosen=lambda step: slice(None), masks=lambda step, rows: None):
+    m = [[np.zeros_like(x) for x in layer] for layer in layers]
+    v = [[np.zeros_like(x) for x in layer] for layer in layers]
     losses = []
     for step in range(steps):
-        w, b = theta[: k * d].reshape(k, d), theta[k * d :]
-        g = S.softmax_rows(p @ w.T + b, t)
-        diff = c - r
-        gap = (g * diff).sum(axis=1)
-        losses.append(np.log1p(np.exp(-gap)).mean())
-        slope = -1 / (1 + np.exp(gap)) / len(gap)
-        dz = slope[:, None] * g * (diff - gap[:, None]) / t
-        grad = np.concatenate([(dz.T @ p).reshape(-1), dz.sum(axis=0)])
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
+        rows = chosen(step)
+        loss, grads = dense_step(layers, t, c[rows], r[rows], p[rows], masks(step, rows))
+        losses.append(loss)
         rate = lr * (1 + np.cos(np.pi * step / steps)) / 2
-        theta = theta - rate * (m / (1 - 0.9 ** (step + 1))) / (np.sqrt(v / (1 - 0.999 ** (step + 1))) + 1e-8)
-    return theta, losses
-
-
-def test_gate_follows_the_dense_gradient(embedded):
+        new = []
+        for k, layer in enumerate(layers):
+            moved = []
+            for j, x in enumerate(layer):
+                m[k][j] = 0.9 * m[k][j] + 0.1 * grads[k][j]
+                v[k][j] = 0.999 * v[k][j] + 0.001 * grads[k][j] ** 2
+                moved.append(x - rate * (m[k][j] / (1 - 0.9 ** (step + 1))) / (np.sqrt(v[k][j] / (1 - 0.999 ** (step + 1))) + 1e-8))
+            new.append(tuple(moved))
+        layers = new
+    return layers, losses
+
+
+def same_layers(a, b):
+    for (w, x), (v, y) in zip(a, b, strict=True):
+        np.testing.assert_allclose(w, v, rtol=1e-6, atol=1e-8)
+        np.testing.assert_allclose(x, y, rtol=1e-6, atol=1e-8)
+
+
+@pytest.mark.parametrize("hidden", [(), (5,), (6, 5, 4)])
+def test_gate_follows_the_dense_gradient(embedded, hidden):
     df, c, r, p = embedded
     w = np.random.default_rng(5).normal(size=(3, 4))
     rows = reward_mixture.gate_rows(df, w)
-    start = fit.fit_gate(rows, 3, 4, steps=0, temperature=1.0)
-    gate = fit.fit_gate(rows, 3, 4, steps=6, lr=0.05, temperature=1.0)
-    theta, losses = gate_numpy(start.weight, start.bias, 1.0, c @ w.T, r @ w.T, p, 6, 0.05)
+    start = fit.fit_gate(rows, 3, 4, steps=0, temperature=1.0, hidden=hidden)
+    gate = fit.fit_gate(rows, 3, 4, steps=6, lr=0.05, temperature=1.0, hidden=hidden)
+    layers, losses = dense_fit(start.layers, 1.0, c @ w.T, r @ w.T, p, 6, 0.05)
     np.testing.assert_allclose(gate.losses, losses, rtol=1e-9)
-    np.testing.assert_allclose(np.concatenate([gate.weight.reshape(-1), gate.bias]), theta, rtol=1e-7, atol=1e-9)
+    same_layers(gate.layers, layers)
+    assert [x.shape for x, _ in gate.layers] == [(b, a) for a, b in zip((4, *hidden), (*hidden, 3), strict=True)]
     assert gate.losses[-1] < gate.losses[0]
+    assert fit.gate_loss(rows, gate) < losses[0]
+
+
+def hashes_of(pairs, seed):
+    return np.array([int(hashlib.md5(f"{seed}:{k}".encode()).hexdigest()[:8], 16) for k in pairs], np.uint64)
+
+
+@pytest.mark.parametrize("dropout", [0.0, 0.3])
+def test_gate_steps_on_drawn_batches(embedded, dropout):
+    """Batches are ranges of the hash of the key; dropout is fixed by the same hash."""
+    df, c, r, p = embedded
+    w, hidden, seed = np.random.default_rng(5).normal(size=(3, 4)), (6, 5), 4
+    h = hashes_of([x.pair_id for x in df.select("pair_id").collect()], seed)
+    rng = np.random.default_rng(seed)
+    start = gate_module.start_layers(3, 4, hidden, rng)
+    places = [rng.random() for _ in range(7)]
+
+    def chosen(step):
+        lo = int(places[step] * 2**32)
+        width = -(-(2**32) * 30 // len(h))
+        return np.flatnonzero((h.astype(np.int64) - lo) % 2**32 < width)
+
+    def masks(step, rows):
+        if not dropout:
+            return None
+        return {s: [gate_module.kept_units(h[rows], (step * 3 + i) * 2 + k, n, dropout) for i, n in enumerate(hidden)] for k, s in enumerate(fit.SIGNS)}
+
+    assert all(5 < len(chosen(s)) < 90 for s in range(7))
+    gate = fit.fit_gate(reward_mixture.gate_rows(df, w, "pair_id"), 3, 4, steps=7, lr=0.05, temperature=1.0, seed=seed, hidden=hidden, batch=30, key="pair_id", dropout=dropout)
+    layers, losses = dense_fit(start, 1.0, c @ w.T, r @ w.T, p, 7, 0.05, chosen, masks)
+    np.testing.assert_allclose(gate.losses, losses, rtol=1e-9)
+    same_layers(gate.layers, layers)
+
+
+def test_a_step_reads_its_batch(spark):
+    """A batch comes from the folders of its range, and ranges all around the hashes give every row."""
+    rows = spark.range(4000).select(F.expr("id * 4294967296 div 4000").alias("h"), F.array(F.lit(1.0)).alias("x"))
+    shelves = gate_module.Shelves(rows, 4000, 100)
+    assert shelves.bits == 5 and len(shelves.filled) == 32
+    seen = []
+    for k in range(40):
+        drawn = shelves.draw((k + 0.5) / 40)
+        assert len({f.rsplit("/", 2)[1] for f in drawn.inputFiles()}) <= 2
+        seen += [x.h for x in drawn.collect()]
+    # A row on the border of two ranges is in both, as they are rounded up.
+    assert set(seen) == {x.h for x in rows.collect()} and len(seen) <= 4040
+    plan = shelves.draw(0.99)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "h" in plan.split("PushedFilters: [")[1][:200]
+
+
+def test_gate_without_rows_or_keys(spark, embedded):
+    rows = reward_mixture.gate_rows(embedded[0], np.ones((3, 4)), "pair_id")
+    with pytest.raises(ValueError, match="no rows"):
+        fit.fit_gate(rows.where("false"), 3, 4)
+    with pytest.raises(ValueError, match="by key"):
+        fit.fit_gate(rows, 3, 4, batch=10)
+    few = fit.fit_gate(rows.union(rows.limit(1).withColumn("chosen_prompt", F.lit(None).cast("array<double>"))), 3, 4, steps=2, batch=10**6, key="pair_id")
+    assert len(few.losses) == 2
+
+
+def test_dropout_keeps_the_mean():
+    kept = gate_module.kept_units(np.arange(4000, dtype=np.uint64), 3, 50, 0.2)
+    assert kept.mean() == pytest.approx(1, abs=0.01) and set(np.unique(kept)) == {0.0, 1 / 0.8}
+    assert abs(kept.mean(axis=0) - 1).max() < 0.05 and (kept != gate_module.kept_units(np.arange(4000, dtype=np.uint64), 4, 50, 0.2)).any()
 
 
 @pytest.mark.parametrize("over", ["objectives", "sides"])
