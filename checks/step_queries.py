@@ -13,7 +13,7 @@ from prefops import constants as K
 from prefops.functions import scores as S
 from prefops.functions import text as X
 from prefops.functions.rand import portable_hash
-from prefops.operators import benchmark, ranking, steps
+from prefops.operators import benchmark, prefixes, ranking, steps
 from prefops.plans import best_of_n
 from prefops.sources import io
 
@@ -104,6 +104,50 @@ def t10_prefixes(spark, d):
     )
 
 
+def branching(spark: SparkSession, d: str) -> DataFrame:
+    """The tagged answers, each a second time with a further step: two answers with a common beginning."""
+    once = tagged(spark, d).select("q_id", "ans_idx", "prompt", "answer")
+    longer = once.withColumns({"ans_idx": F.col("ans_idx") + I.ANSWERS_PER_QUESTION, "answer": F.concat("answer", F.lit(f"\nSo it is.{TAG}"))})
+    return once.unionByName(longer)
+
+
+BRANCHING = f"""{TAGGED},
+branching as (select q_id, ans_idx, prompt, answer from tagged
+    union all select q_id, ans_idx + {I.ANSWERS_PER_QUESTION}, prompt, answer || {NL} || 'So it is.{TAG}' from tagged),
+turns as (select q_id, ans_idx, step, case when step = 0 then prompt || ' ' || text else text end as text
+    from (select q_id, ans_idx, prompt, unnest(range(len(s)))::int as step, trim(unnest(s), {WS}) as text
+          from (select *, string_split(answer, 'ки' || {NL}) as s from branching)))"""
+
+
+@query(
+    "t10_prefix_nodes",
+    f"""with recursive {BRANCHING},
+    chain(q_id, ans_idx, step, id, parent, text) as (
+      select q_id, ans_idx, step, sha256(chr(10) || text), null::varchar, text from turns where step = 0
+      union all select t.q_id, t.ans_idx, t.step, sha256(c.id || chr(10) || t.text), c.id, t.text
+      from chain c join turns t on t.q_id = c.q_id and t.ans_idx = c.ans_idx and t.step = c.step + 1)
+    select distinct id, parent, step, md5(text) as text from chain""",
+)
+def t10_nodes(spark, d):
+    return prefixes.prefix_nodes(branching(spark, d)).withColumn("text", F.md5("text"))
+
+
+@query(
+    "p1_scores_by_prefix",
+    f"""with {BRANCHING}, read as (select *, sum(length(text)) over (partition by q_id, ans_idx order by step) as n from turns)
+    select q_id, ans_idx, step, {sql_r6("1 / (1 + exp((n % 7) / 4.0::double - (n % 11) / 4.0::double))")} as score from read""",
+)
+def p1_prefix(spark, d):
+    """A model that reads a dialogue once and scores every turn on what it has read so far: here by the number of characters."""
+    answers = branching(spark, d)
+    texts = F.transform(F.filter("dialogue", lambda m: m["role"] == "user"), lambda m: m["content"])
+    read = F.transform(texts, lambda t, i: F.aggregate(F.slice(texts, F.lit(1), i + 1), F.lit(0), lambda a, x: a + F.char_length(x)))
+    scored = prefixes.whole_dialogues(answers).select("ids", read.alias("n"))
+    rows = prefixes.scores_of_steps(prefixes.prefix_members(answers), scored)
+    score = S.softmax_pair((F.col("n") % 11) / 4.0, (F.col("n") % 7) / 4.0)
+    return rows.select("q_id", "ans_idx", "step", r6(score).alias("score"))
+
+
 @query(
     "t11_orm_dialogue",
     f"""with {TAGGED} select q_id, ans_idx, prompt || ' ' || replace(answer, '{TAG}', '') as content, '+' as reply from tagged""",
