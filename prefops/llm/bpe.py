@@ -27,7 +27,7 @@ from prefops.llm.frames import bounded_batches, quoted, without
 from prefops.llm.secrets import encoding, local_file, vocabulary_file
 
 #: Bytes of text in a block; a longer text is a block of its own.
-BLOCK_BYTES = 1 << 23
+BLOCK_BYTES = 1 << 22
 #: Bytes of an id that the vocabulary doesn't have.
 UNKNOWN = "�".encode()
 
