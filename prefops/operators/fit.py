@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import (
     DecisionTreeClassificationModel,
     DecisionTreeClassifier,
@@ -28,7 +29,7 @@ from prefops.functions import scores as S
 from prefops.operators import benchmark
 from prefops.operators.gate import GATE_FORMS, SIGNS, Gate, fit_gate, gate_loss
 from prefops.operators.ordering import train_val_split
-from prefops.operators.sums import added
+from prefops.operators.sums import GROUPS
 from prefops.schema import require
 from prefops.sources.io import written
 
@@ -53,63 +54,69 @@ def _known(attr: str) -> Column:
     return F.nullif(F.col(attr).cast("double"), F.lit(float("nan")))
 
 
-def gram_partials(df: DataFrame, features: str, attrs: Sequence[str], split: str) -> DataFrame:
-    """Partial XᵀX, XᵀY and yᵀy per task, split and pattern of known labels.
+def triangle(blocks: Sequence[np.ndarray]) -> np.ndarray:
+    """The R factor of some blocks of rows on top of each other: as many columns, no more rows, the same products."""
+    return np.linalg.qr(np.vstack(blocks), mode="r")
 
-    One row per matrix row i: (split, mask, i, v) with v the i-th row of XᵀX
-    followed by that of XᵀY. Row -1 holds yᵀy per attribute and the row count.
-    Bit a of `mask` is set when attribute a is known. Attributes labelled by the
-    same source share a pattern and therefore a Gram matrix.
+
+FACTOR = "pattern string, split boolean, n long, r array<double>"
+
+
+def factor_partials(df: DataFrame, features: str, attrs: Sequence[str], split: str) -> DataFrame:
+    """R factors of (X, Y) per task, split and pattern of known labels: (pattern, split, n, r).
+
+    A pattern has a character per attribute, 1 where its label is known, and r
+    the columns of X and of the known labels. Attributes labelled by the same
+    source share a pattern and therefore a factor. n is the number of rows.
     """
-    if len(attrs) > 62:
-        raise ValueError("at most 62 attributes")
-    mask = sum(
-        (F.when(_known(a).isNotNull(), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, a in enumerate(attrs)),
-        start=F.lit(0).cast("long"),
-    )
+    pattern = F.concat(*[F.when(_known(a).isNotNull(), F.lit("1")).otherwise(F.lit("0")) for a in attrs])
     labels = F.array(*[F.coalesce(_known(a), F.lit(0.0)) for a in attrs])
     rows = df.where(F.col(features).isNotNull()).select(
-        F.col(split).cast("boolean").alias("split"), mask.alias("mask"), F.col(features).alias("x"), labels.alias("y")
+        F.coalesce(F.col(split).cast("boolean"), F.lit(False)).alias("split"), pattern.alias("pattern"), F.col(features).alias("x"), labels.alias("y")
     )
 
     def partials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[bool, int], list[np.ndarray]] = {}
+        open_: dict[tuple[str, bool], list] = {}
         for batch in batches:
+            if not batch.num_rows:
+                continue
             x, y = S.matrix(batch.column("x")), S.matrix(batch.column("y"))
-            masks = np.asarray(batch.column("mask"))
-            splits = batch.column("split").to_numpy(zero_copy_only=False)
-            for val in (False, True):
-                for m in np.unique(masks[splits == val]):
-                    at = (masks == m) & (splits == val)
-                    part = [x[at].T @ x[at], x[at].T @ y[at], (y[at] ** 2).sum(axis=0), np.array([at.sum()], float)]
-                    have = sums.setdefault((val, int(m)), [np.zeros_like(p) for p in part])
-                    for total, p in zip(have, part, strict=True):
-                        total += p
-                    if len(sums) > OPEN_PATTERNS:
-                        yield from _drain(sums)
-        yield from _drain(sums)
-
-    return rows.mapInArrow(partials, "split boolean, mask long, i int, v array<double>")
-
-
-def _drain(sums: dict) -> Iterator[pa.RecordBatch]:
-    """Emit and forget the open sums, one batch per pattern."""
-    for (val, mask), (xx, xy, yy, n) in sums.items():
-        d, m = xy.shape
-        body = np.hstack([xx, xy])
-        tail = np.concatenate([yy, n, np.zeros(d - 1)])[None, :] if d else np.empty((0, m))
-        v = np.vstack([body, tail])
-        offsets = pa.array(np.arange(len(v) + 1, dtype=np.int32) * v.shape[1])
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([val] * len(v)),
-                pa.array([mask] * len(v), pa.int64()),
-                pa.array([*range(d), -1], pa.int32()),
-                pa.ListArray.from_arrays(offsets, pa.array(v.reshape(-1))),
-            ],
-            names=["split", "mask", "i", "v"],
-        )
-    sums.clear()
+            groups = pa.table({"p": batch.column("pattern"), "s": batch.column("split"), "at": np.arange(len(x))})
+            groups = groups.group_by(["p", "s"]).aggregate([("at", "list")])
+            for p, s, at in zip(groups["p"].to_pylist(), groups["s"].to_pylist(), groups["at_list"], strict=True):
+                at, known = at.values.to_numpy(), np.array([c == "1" for c in p])
+                block = np.hstack([x[at], y[at][:, known]])
+                have = open_.setdefault((p, s), [0, []])
+                have[0] += len(at)
+                have[1].append(block)
+                # Rows wait until there are twice as many as columns.
+                if sum(map(len, have[1])) > 2 * block.shape[1]:
+                    have[1] = [triangle(have[1])]
+                if len(open_) > OPEN_PATTERNS:
+                    yield from _factors(open_)
+        yield from _factors(open_)
+
+    return rows.mapInArrow(partials, FACTOR)
+
+
+def _factors(open_: dict[tuple[str, bool], list]) -> Iterator[pa.RecordBatch]:
+    """Emit and forget the open factors, one batch per pattern."""
+    for (pattern, split), (n, blocks) in open_.items():
+        yield _factor_row(pattern, split, n, triangle(blocks))
+    open_.clear()
+
+
+def _factor_row(pattern: str, split: bool, n: int, r: np.ndarray) -> pa.RecordBatch:
+    flat = pa.ListArray.from_arrays(pa.array([0, r.size], pa.int32()), pa.array(r.reshape(-1)))
+    return pa.RecordBatch.from_arrays([pa.array([pattern]), pa.array([split]), pa.array([n], pa.int64()), flat], ["pattern", "split", "n", "r"])
+
+
+def _stacked(table: pa.Table, width: int) -> tuple[int, np.ndarray]:
+    """Rows in all, and the factor of all factors of a table, two at a time."""
+    total = np.zeros((0, width))
+    for r in table["r"]:
+        total = triangle([total, r.values.to_numpy().reshape(-1, width)])
+    return sum(table["n"].to_pylist()), total
 
 
 def ridge_path(
@@ -122,51 +129,63 @@ def ridge_path(
     """Ridge without intercept for every attribute and alpha: (attr_idx, attribute, alpha, loss, weight).
 
     Fitted on the rows outside `split`, loss is the mean squared error inside
-    it. An attribute without a label on either side has no row. Partial sums are
-    added up per matrix row, then each attribute is solved from its d × d system
-    in a task of its own; the loss comes from the same sums. NaN is no label.
+    it. An attribute without a label on either side has no row. NaN is no label.
+
+    Tasks reduce their rows to orthogonal factors, which are joined in a tree, so
+    X is never multiplied with itself and its condition isn't squared. An
+    attribute's factor, in a task of its own, gives the weights of all alphas by
+    one singular value decomposition; the loss comes from the factor of the other side.
     """
     require(df, features, split, *attrs)
-    parts = gram_partials(df, features, attrs, split)
-    by_pattern = added(parts, "split", "mask", "i")
-    width = F.size("v") - len(attrs)
-    bits = F.array(*[F.struct(F.lit(a).alias("attr_idx"), F.lit(1 << a).alias("bit")) for a in range(len(attrs))])
-    own = F.filter(bits, lambda b: F.col("mask").bitwiseAND(b["bit"]) != 0)
-    # One attribute's system: its own column of XᵀY beside XᵀX, or (yᵀy, n) in row -1.
-    mine = F.when(
-        F.col("i") >= 0,
-        F.concat(F.slice("v", F.lit(1), width), F.array(F.get("v", width + F.col("attr_idx")))),
-    ).otherwise(F.array(F.get("v", F.col("attr_idx")), F.get("v", F.lit(len(attrs)))))
-    system = (
-        by_pattern.select("split", "mask", "i", "v", F.explode(F.transform(own, lambda b: b["attr_idx"])).alias("attr_idx"))
-        .withColumn("v", array_to_vector(mine))
-        .groupBy("attr_idx", "split", "i")
-        .agg(Summarizer.sum(F.col("v")).alias("v"))
-        .select("attr_idx", "split", "i", vector_to_array("v").alias("v"))
-    )
-    names, grid = list(attrs), [float(a) for a in alphas]
-    schema = "attr_idx int, attribute string, alpha double, loss double, weight array<double>"
-
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        idx = int(rows["attr_idx"].iloc[0])
-        sides = {}
-        for val, side in rows.groupby("split"):
-            side = side.sort_values("i")
-            yy, n = side["v"].iloc[0]
-            body = np.stack(side["v"].iloc[1:].to_numpy())
-            sides[bool(val)] = (body[:, :-1], body[:, -1], yy, n)
-        if len(sides) < 2:
-            return pd.DataFrame(columns=["attr_idx", "attribute", "alpha", "loss", "weight"])
-        (gram, xy, _, _), (val_gram, val_xy, val_yy, val_n) = sides[False], sides[True]
-        eye = np.eye(len(gram))
-        out = []
-        for alpha in grid:
-            w = np.linalg.solve(gram + alpha * eye, xy)
-            loss = (val_yy - 2 * w @ val_xy + w @ val_gram @ w) / val_n
-            out.append((idx, names[idx], alpha, loss, w.tolist()))
-        return pd.DataFrame(out, columns=["attr_idx", "attribute", "alpha", "loss", "weight"])
-
-    return system.groupBy("attr_idx").applyInPandas(solve, schema)
+    parts = factor_partials(df, features, attrs, split)
+    m, names, grid = len(attrs), list(attrs), [float(a) for a in alphas]
+
+    def joined(table: pa.Table) -> pa.Table:
+        pattern = table["pattern"][0].as_py()
+        width = table["width"][0].as_py() + pattern.count("1")
+        n, r = _stacked(table, width)
+        return pa.Table.from_batches([_factor_row(pattern, table["split"][0].as_py(), n, r)]).append_column("width", pa.array([width - pattern.count("1")], pa.int32()))
+
+    width = df.where(F.col(features).isNotNull()).select(F.size(features).alias("w")).limit(1).scalar()
+    sized = parts.withColumn("width", F.coalesce(width, F.lit(0)).cast("int"))
+    some = sized.withColumn("group", F.spark_partition_id() % GROUPS)
+    schema = FACTOR + ", width int"
+    grouped = some.groupBy("pattern", "split", "group").applyInArrow(joined, schema)
+    by_pattern = grouped.groupBy("pattern", "split").applyInArrow(joined, schema)
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """X and the column of one attribute, for every attribute of a pattern."""
+        for batch in batches:
+            for pattern, s, n, r, d in zip(*(batch.column(c) for c in ("pattern", "split", "n", "r", "width")), strict=True):
+                known = [a for a in range(m) if pattern.as_py()[a] == "1"]
+                matrix = r.values.to_numpy().reshape(-1, d.as_py() + len(known))
+                for k, a in enumerate(known):
+                    one = np.hstack([matrix[:, : d.as_py()], matrix[:, d.as_py() + k :][:, :1]])
+                    row = _factor_row("", s.as_py(), n.as_py(), one)
+                    yield pa.RecordBatch.from_arrays([pa.array([a], pa.int32()), *row.columns[1:], pa.array([d.as_py()], pa.int32())], ["attr_idx", "split", "n", "r", "width"])
+
+    systems = by_pattern.mapInArrow(own, "attr_idx int, split boolean, n long, r array<double>, width int")
+    out_schema = "attr_idx int, attribute string, alpha double, loss double, weight array<double>"
+
+    def solve(table: pa.Table) -> pa.Table:
+        a, d = table["attr_idx"][0].as_py(), table["width"][0].as_py()
+        is_val = table["split"].combine_chunks()
+        sides = [table.filter(pc.equal(is_val, v)) for v in (False, True)]
+        rows: list[tuple] = []
+        if all(len(side) for side in sides):
+            (_, fit), (n_val, val) = (_stacked(side, d + 1) for side in sides)
+            u, s, vt = np.linalg.svd(fit[:, :d], full_matrices=False)
+            along = u.T @ fit[:, d]
+            for alpha in grid:
+                scale = np.divide(s, s * s + alpha, out=np.zeros_like(s), where=s * s + alpha > 0)
+                w = vt.T @ (scale * along)
+                loss = float(((val[:, :d] @ w - val[:, d]) ** 2).sum()) / n_val
+                rows.append((a, names[a], alpha, loss, w.tolist()))
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+        kinds = [pa.int32(), pa.string(), pa.float64(), pa.float64(), pa.list_(pa.float64())]
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["attr_idx", "attribute", "alpha", "loss", "weight"])
+
+    return systems.groupBy("attr_idx").applyInArrow(solve, out_schema)
 
 
 def fit_ridge_probe(

@@ -125,6 +125,39 @@ def test_outcome_head_separates(spark):
     assert right.count() > 280
 
 
+def test_ridge_of_badly_conditioned_features(spark):
+    """Condition 1e7: sums of squares would leave nothing of the smallest direction."""
+    rng = np.random.default_rng(11)
+    u, _ = np.linalg.qr(rng.normal(size=(300, 6)))
+    v, _ = np.linalg.qr(rng.normal(size=(6, 6)))
+    x = u * np.logspace(0, -7, 6) @ v.T
+    y = x @ (v @ np.ones(6)) + 1e-9 * rng.normal(size=300)
+    df = spark.createDataFrame([(i, x[i].tolist(), float(y[i]), i % 5 == 0) for i in range(300)], "id long, embedding array<double>, y double, is_val boolean").repartition(7)
+    fit_on = np.arange(300) % 5 != 0
+    for r in fit.ridge_path(df, ["y"], alphas=[0.0, 1e-13, 1e-6]).collect():
+        a = np.vstack([x[fit_on], np.sqrt(r.alpha) * np.eye(6)])
+        want = np.linalg.lstsq(a, np.append(y[fit_on], np.zeros(6)), rcond=None)[0]
+        np.testing.assert_allclose(v.T @ np.array(r.weight), v.T @ want, rtol=1e-6, atol=1e-8)
+
+
+def test_ridge_of_a_hundred_attributes(spark):
+    rng = np.random.default_rng(12)
+    x, w = rng.normal(size=(400, 5)), rng.normal(size=(100, 5))
+    y = x @ w.T + 0.1 * rng.normal(size=(400, 100))
+    known = [[(i + a // 10) % 3 > 0 for a in range(100)] for i in range(400)]
+    labels = [[float(y[i, a]) if known[i][a] else float("nan") for a in range(100)] for i in range(400)]
+    df = spark.createDataFrame([(i, x[i].tolist(), labels[i], i % 4 == 0) for i in range(400)], "id long, embedding array<double>, labels array<double>, is_val boolean")
+    names = [f"t{a}" for a in range(100)]
+    rows = fit.ridge_path(fit.label_columns(df, names), names, alphas=[0.5]).collect()
+    assert len(rows) == 100
+    for r in rows:
+        on = np.array([known[i][r.attr_idx] and i % 4 != 0 for i in range(400)])
+        off = np.array([known[i][r.attr_idx] and i % 4 == 0 for i in range(400)])
+        want = np.linalg.solve(x[on].T @ x[on] + 0.5 * np.eye(5), x[on].T @ y[on, r.attr_idx])
+        np.testing.assert_allclose(r.weight, want, rtol=1e-8)
+        assert r.loss == pytest.approx(((x[off] @ want - y[off, r.attr_idx]) ** 2).mean(), rel=1e-8)
+
+
 def dense_step(layers, t, c, r, p, masks=None):
     """Loss and gradients of the network over some pairs whose two sides share the prompt, written out plainly."""
     total, grads = 0.0, [(np.zeros_like(w), np.zeros_like(b)) for w, b in layers]

@@ -117,7 +117,7 @@ def test_a_fit_keeps_the_partitions_of_its_scan(spark, tmp_path):
     spark.conf.set("spark.sql.files.openCostInBytes", 1 << 30)
     try:
         df = spark.read.parquet(str(tmp_path / "t")).withColumn("is_val", F.col("id") % 5 == 0)
-        assert fit.gram_partials(df, "embedding", ["a"], "is_val").rdd.getNumPartitions() >= 64
+        assert fit.factor_partials(df, "embedding", ["a"], "is_val").rdd.getNumPartitions() >= 64
     finally:
         spark.conf.unset("spark.sql.files.openCostInBytes")
 
