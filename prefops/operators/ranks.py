@@ -10,10 +10,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from prefops import constants as K
+from prefops.operators.sums import added
 from prefops.schema import require
 from prefops.sources.io import written
 
@@ -183,9 +186,10 @@ def verbosity_penalties(
     dim: int = K.VERBOSITY_DIM,
     threshold: float = 0.03,
     grid: Sequence[float] = K.VERBOSITY_GRID,
-    per_pass: int = 8,
+    per_pass: int = 64,
     decimals: int = 9,
     buckets: int | None = None,
+    ranges: int = 256,
 ) -> DataFrame:
     """Smallest penalty per objective that frees it from the verbosity objective.
 
@@ -194,60 +198,175 @@ def verbosity_penalties(
     is, the penalty is 1 and corr the least correlation seen; `dim` itself keeps
     1 and 1. A correlation that is undefined never passes.
 
-    The grid is searched in ascending chunks of `per_pass`, and an objective
-    that has passed leaves the next chunk, so most of the grid is usually never
-    computed. A pass returns objectives × per_pass numbers to the driver. The
-    rewards, and then the rewards with the rank of `dim`, are written to the
-    shared folder, so that a pass starts from a table.
+    One scan bounds the correlation of every objective and penalty from both
+    sides (`_bounds`); only points that the bounds leave open are ranked
+    exactly, `per_pass` at a time, usually one per objective. The driver gets
+    3 × `ranges` numbers per point. The rewards, and then the rewards with the
+    rank of `dim`, are written to the shared folder, so that a pass starts from
+    a table.
     """
     require(df, rewards, key)
     spark = df.sparkSession
     r = F.col(rewards)
-    n_obj = objectives or df.select(F.max(F.size(rewards))).first()[0]
+    n_obj = objectives or df.select(F.max(F.size(rewards))).first()[0] or 0
     rounded = df.select(
         key, F.transform(r, lambda v: F.round(v.cast("double"), decimals)).alias("_r")
     ).withColumn("_v", F.get("_r", F.lit(dim)))
     rounded = written(rounded, "rewards")
     ranked = with_average_rank(rounded, "_v", key, "_ry", buckets, centred=True).select("_r", "_v", "_ry")
     ranked = written(ranked, "ranked-rewards")
-    found, least = _search(ranked, n_obj, dim, threshold, sorted(grid), per_pass, decimals, buckets)
+    points = [(j, float(p)) for j in range(n_obj) if j != dim for p in sorted(grid)]
+    found, least = {}, {j: 1.0 for j in range(n_obj)}
+    if points:
+        per_pass = max(1, per_pass)
+        exact_ranges = buckets or _default_buckets(ranked, min(per_pass, len(points)))
+        sample = _reward_sample(ranked, n_obj, max(SAMPLE, 16 * exact_ranges))
+        bounds = _bounds(ranked, points, sample, dim, decimals, ranges)
+        open_points = _open_points(points, bounds, threshold)
+        for at in range(0, len(open_points), per_pass):
+            chunk = [(j, p) for j, p in open_points[at : at + per_pass] if j not in found]
+            for row in _exact(ranked, chunk, sample, dim, decimals, exact_ranges) if chunk else []:
+                if row.j in found or row.corr is None:
+                    continue
+                if row.corr <= threshold:
+                    found[row.j] = (row.p, row.corr)
+                else:
+                    least[row.j] = min(least[row.j], row.corr)
     return _penalty_table(spark, n_obj, found, least)
 
 
-def _search(ranked, n_obj, dim, threshold, grid, per_pass, decimals, buckets):
-    open_objectives = [j for j in range(n_obj) if j != dim]
-    found: dict[int, tuple[float, float]] = {}
-    least = {j: 1.0 for j in range(n_obj)}
-    for at in range(0, len(grid), per_pass):
-        if not open_objectives:
-            break
-        chunk = grid[at : at + per_pass]
-        tried = F.array(
-            *[
-                F.struct(
-                    F.lit(j).alias("j"),
-                    F.lit(p).alias("p"),
-                    F.round(F.get("_r", F.lit(j)) - F.lit(p) * F.col("_v"), decimals).alias("x"),
-                )
-                for j in open_objectives
-                for p in chunk
-            ]
-        )
-        rows = ranked.select("_ry", F.inline(tried))
-        ranges = buckets or _default_buckets(ranked, len(open_objectives) * len(chunk))
-        cuts = rows.groupBy("j", "p").agg(
-            F.percentile_approx("x", _literal(_probabilities(ranges)), 16 * ranges).alias("_cuts")
+#: Rows drawn to place cuts. Cuts only decide how tight bounds and how even parts are, never a result.
+SAMPLE = 16_384
+
+
+def _reward_sample(ranked: DataFrame, n_obj: int, size: int) -> np.ndarray:
+    """About `size` rows of rewards, drawn by chance; all rows when there are no more than that."""
+    n = ranked.count()
+    drawn = ranked if n <= size else ranked.sample(size / n, seed=0)
+    rows = drawn.select(*[F.get("_r", F.lit(j)).alias(f"r{j}") for j in range(n_obj)]).toArrow()
+    return np.column_stack([rows[c].to_numpy().astype(float) for c in rows.column_names])
+
+
+def _cuts_of(sample: np.ndarray, j: int, p: float, dim: int, decimals: int, ranges: int) -> np.ndarray:
+    """ranges - 1 cuts of r_j - p · r_dim, each between two numbers of so many decimals."""
+    x = sample[:, j] - p * sample[:, dim]
+    x = x[np.isfinite(x)]
+    if not x.size:
+        return np.arange(ranges - 1, dtype=float)
+    cuts = np.quantile(x, _probabilities(ranges), method="lower")
+    return (np.floor(cuts * 10.0**decimals) + 0.5) / 10.0**decimals
+
+
+def _bounds(
+    ranked: DataFrame, points: list, sample: np.ndarray, dim: int, decimals: int, ranges: int
+) -> list[tuple[float, float]]:
+    """Least and greatest possible rank correlation of x = r_j - p · r_dim with r_dim, per point (j, p).
+
+    The ranks y of r_dim are known. The values x are cut into ranges, and per
+    range the number of rows, the sum of y and that of y² are added up. Ranges
+    are in order, so the mean rank of x in each is known, and ranks differ from
+    it by at most what n rows without ties do; by Cauchy and Schwarz, the rest
+    of the covariance is at most sqrt(n (n² - 1) / 12 · sum (y - mean y)²) per
+    range. Two ranges become one where a value lies so close to the cut between
+    them that rounding decides its side. Where a value is missing or not finite
+    nothing is known: -1 and 1.
+    """
+    all_cuts = np.array([_cuts_of(sample, j, p, dim, decimals, ranges) for j, p in points])
+    sent = ranked.sparkSession.sparkContext.broadcast((points, all_cuts))
+    dims = sorted({j for j, _ in points} | {dim})
+    unit = 10.0**-decimals
+
+    def summed(batches):
+        points, cuts = sent.value
+        sums = np.zeros((len(points), 3, ranges))
+        close = np.zeros((len(points), ranges + 1))
+        unknown = np.zeros(len(points))
+        edges = np.pad(cuts, ((0, 0), (1, 1)), constant_values=((0, 0), (-np.inf, np.inf)))
+        for batch in batches:
+            r = {c: batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in batch.schema.names}
+            y = r["_ry"]
+            for i, (j, p) in enumerate(points):
+                x = r[f"r{j}"] - p * r[f"r{dim}"]
+                known = np.isfinite(x) & np.isfinite(y)
+                if not known.all():
+                    unknown[i] += 1
+                    continue
+                at = np.searchsorted(cuts[i], x)
+                near = np.maximum(unit / 1000, 8 * np.spacing(np.abs(x)))
+                close[i] += np.bincount(at[x - edges[i][at] <= near], minlength=ranges + 1)
+                close[i] += np.bincount(at[edges[i][at + 1] - x <= near] + 1, minlength=ranges + 1)
+                sums[i, 0] += np.bincount(at, minlength=ranges)
+                sums[i, 1] += np.bincount(at, y, minlength=ranges)
+                sums[i, 2] += np.bincount(at, y * y, minlength=ranges)
+        flat = np.hstack([sums.reshape(len(points), -1), close, unknown[:, None]])
+        yield pa.RecordBatch.from_pydict(
+            {"point": pa.array(range(len(points)), pa.int32()), "v": pa.array(list(flat), pa.list_(pa.float64()))}
         )
-        corrs = _rank_correlation(rows, cuts, ["j", "p"], "x", "_ry", ranges)
-        for row in sorted(corrs.collect()):
-            if row.j in found or row.corr is None:
-                continue
-            if row.corr <= threshold:
-                found[row.j] = (row.p, row.corr)
-            else:
-                least[row.j] = min(least[row.j], row.corr)
-        open_objectives = [j for j in open_objectives if j not in found]
-    return found, least
+
+    columns = ranked.select("_ry", *[F.get("_r", F.lit(j)).alias(f"r{j}") for j in dims])
+    total = added(columns.mapInArrow(summed, "point int, v array<double>"), "point").collect()
+    out = [(-1.0, 1.0)] * len(points)
+    for row in total:
+        v = np.array(row.v)
+        if not v[-1]:
+            out[row.point] = _corr_bounds(v[: 3 * ranges].reshape(3, ranges), v[3 * ranges + 1 : 4 * ranges] > 0)
+    return out
+
+
+def _corr_bounds(sums: np.ndarray, merged: np.ndarray) -> tuple[float, float]:
+    """Bounds from (rows, sum of y, sum of y²) per range; `merged` says which cuts don't count."""
+    first = np.flatnonzero(np.concatenate([[True], ~merged]))
+    n, y, yy = np.add.reduceat(sums, first, axis=1)
+    n, y, yy = n[n > 0], y[n > 0], yy[n > 0]
+    mean_rank = np.cumsum(n) - n + (n + 1) / 2 - (n.sum() + 1) / 2
+    within = n * (n * n - 1) / 12
+    cov = (mean_rank * y).sum()
+    rest = np.sqrt(within * np.maximum(yy - y * y / np.maximum(n, 1), 0)).sum()
+    least_vx = (n * mean_rank**2).sum()
+    if least_vx <= 0 or yy.sum() <= 0:
+        return -1.0, 1.0
+    least, greatest = np.sqrt(least_vx * yy.sum()), np.sqrt((least_vx + within.sum()) * yy.sum())
+    low, high = cov - rest, cov + rest
+    slack = 1e-9  # sums of doubles
+    return (
+        max(-1.0, low / (least if low < 0 else greatest) - slack),
+        min(1.0, high / (greatest if high < 0 else least) + slack),
+    )
+
+
+def _open_points(points: list, bounds: list, threshold: float) -> list:
+    """The points that must be ranked exactly to know each objective's penalty and correlation, by ascending penalty."""
+    by_objective: dict[int, list] = {}
+    for (j, p), (low, high) in zip(points, bounds):
+        by_objective.setdefault(j, []).append((p, low, high))
+    chosen = []
+    for j, tried in by_objective.items():
+        sure = min((p for p, low, high in tried if high <= threshold and low > -1), default=None)
+        if sure is not None:
+            chosen += [(j, p) for p, low, _ in tried if p == sure or p < sure and low <= threshold]
+        else:
+            least = min((high for _, low, high in tried if (low, high) != (-1.0, 1.0)), default=1.0)
+            chosen += [(j, p) for p, low, _ in tried if low <= max(threshold, least)]
+    return sorted(chosen, key=lambda point: (point[1], point[0]))
+
+
+def _exact(ranked: DataFrame, points: list, sample: np.ndarray, dim: int, decimals: int, ranges: int) -> list:
+    """Rows (j, p, corr) of the given points, by ascending penalty."""
+    tried = F.array(
+        *[
+            F.struct(
+                F.lit(j).alias("j"),
+                F.lit(p).alias("p"),
+                F.round(F.get("_r", F.lit(j)) - F.lit(p) * F.col("_v"), decimals).alias("x"),
+            )
+            for j, p in points
+        ]
+    )
+    rows = ranked.select("_ry", F.inline(tried))
+    placed = [(j, p, _cuts_of(sample, j, p, dim, decimals, ranges).tolist()) for j, p in points]
+    cuts = ranked.sparkSession.createDataFrame(placed, "j int, p double, _cuts array<double>")
+    corrs = _rank_correlation(rows, cuts, ["j", "p"], "x", "_ry", ranges).collect()
+    return sorted(corrs, key=lambda row: (row.p, row.j))
 
 
 def _penalty_table(spark: SparkSession, n_obj: int, found: dict, least: dict) -> DataFrame:

@@ -189,8 +189,8 @@ def reference_penalties(v, dim, threshold):
 
 
 @pytest.mark.parametrize("threshold", [0.03, 0.3, -2.0])
-@pytest.mark.parametrize("per_pass", [5, 24])
-def test_verbosity_penalties(spark, threshold, per_pass):
+@pytest.mark.parametrize(("per_pass", "ranges"), [(5, 4), (64, 256)])
+def test_verbosity_penalties(spark, threshold, per_pass, ranges):
     rng = np.random.default_rng(1)
     v = rng.normal(size=(150, 4)).round(6)
     v[:, 0] += 0.4 * v[:, 2]
@@ -198,12 +198,43 @@ def test_verbosity_penalties(spark, threshold, per_pass):
     v[:, 3] += 3 * v[:, 2]
     v = v.round(6)
     df = spark.createDataFrame([(i, v[i].tolist()) for i in range(150)], "id long, rewards array<double>")
-    got = ranks.verbosity_penalties(df, dim=2, threshold=threshold, per_pass=per_pass).orderBy("objective").collect()
+    out = ranks.verbosity_penalties(df, dim=2, threshold=threshold, per_pass=per_pass, ranges=ranges)
+    got = out.orderBy("objective").collect()
     penalty, corr = reference_penalties(v, 2, threshold)
     assert [r["penalty"] for r in got] == penalty.tolist()
     np.testing.assert_allclose([r["corr"] for r in got], corr, atol=1e-12)
 
 
+@pytest.mark.parametrize("decimals", [1, 9])
+@pytest.mark.parametrize("ranges", [2, 16, 256])
+def test_bounds_of_rank_correlations_hold(spark, decimals, ranges):
+    """With few decimals most values are tied and lie on the cuts; a third of the rows is one value."""
+    rng = np.random.default_rng(ranges)
+    v = rng.normal(size=(3000, 3)).round(decimals)
+    v[:1000, 0] = 0.5
+    y = reference_ranks(v[:, 2])
+    rows = [(r.tolist(), float(r[2]), float(k)) for r, k in zip(v, y - y.mean())]
+    df = spark.createDataFrame(rows, "_r array<double>, _v double, _ry double").repartition(3)
+    points = [(j, p) for j in (0, 1) for p in K.VERBOSITY_GRID]
+    bounds = ranks._bounds(df, points, v[::10], 2, decimals, ranges)
+    rounded = [F.round(F.col("_r")[j] - F.lit(p) * F.col("_v"), decimals).alias(f"x{i}") for i, (j, p) in enumerate(points)]
+    table = df.select("_ry", *rounded).toPandas()
+    for i, (low, high) in enumerate(bounds):
+        assert low <= np.corrcoef(reference_ranks(table[f"x{i}"].to_numpy()), table["_ry"])[0, 1] <= high
+    if (decimals, ranges) == (9, 256):
+        assert max(high - low for (j, _), (low, high) in zip(points, bounds) if j == 1) < 0.05
+
+
+def test_penalties_of_constant_and_missing_rewards(spark):
+    """A constant objective never passes; a row without a reward only sends its objective to the exact ranks."""
+    rows = [(i, [float(i % 7), 1.0, float(i), None if i == 3 else float(-i)]) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, rewards array<double>")
+    got = {r.objective: (r.penalty, r.corr) for r in ranks.verbosity_penalties(df, dim=2, grid=[0.0]).collect()}
+    assert got[1] == (1.0, 1.0) and got[2] == (1.0, 1.0) and got[3][0] == 0.0
+    empty = ranks.verbosity_penalties(df.limit(0), objectives=3, dim=2).orderBy("objective").collect()
+    assert [(r.penalty, r.corr) for r in empty] == [(1.0, 1.0)] * 3
+
+
 # Choosing answers
 
 
