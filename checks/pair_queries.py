@@ -432,9 +432,9 @@ def c12(spark, d):
     """Whether every row is placed once, no block is over the limit but those of one long row, and blocks have no gaps."""
     placed = packing.pack_sequences(I.token_ids(spark, d).select("id", "length"), block=4096)
     per_row = placed.groupBy("id").agg(
-        F.count("*").alias("times"), *[F.first(c).alias(c) for c in ("bucket", "block", "length", "offset")]
+        F.count("*").alias("times"), *[F.first(c).alias(c) for c in ("block", "length", "offset")]
     )
-    blocks = per_row.groupBy("bucket", "block").agg(
+    blocks = per_row.groupBy("block").agg(
         F.count("*").alias("rows"),
         F.count_if(F.col("times") > 1).alias("twice"),
         F.sum("length").alias("tokens"),

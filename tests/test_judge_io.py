@@ -1,3 +1,6 @@
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,24 +137,72 @@ def test_score_batches_needs_a_score_per_row(spark):
         short.collect()
 
 
-@pytest.mark.parametrize("per_bucket", [50, 10_000])
+@pytest.mark.parametrize("per_bucket", [3, 50, 10_000])
 def test_packing(spark, per_bucket):
     df = spark.range(1000).select("id", (F.col("id") * 37 % 900 + 1).cast("int").alias("length"))
-    df = df.union(spark.createDataFrame([(5000, 3000), (5001, 0)], "id long, length int"))
+    df = df.union(spark.createDataFrame([(5000, 3000), (5001, 0), (5002, 0), (5003, 4000)], "id long, length int"))
     placed = packing.pack_sequences(df, block=1024, rows_per_bucket=per_bucket).collect()
-    assert sorted(r["id"] for r in placed) == sorted([*range(1000), 5000, 5001])
+    assert sorted(r["id"] for r in placed) == [*range(1000), 5000, 5001, 5002, 5003]
     blocks = {}
     for r in placed:
-        blocks.setdefault((r["bucket"], r["block"]), []).append((r["offset"], r["length"]))
+        blocks.setdefault(r["block"], []).append((r["offset"], r["length"]))
     for rows in blocks.values():
         end = 0
         for offset, length in sorted(rows):
             assert offset == end
             end += length
-        assert end <= 1024 or len(rows) <= 2 and max(n for _, n in rows) == 3000
-    if per_bucket > 1000:
-        used = sum(n for _, rows in blocks.items() for _, n in rows)
-        assert len(blocks) < 1.1 * used / 1024 + 2
+        assert end <= 1024 or len(rows) == 1
+    used = sum(n for rows in blocks.values() for _, n in rows if n <= 1024)
+    assert len(blocks) < 1.01 * used / 1024 + 3
+    assert sorted(blocks) == list(range(len(blocks)))
+
+
+def best_fit(lengths, block):
+    """Blocks that best fit needs, longest first, row by row."""
+    rooms = []
+    for n in sorted(lengths, reverse=True):
+        fitting = [r for r in rooms if r >= n]
+        if fitting:
+            rooms.remove(min(fitting))
+        rooms.append(min(fitting, default=block) - n)
+    return len(rooms)
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_blocks_planned_on_counts_are_those_of_best_fit(seed):
+    rng = random.Random(seed)
+    block = rng.choice([1, 7, 20, 64])
+    lengths = [rng.randint(1, block) for _ in range(rng.choice([1, 30, 400]))] + [max(1, block // 3)] * rng.choice([0, 100])
+    plan = packing.plan_blocks(Counter(lengths), block)
+    fill, rows = Counter(), 0
+    for size, runs in plan.items():
+        ends = [start for start, *_ in runs[1:]] + [Counter(lengths)[size]]
+        for (start, first, each, used), end in zip(runs, ends):
+            for at in range(end - start):
+                number = first + at // each
+                assert fill[number] == used + at % each * size
+                fill[number] += size
+                rows += 1
+    assert rows == len(lengths) and max(fill.values()) <= block
+    assert len(fill) == best_fit(lengths, block)
+
+
+def test_plan_of_a_hundred_billion_rows_is_small():
+    counts = {n: 10**11 // n + n % 13 for n in range(1, 4097)}
+    plan = packing.plan_blocks(counts, 4096)
+    assert sum(map(len, plan.values())) < 40_000
+
+
+def test_packing_without_rows_and_with_empty_rows_only(spark):
+    assert packing.pack_sequences(spark.createDataFrame([], "id long, length int")).count() == 0
+    rows = packing.pack_sequences(spark.createDataFrame([(1, 0), (2, 0)], "id long, length int"), block=8).collect()
+    assert [tuple(r) for r in sorted(rows)] == [(1, 0, 0, 0), (2, 0, 0, 0)]
+
+
+def test_packing_runs_without_python(spark):
+    df = spark.range(10).select("id", F.col("id").alias("length"))
+    plan = packing.pack_sequences(df, block=16)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "InPandas" not in plan
 
 
 def test_label_stream_resumes_and_survives_a_repeated_batch(spark, tmp_path):
