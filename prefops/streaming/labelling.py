@@ -1,9 +1,11 @@
 """Resumable labelling on a stream of raw judge answers.
 
-A labelling run may stop and start again, skipping what it has. Here a stream
-reads new answer files, each micro-batch keeps the keys that have no result
-yet, and writes them to a folder named after the batch. A batch that is run
-again after a failure overwrites its own folder and nothing else.
+A labelling run may stop and start again, skipping what it has. A stream reads
+new answer files and keeps the key of every answer it has let through in keyed
+state (RocksDB), so a micro-batch costs as much as its own answers, however
+many results there are. Each batch writes to a folder named after it; a batch
+that is run again after a failure starts from the state before it and
+overwrites its own folder and nothing else.
 """
 
 from __future__ import annotations
@@ -33,8 +35,16 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def write_batch(fresh: DataFrame, batch_id: int, path: str) -> None:
+    """Judge answers that have no result yet and write them as the results of one batch."""
+    judge.judge_rows(fresh).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+
 def label_batch(answers: DataFrame, batch_id: int, path: str) -> None:
-    """Judge the answers of one micro-batch that no earlier batch has judged."""
+    """Judge those answers that no earlier batch under `path` has judged, for callers without a stream.
+
+    Earlier results are read, so the cost grows with them; a stream keeps their keys instead.
+    """
     spark = answers.sparkSession
     # Of answers to one question in one batch, always the same one.
     one = F.max(F.struct("response_orig", "response_swapped")).alias("_a")
@@ -42,16 +52,43 @@ def label_batch(answers: DataFrame, batch_id: int, path: str) -> None:
     if _exists(spark, path):
         done = spark.read.schema(RESULTS).parquet(path).where(F.col("batch_id") < batch_id)
         fresh = judge.pending(fresh, done)
-    judge.judge_rows(fresh).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    write_batch(fresh, batch_id, path)
+
+
+def _stateful_session(spark: SparkSession) -> SparkSession:
+    """A session of its own for the stream, so that the caller's settings stay as they are."""
+    own = spark.newSession()
+    for name in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        own.conf.set(name, spark.conf.get(name))
+    own.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
+    own.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    return own
 
 
 def label_stream(
-    spark: SparkSession, answers_path: str, results_path: str, checkpoint: str, format: str = "parquet"
+    spark: SparkSession,
+    answers_path: str,
+    results_path: str,
+    checkpoint: str,
+    format: str = "parquet",
+    files_per_batch: int | None = None,
 ) -> StreamingQuery:
-    """Label every answer file that is there and end; call again when there are more."""
-    stream = spark.readStream.schema(ANSWERS).format(format).load(answers_path)
+    """Label every answer file that is there and end; call again, with the same checkpoint, when there are more.
+
+    The answer to a question that arrives first is judged, and of several that
+    arrive in one batch any one. State holds one row per key and no answer. It
+    is dealt by key over as many partitions as the first run has shuffle
+    partitions, which cannot change later.
+    """
+    reader = _stateful_session(spark).readStream.schema(ANSWERS).format(format)
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    fresh = reader.load(answers_path).dropDuplicates(judge.RESULT_KEYS)
     return (
-        stream.writeStream.foreachBatch(lambda df, n: label_batch(df, n, results_path))
+        fresh.writeStream.foreachBatch(lambda df, n: write_batch(df, n, results_path))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

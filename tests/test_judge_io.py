@@ -218,3 +218,28 @@ def test_label_stream_resumes_and_survives_a_repeated_batch(spark, tmp_path):
     labelling.label_batch(more, 1, results)
     again = {r["index"]: r["preference"] for r in labelling.read_results(spark, results).collect()}
     assert again == got
+
+
+def test_cost_of_a_batch_does_not_grow_with_the_batches(spark, tmp_path):
+    """50 batches of 4 answers, two of them new: each reads its own file, and state has the keys only."""
+    answers, results, state = (str(tmp_path / x) for x in ("answers", "results", "state"))
+    one_key = spark.newSession()
+    one_key.conf.set("spark.sql.shuffle.partitions", "2")
+    rows = [("val", 2 * n + i, "m", "B" if i > 1 else "A", "A" if i > 1 else "B") for n in range(50) for i in range(4)]
+    for n in range(50):
+        raw(spark, rows[4 * n : 4 * n + 4]).coalesce(1).write.mode("append").parquet(answers)
+    query = labelling.label_stream(one_key, answers, results, state, files_per_batch=1)
+    query.awaitTermination(300)
+    progress = [p for p in query.recentProgress if p["numInputRows"]]
+    assert [p["numInputRows"] for p in progress] == [4] * 50
+    kept = [p["stateOperators"][0] for p in progress]
+    assert [k["numRowsUpdated"] for k in kept] == [4] + [2] * 49
+    assert kept[-1]["numRowsTotal"] == 102
+    assert any("rocksdb" in name for name in kept[-1]["customMetrics"])
+    labelled = labelling.read_results(spark, results)
+    assert labelled.count() == labelled.select("index").distinct().count() == 102
+    assert spark.read.parquet(results).count() == 102
+    again = labelling.label_stream(one_key, answers, results, state)
+    again.awaitTermination(120)
+    assert spark.read.parquet(results).count() == 102
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", "").count("RocksDB") == 0
