@@ -253,6 +253,15 @@ def s4_csv(spark, d):
     return io.read_judgements(spark, path, "csv")
 
 
+@query("s4_write_judgements_once", f"with {I.RAW_ANSWERS}, {SQL_JUDGED} select * from judged")
+def s4_once(spark, d):
+    """A job that is run again adds nothing."""
+    path = io.scratch_path(spark, "judgements-once")
+    for _ in range(2):
+        io.write_judgements(judge.judge_rows(I.raw_answers(spark, d)), path, job="run-1")
+    return io.read_judgements(spark, path)
+
+
 @query(
     "questions_to_ask",
     f"""with {MARKED_TEXTS}, {_sql_models()},

@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import inputs as I
-from checks.base import query, sql_text
+from checks.base import query, r6, sql_r6, sql_text
 from checks.base import sql_hash as H
 from prefops import constants as K
 from prefops.functions import text as X
 from prefops.functions.rand import portable_hash
 from prefops.operators import augment, ordering, packing, pairs
 from prefops.plans import preference_prompts
-from prefops.sources import io
+from prefops.sources import io, tensors
 
 NL = "chr(10)"
 WS = sql_text(K.PY_SPACE)
@@ -77,6 +77,38 @@ def s3(spark, d):
     return io.read_shards(spark, path)
 
 
+@query("s3_write_shards_once", "select event_id, user_id, event_type, value, 4::bigint as n_shards from events")
+def s3_once(spark, d):
+    """The job runs twice; its four files hold every row once."""
+    path = io.scratch_path(spark, "shards-once")
+    rows = I.table(spark, d, "events").select("event_id", "user_id", "event_type", "value")
+    for _ in range(2):
+        io.write_shards(rows, path, 4, "event_id", name="events")
+    files = io.read_shards(spark, f"{path}/events-*-of-00004.parquet")
+    shards = files.select(F.input_file_name().alias("f")).agg(F.count_distinct("f")).scalar()
+    return files.withColumn("n_shards", shards)
+
+
+@query(
+    "s2_read_tensors",
+    f"""select vec_id as ids, len(embedding)::int as width, {sql_r6("list_sum([x::double for x in embedding])")} as total,
+       label::float as label, case when vec_id % 5 > 0 then (vec_id % 7)::float end as mark from embeddings""",
+)
+def s2_tensors(spark, d):
+    """Embeddings and labels as shards of tensor files, an unknown label as NaN, read back by ranges of rows."""
+    path = io.scratch_path(spark, "tensors")
+    known = F.when(F.col("vec_id") % 5 > 0, F.col("vec_id") % 7).cast("float")
+    rows = I.table(spark, d, "embeddings").select(
+        F.col("vec_id").alias("ids"), F.col("embedding").alias("embeddings"), F.array(F.col("label").cast("float"), known).alias("labels")
+    )
+    io.write_shards(rows, path, 4, "ids", name="train", kind="tensors")
+    back = tensors.read_tensors(spark, f"{path}/train-*.safetensors", ["ids", "embeddings", "labels"], ("labels",), 1 << 20)
+    total = F.aggregate("embeddings", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return back.select(
+        "ids", F.size("embeddings").alias("width"), r6(total).alias("total"), F.col("labels")[0].alias("label"), F.col("labels")[1].alias("mark")
+    )
+
+
 # Filters
 
 

@@ -306,6 +306,19 @@ def s6(spark, d):
     return io.read_split(spark, path)
 
 
+@query(
+    "s6_append_record_once",
+    f"""{SQL_REPORT} select m.model, section, score from sections, (values ('first'), ('second')) m(model)""",
+)
+def s6_once(spark, d):
+    """Two jobs, the first of which runs again."""
+    path = io.scratch_path(spark, "records-once")
+    sections = io.written(a2(spark, d), "sections")
+    for model in ("first", "second", "first"):
+        io.append_record(sections, path, model, job=model)
+    return io.read_split(spark, path)
+
+
 # Losses and statistics
 
 

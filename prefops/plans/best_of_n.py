@@ -11,6 +11,7 @@ from prefops.functions import scores as S
 from prefops.functions import text as X
 from prefops.operators import benchmark, ranking, steps
 from prefops.schema import require
+from prefops.sources.once import write_once
 
 
 def step_scored(
@@ -57,9 +58,13 @@ def question_records(answers: DataFrame, step_scores: DataFrame) -> DataFrame:
     return whole.select("q_id", F.col("_a.answer").alias("answers"), F.col("_a.label").alias("label"), F.col("_a.scores").alias("step_scores"))
 
 
-def write_accuracy(scored: DataFrame, path: str, run: str) -> None:
-    """Append the accuracy of a run: (run, accuracy, n), one row."""
-    accuracy(scored).select(F.lit(run).alias("run"), "accuracy", "n").write.mode("append").parquet(path)
+def write_accuracy(scored: DataFrame, path: str, run: str, job: str | None = None) -> None:
+    """Append the accuracy of a run: (run, accuracy, n), one row; that of a named `job` once however often it runs."""
+    row = accuracy(scored).select(F.lit(run).alias("run"), "accuracy", "n")
+    if job is not None:
+        write_once(row, path, job)
+    else:
+        row.write.mode("append").parquet(path)
 
 
 def accuracy(scored: DataFrame) -> DataFrame:

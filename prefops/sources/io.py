@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prefops.schema import JUDGEMENT, require
+from prefops.sources.once import write_once
 
 
 # Quotes are doubled, blanks kept and empty texts written out, so that any text
@@ -91,20 +92,38 @@ def read_shards(spark: SparkSession, pattern: str, format: str = "parquet", merg
     return spark.read.format(format).option("mergeSchema", merge_schema).load(pattern)
 
 
-def write_shards(df: DataFrame, path: str, n: int, key: str | None = None, mode: str = "errorifexists") -> None:
-    """n files of about the same size; with a unique `key`, a row's file depends on its key only."""
+def write_shards(
+    df: DataFrame, path: str, n: int, key: str | None = None, mode: str = "errorifexists", name: str | None = None, kind: str = "parquet"
+) -> None:
+    """n files of about the same size; with a unique `key`, a row's file depends on its key only.
+
+    With a `name` the files are called `name-00000-of-00004` and written once
+    (`once.write_once`, which also knows the `kind` tensors): again they are left as they are.
+    """
     spread_rows = df.repartition(n) if key is None else df.repartition(n, key)
-    spread_rows.write.mode(mode).parquet(path)
+    if name is not None:
+        write_once(spread_rows, path, name, kind)
+    else:
+        spread_rows.write.mode(mode).format(kind).save(path)
 
 
-def write_judgements(df: DataFrame, path: str, format: str = "parquet", mode: str = "append") -> None:
+def write_judgements(
+    df: DataFrame, path: str, format: str = "parquet", mode: str = "append", job: str | None = None
+) -> None:
     """Result rows in one folder per model and split.
 
     The rebalance hint brings the rows of a folder together and splits those of
-    a model that has very many over several tasks.
+    a model that has very many over several tasks. A named `job`, which writes
+    Parquet, adds its rows once however often it runs; without a name a repeated
+    append repeats them.
     """
     require(df, *JUDGEMENT.fieldNames())
     rows = df.select(*JUDGEMENT.fieldNames()).hint("rebalance", "model", "split")
+    if job is not None:
+        if format != "parquet" or mode != "append":
+            raise ValueError("a named job appends Parquet")
+        write_once(rows, path, job, folders=("model", "split"))
+        return
     writer = rows.write.mode(mode).partitionBy("model", "split").format(format)
     if format == "csv":
         writer = writer.options(**CSV_TEXT, quoteAll=True)
@@ -124,9 +143,13 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("ignoreNullFields", False).json(path)
 
 
-def append_record(df: DataFrame, path: str, model: str | Column) -> None:
-    """Append section scores of a model: (model, section, score)."""
+def append_record(df: DataFrame, path: str, model: str | Column, job: str | None = None) -> None:
+    """Append section scores of a model: (model, section, score); those of a named `job` once however often it runs."""
     require(df, "section", "score")
     name = F.lit(model) if isinstance(model, str) else model
     # A report has one row per section, so it is one file.
-    df.select(name.alias("model"), "section", F.col("score").cast("double")).coalesce(1).write.mode("append").parquet(path)
+    rows = df.select(name.alias("model"), "section", F.col("score").cast("double")).coalesce(1)
+    if job is not None:
+        write_once(rows, path, job)
+    else:
+        rows.write.mode("append").parquet(path)
