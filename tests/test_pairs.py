@@ -122,6 +122,43 @@ def test_index_does_not_depend_on_partitions(spark):
     assert a == b
 
 
+@pytest.mark.parametrize(("bits", "bound"), [(12, 10**6), (2, 1), (2, 300), (4, 0), (16, 0)])
+def test_index_at_any_depth(spark, bits, bound):
+    df = spark.range(1200).select(F.concat(F.lit("k"), "id").alias("k"), F.lit("wide").alias("text"))
+    key = df.select("k")
+    want = {r["k"]: r["i"] for r in ordering.dense_index(key, "k", 3, "i").collect()}
+    got = ordering.dense_index(df, "k", 3, "i", bits, bound)
+    assert got.columns == ["k", "text", "i"]
+    assert {r["k"]: r["i"] for r in got.collect()} == want
+    assert sorted(want.values()) == list(range(1200))
+
+
+def test_a_null_key_has_its_place(spark):
+    df = spark.createDataFrame([(None, "a"), (1, "b"), (2, "c")], "k long, _k string")
+    assert sorted(r["i"] for r in ordering.dense_index(df, "k", 3, "i").collect()) == [0, 1, 2]
+    with pytest.raises(Exception, match="key repeats: null"):
+        ordering.dense_index(df.union(df.where("k is null")), "k", 3, "i").collect()
+
+
+def test_only_keys_are_ranked(spark, tmp_path):
+    """Whole rows pass through no window, and one exchange at most, that of the join by key."""
+    spark.range(1000).withColumn("text", F.repeat(F.lit("x"), 100)).write.parquet(str(tmp_path / "t"))
+    df = ordering.dense_index(spark.read.parquet(str(tmp_path / "t")), "id", 3)
+    plan = df._jdf.queryExecution().optimizedPlan()
+    assert "text" in plan.output().mkString()
+
+    def windows(node):
+        if node.nodeName() == "Window":
+            yield node.child().output().mkString()
+        for i in range(node.children().size()):
+            yield from windows(node.children().apply(i))
+
+    found = list(windows(plan))
+    assert len(found) >= 3 and not any("text" in w for w in found)
+    physical = df._jdf.queryExecution().executedPlan().toString()
+    assert sum("text" in line for line in physical.splitlines() if "Exchange" in line) <= 1
+
+
 @pytest.mark.parametrize(("n", "frac"), [(1000, 0.2), (7, 0.2), (1, 0.2), (10, 0.0), (10, 1.0), (0, 0.2)])
 def test_split_sizes_are_exact(spark, n, frac):
     import math
