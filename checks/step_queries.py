@@ -141,7 +141,7 @@ def p1_prefix(spark, d):
     """A model that reads a dialogue once and scores every turn on what it has read so far: here by the number of characters."""
     answers = branching(spark, d)
     texts = F.transform(F.filter("dialogue", lambda m: m["role"] == "user"), lambda m: m["content"])
-    read = F.transform(texts, lambda t, i: F.aggregate(F.slice(texts, F.lit(1), i + 1), F.lit(0), lambda a, x: a + F.char_length(x)))
+    read = prefixes.running(texts, "int", lambda n, t: F.coalesce(n, F.lit(0)) + F.char_length(t))
     scored = prefixes.whole_dialogues(answers).select("ids", read.alias("n"))
     rows = prefixes.scores_of_steps(prefixes.prefix_members(answers), scored)
     score = S.softmax_pair((F.col("n") % 11) / 4.0, (F.col("n") % 7) / 4.0)

@@ -10,7 +10,7 @@ back to the steps of all answers by a join on the id.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,19 +31,22 @@ def _turns(df: DataFrame, model_type: str, keys: Sequence[str]) -> DataFrame:
 
 def _chained(texts: Column) -> Column:
     """The digest of every beginning of a list of texts."""
-    start = F.struct(F.array().cast("array<string>").alias("ids"), F.lit("").alias("last"))
 
-    def step(acc: Column, text: Column) -> Column:
-        one = F.sha2(F.encode(F.concat(acc["last"], F.lit("\n"), text), "UTF-8"), 256)
-        return F.struct(F.array_append(acc["ids"], one).alias("ids"), one.alias("last"))
+    def step(last: Column, text: Column) -> Column:
+        return F.sha2(F.encode(F.concat(F.coalesce(last, F.lit("")), F.lit("\n"), text), "UTF-8"), 256)
 
-    return F.aggregate(texts, start, step)["ids"]
+    return running(texts, "string", step)
+
+
+def running(values: Column, kind: str, step: Callable[[Column, Column], Column]) -> Column:
+    """For every element of a list the `step` of the result before, null at first, and of the element; one step an element."""
+    return F.aggregate(values, F.array().cast(f"array<{kind}>"), lambda done, x: F.array_append(done, step(F.get(done, F.size(done) - 1), x)))
 
 
 def _rows(turns: DataFrame, keys: Sequence[str]) -> DataFrame:
     parents = F.concat(F.array(F.lit(None).cast("string")), F.slice("ids", F.lit(1), F.size("ids") - 1))
     each = F.arrays_zip(F.col("ids").alias("id"), parents.alias("parent"), F.col("texts").alias("text"))
-    return turns.where(F.size("ids") > 0).select(*keys, F.posexplode(each).alias("step", "_z")).select(*keys, "step", "_z.*")
+    return turns.where(F.size("texts") > 0).select(*keys, F.posexplode(each).alias("step", "_z")).select(*keys, "step", "_z.*")
 
 
 def prefix_members(df: DataFrame, model_type: str = "Mistral", keys: Sequence[str] = ANSWER_KEYS) -> DataFrame:
@@ -68,7 +71,7 @@ def prefix_nodes(df: DataFrame, model_type: str = "Mistral", keys: Sequence[str]
 
 def whole_dialogues(df: DataFrame, model_type: str = "Mistral", keys: Sequence[str] = ANSWER_KEYS) -> DataFrame:
     """(ids, dialogue): the different dialogues that no other one continues, each once, with the ids of their user turns."""
-    turns = _turns(df, model_type, keys).where(F.size("ids") > 0)
+    turns = _turns(df, model_type, keys).where(F.size("texts") > 0)
     last = F.element_at("ids", -1)
     inner = _rows(turns, keys).where("parent is not null").select(F.col("parent").alias("_inner")).distinct()
     # Only ids are compared; of equal dialogues any one is as good.

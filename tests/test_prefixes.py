@@ -3,6 +3,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
+from checks import step_queries
 from prefops.operators import prefixes, steps
 
 ANSWERS = [
@@ -86,3 +87,15 @@ def test_scores_come_back_to_every_step(answers):
 def test_nothing(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert prefixes.prefix_nodes(df).count() == prefixes.whole_dialogues(df).count() == prefixes.prefix_members(df).count() == 0
+
+
+def test_running_takes_one_step_an_element(spark, tmp_path):
+    df = spark.createDataFrame([(1, [3, 4, 5]), (2, []), (3, None)], "k int, v array<int>")
+    sums = prefixes.running(F.col("v"), "int", lambda n, x: F.coalesce(n, F.lit(0)) + x)
+    assert {r.k: r.s for r in df.select("k", sums.alias("s")).collect()} == {1: [3, 7, 12], 2: [], 3: None}
+    # No step reads the elements before it again.
+    docs = [(i, "\n".join(f"line {i} {k}" for k in range(i)), "en", "web", 9) for i in range(1, 20)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars int").write.parquet(str(tmp_path / "documents.parquet"))
+    scored = step_queries.p1_prefix(spark, str(tmp_path))
+    assert "lambda" in (plan := scored._jdf.queryExecution().optimizedPlan().toString()) and "aggregate(slice(" not in plan
+    assert scored.count() == sum(2 * i + 1 for i in range(1, 20))
