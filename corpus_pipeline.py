@@ -50,9 +50,12 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of every document, and the digest of the text that they decode to."""
+    """The ids of every document, and the digest of the text that they decode to.
+
+    The ids are written first, so that a task has one worker: encoding or decoding.
+    """
     ranks, pattern = public_tokenizers.path(queries.BPE_RANKS), public_tokenizers.PATTERN
-    ids = bpe.encode(docs, ranks, pattern)
+    ids = io.written(bpe.encode(docs.select("doc_id", "text"), ranks, pattern), "ids")
     return bpe.decode(ids, ranks, pattern).select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("text_sha256"))
 
 

@@ -126,10 +126,14 @@ def _encode_words(batches, name: str, pattern: str) -> Iterator[pa.RecordBatch]:
             ids.append(packed(runs.values))
             ends.append(packed(np.diff(runs.ends, prepend=0)))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(ids, pa.binary()), pa.array(ends, pa.binary())], ["block", "part", "at", "ids", "sizes"])
+    known = {}
+    tx.release()
 
 
 def _assemble(words: pa.Table, blocks: pa.Table) -> pa.Table:
     """The texts of a block as ids, from the ids of its words. Blocks that are equal come together."""
+    # A task puts one block together after the other; the last one's memory goes back first.
+    tx.release()
     if not len(blocks):
         return pa.table({"key": blocks["keys"].combine_chunks().flatten(), "n_tokens": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int32()))})
     at, ids, sizes, seen = [], [], [], set()
@@ -233,5 +237,6 @@ def decode(df: DataFrame, ranks: str, pattern: str, ids: str = "ids", keep: list
                 decoded = [None if z else raw[a:b] for a, b, z in zip(at, at[1:], null, strict=False)]
                 as_bytes = [None if z else ids_raw[4 * a : 4 * b] for a, b, z in zip(ends[:-1].tolist(), ends[1:].tolist(), null, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(cut.column(i) for i in range(n)), pa.array(decoded, pa.binary()), pa.array(as_bytes, pa.binary())], types.fieldNames())
+        tx.release()
 
     return source.mapInArrow(run, types)

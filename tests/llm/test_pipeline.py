@@ -67,3 +67,12 @@ def test_repeated_ids(spark, sf_dir):
     assert left.columns == ["doc_id", "text", "lang"]
     got = sorted(((r.doc_id or 0, r.text) for r in left.collect()), key=repr)
     assert got == sorted([(1, a), (5, b), (8, c), (9, None), (9, ""), (0, a), (0, a)], key=repr)
+
+
+def test_encoding_is_written_before_decoding(spark, sf_dir):
+    """A plan with both would keep two workers a task."""
+    docs = spark.createDataFrame([(1, "some words"), (2, None)], "doc_id long, text string")
+    ids = corpus_pipeline.token_ids(spark, docs, sf_dir)
+    plan = ids._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "CoGroup" not in plan
+    assert {r.doc_id: r.n_tokens for r in ids.collect()}[2] == 0
