@@ -23,9 +23,13 @@ compared where one of both still stands by the signature that they share.
 Sets that meet in a signature are compared by sketches first, some bits per
 shingle that bound from below how many shingles they differ in, and what may
 still link is compared exactly. Signatures that many sets
-share are not expanded: every set is compared with the first one, linked sets
-are merged into components, and only sets of different components that still
-share a signature are compared with each other.
+share are not expanded: every set is compared with the first one, and linked sets
+are merged into components. Sets of different components that still share a
+signature are told apart by what they don't have in common with a centre of its
+sets, their rest. Two sets differ in as many shingles as their rests do, so that
+either both link with the set that is next to the centre, or they link with each
+other only if their rests have some shingles in common, the more the larger they
+are. Near copies of one text have small rests that hardly meet, however many there are.
 """
 
 from __future__ import annotations
@@ -392,6 +396,21 @@ def _met(kind: int, rows: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), kind, np.int8)), *(pa.array(np.ascontiguousarray(rows[:, i])) for i in range(2)), pa.array(np.ascontiguousarray(rows[:, 2]) if kind else np.zeros(len(rows), np.int64))], ["kind", "a", "b", "info"])
 
 
+def whole_sets(wanted: DataFrame, df: DataFrame, key: str, text: str, shingle: int, most_keys: int = MOST_KEYS) -> DataFrame:
+    """The sets (id, hashes) of the rows with a wanted key, a set as often as it has rows.
+
+    Rows with the same key may have other sets, that nobody asks for.
+    """
+    texts = rows_of_keys(df.select(F.col(quoted(key)).alias("key"), F.col(quoted(text)).cast("string").alias("text")), "key", wanted, most=most_keys)
+
+    def make(column: pa.Array) -> list[pa.Array]:
+        sets = sets_of(tx.texts_of(column), shingle)
+        raw, first = sets.hashes.tobytes(), sets.first.tolist()
+        return [pa.array(sets.ids), pa.array([raw[8 * a : 8 * b] for a, b in zip(first, first[1:], strict=False)], pa.binary())]
+
+    return io.written(map_texts(texts, "text", "id long, hashes binary", make, keep=[]), "compared")
+
+
 def linked(pairs: DataFrame, keys: DataFrame, df: DataFrame, key: str, text: str, percent: int, shingle: int, most_keys: int = MOST_KEYS) -> DataFrame:
     """The pairs (a, b) whose sets link: by their sketches first, then from the whole sets.
 
@@ -414,15 +433,7 @@ def linked(pairs: DataFrame, keys: DataFrame, df: DataFrame, key: str, text: str
 
     pairs = io.written(sketched.select("a", "b", F.col("na") + F.col("nb"), "sa", "sb").mapInArrow(likely, "a long, b long"), "likely")
     one = one.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi")
-    texts = rows_of_keys(df.select(F.col(quoted(key)).alias("key"), F.col(quoted(text)).cast("string").alias("text")), "key", one.select("key"), most=most_keys)
-
-    def make(column: pa.Array) -> list[pa.Array]:
-        sets = sets_of(tx.texts_of(column), shingle)
-        raw, first = sets.hashes.tobytes(), sets.first.tolist()
-        return [pa.array(sets.ids), pa.array([raw[8 * a : 8 * b] for a, b in zip(first, first[1:], strict=False)], pa.binary())]
-
-    # Rows with the same key may have other sets, that nobody asks for.
-    sets = io.written(map_texts(texts, "text", "id long, hashes binary", make, keep=[]), "compared")
+    sets = whole_sets(one.select("key"), df, key, text, shingle, most_keys)
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b")
 
     def compare(batches):
@@ -434,6 +445,131 @@ def linked(pairs: DataFrame, keys: DataFrame, df: DataFrame, key: str, text: str
     return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
+def size_edges(percent: int) -> list[int]:
+    """The smallest sizes of classes of size; sets that link are of the same class or of neighbouring ones."""
+    edges = [1]
+    while edges[-1] < SIZE_MASK:
+        edges.append(edges[-1] * 100 // percent + 1)
+    return edges
+
+
+REST = "center long, class int, id long, n long, kept boolean, n_center long, score long, rest binary"
+
+
+def _votes(batches):
+    """Of rows (center, class, hashes, hashes of the central set) the shingles that only one of both has, and a null for the set.
+
+    Sets that have little in common with the central one have no vote.
+    """
+    for batch in batches:
+        out = []
+        for i in range(batch.num_rows):
+            x, y = (np.frombuffer(batch.column(k)[i].as_buffer(), np.uint64) for k in (2, 3))
+            rest = np.setxor1d(x, y, assume_unique=True).view(np.int64)
+            out.append(rest if 2 * len(rest) <= len(y) else None)
+        voters = np.flatnonzero([r is not None for r in out])
+        if not len(voters):
+            continue
+        found = [out[i] for i in voters.tolist()]
+        row = np.append(np.repeat(voters, [len(r) for r in found]), voters)
+        shingles = pa.concat_arrays([pa.array(np.concatenate(found)), pa.nulls(len(voters), pa.int64())])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), shingles], ["center", "class", "shingle"])
+
+
+def _rests(batches, frequent: np.ndarray, percent: int):
+    """Rows (center, class, id, n, kept, hashes, hashes of the central set, shingles that most sets change in it) with their rests.
+
+    The rest is the shingles that only one of the set and the centre has; the centre
+    is the central set with what most change. The score is (100 + percent) times
+    their number less (100 - percent) times n: two sets link if (100 + percent)
+    times the shingles that both rests have is no less than half the sum of their
+    scores. Shingles that few sets have come first, as far as that is known: those
+    of the set itself before those that it lacks, and frequent ones after others.
+    """
+    p, q = shares(percent)
+    for batch in batches:
+        sizes, centers, scores, rests = batch.column(3).to_numpy(), [], [], []
+        for i in range(batch.num_rows):
+            x, y = (np.frombuffer(batch.column(k)[i].as_buffer(), np.uint64) for k in (5, 6))
+            if batch.column(7)[i].is_valid:
+                y = np.setxor1d(y, batch.column(7)[i].values.to_numpy().view(np.uint64), assume_unique=True)
+            rest = np.setxor1d(x, y, assume_unique=True)
+            lacks = np.isin(rest, y)
+            often = np.isin(rest, frequent) if len(frequent) else lacks
+            rests.append(rest[np.lexsort((rest, often, lacks))].tobytes())
+            centers.append(len(y))
+            scores.append((100 + p) * len(rest) - q * int(sizes[i]))
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(5)), pa.array(centers, pa.int64()), pa.array(scores, pa.int64()), pa.array(rests, pa.binary())], [f.split()[0] for f in REST.split(", ")])
+
+
+def _rest_index(batches, percent: int):
+    """Rows of REST, with the component and the classes of score in the group, by the shingles of their rests that a linked set must meet one of.
+
+    With a set of another class the rest has at least
+    `common` shingles in common, so that both have one of them among the first
+    len(rest) - common + 1.
+    """
+    p, q = shares(percent)
+    names = ["key", "mine", "other", "id", "root", "n", "size", "kept"]
+    for batch in batches:
+        out, held = [], 0
+        for center, size, i, n, kept, n_center, score, rest, width, mine, root, other in zip(*(batch.column(k).to_pylist() for k in range(12)), strict=True):
+            rest = np.frombuffer(rest, np.uint64)
+            if not len(rest):
+                continue  # the centre itself: what it links with is known
+            other = np.array(other, np.int64)
+            low = other * width - q * n_center  # the least of all scores is that of the centre
+            common = np.maximum(1, -(-(score + low) // (2 * (100 + p))))
+            longest = (low + width - 1 + q * (100 * n // p)) // (100 + p)
+            # Where no sum of scores is above 0 all link with the set next to the centre.
+            able = (common <= np.minimum(len(rest), longest)) & (score + low + width - 1 > 0)
+            other, take = other[able], len(rest) - common[able] + 1
+            at = np.arange(int(take.sum())) - np.repeat(np.cumsum(take) - take, take)
+            place = tx.mix(tx.mix(np.array([center], np.int64).view(np.uint64)) + np.uint64(size))
+            rows = len(at)
+            out.append((tx.mix(rest[at] ^ place).view(np.int64), np.full(rows, mine), np.repeat(other, take), *(np.full(rows, x) for x in (i, root, n, size, kept))))
+            held += rows
+            if held > 1 << 18:
+                yield _indexed(out, names)
+                out, held = [], 0
+        if out:
+            yield _indexed(out, names)
+
+
+def _indexed(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows, strict=True)], names)
+
+
+def rests(crowd: DataFrame, keys: DataFrame, df: DataFrame, key: str, text: str, frequent: np.ndarray, percent: int, shingle: int) -> DataFrame:
+    """The rests (REST) of the sets (sig, id, n, kept) of crowded signatures, towards a centre of each signature and class of size.
+
+    The centre is a set that is in the most crowded signatures, with the changes
+    that most of the sets near it share; signatures of the same such set are one
+    group. A set is in the groups of its own class and of the next.
+    """
+    spark = df.sparkSession
+    edges = ", ".join(map(str, size_edges(percent)))
+    sets_of_sig = crowd.groupBy("sig").agg(F.count("*").alias("c"))
+    often = crowd.join(sets_of_sig, "sig").groupBy("id").agg(F.sum(F.col("c").cast("decimal(19,0)") * F.col("c")).alias("often"))
+    sized = crowd.join(often, "id").withColumn("own", F.expr(f"size(filter(array({edges}), x -> x <= n))"))
+    sized = sized.select("sig", "id", "n", "kept", "often", F.posexplode(F.array("own", F.col("own") + 1)).alias("next", "class"))
+    central = sized.groupBy("sig", "class").agg(F.max(F.struct("often", "id")).alias("best"), F.count("*").alias("sets"), F.max("kept").alias("some"), F.min("next").alias("next")).where("sets > 1 and some and next = 0")
+    grouped = sized.join(central, ["sig", "class"]).groupBy(F.col("best.id").alias("center"), "class", "id").agg(F.max("n").alias("n"), F.max("kept").alias("kept"))
+    grouped = io.written(grouped, "grouped")
+    wanted = keys.join(grouped.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("key").alias("key"))
+    sets = whole_sets(wanted.select("key"), df, key, text, shingle).dropDuplicates(["id"])
+    centers = sets.select(F.col("id").alias("center"), F.col("hashes").alias("central"))
+    both = grouped.join(sets, "id").join(centers, "center")
+    group = ["center", "class"]
+    votes = both.select(*group, "hashes", "central").mapInArrow(_votes, "center long, class int, shingle long")
+    votes = io.written(votes.groupBy(*group, "shingle").agg(F.count("*").alias("votes")), "votes")
+    voters = votes.where("shingle is null").select(*group, F.col("votes").alias("voters"))
+    changed = votes.where("shingle is not null").join(voters, group).where("2 * votes > voters").groupBy(*group).agg(F.collect_list("shingle").alias("changed"))
+    known = spark.sparkContext.broadcast(frequent)
+    rows = both.join(changed, group, "left").select(*group, "id", "n", "kept", "hashes", "central", "changed")
+    return io.written(rows.mapInArrow(lambda b: _rests(b, known.value, percent), REST), "rests")
+
+
 def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """(key, n_shingles, component_id) of every row of df.
 
@@ -463,14 +599,29 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", p
     # Windows of the signatures of one set in one band.
     dearest = Window.partitionBy("id", F.shiftright("info", 2 * SIZE_BITS)).orderBy(F.desc("sets"), "sig")
     left = placed.join(mixed, "sig").withColumns({"kept": (F.col("sets") <= CHEAP) | (F.row_number().over(dearest) > spare), "n": F.col("info").bitwiseAND(SIZE_MASK)})
-    left = io.written(left.select("sig", "id", "root", "n", "kept"), "left")
+    left = io.written(left.select("sig", "id", "n", "sets", "kept"), "left")
     if not left.isEmpty():
-        other = left.select("sig", *(F.col(c).alias(c + "2") for c in ("id", "root", "n")))
-        near = (F.col("root") != F.col("root2")) & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
-        more = left.where("kept").join(other, "sig").where(near).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-        new = io.written(linked(io.written(more, "pairs"), real, keyed, "key", "text", percent, shingle), "links")
+        crowd = rests(left.where(F.col("sets") > CHEAP).select("sig", "id", "n", "kept"), real, keyed, "key", "text", frequent, percent, shingle)
+        best = crowd.groupBy("center", "class").agg(F.min(F.struct("score", "id")).alias("best"))
+        central = crowd.join(best, ["center", "class"]).where("score + best.score <= 0 and id <> best.id").select(F.col("id").alias("a"), F.col("best.id").alias("b"))
         # A component is linked already through its root.
-        roots = connected_components(new.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+        links = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        roots = io.written(connected_components(central.union(links)), "roots")
+        links = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        of_root = lambda rows: rows.join(roots, rows.id == roots.node, "left").withColumn("root", F.coalesce("root", "id")).drop("node")
+        # An eighth of what linked sets of the class may differ in makes a class of scores.
+        edges, q = F.array(*(F.lit(x).cast("long") for x in size_edges(percent))), shares(percent)[1]
+        crowd = crowd.withColumn("width", F.greatest(F.lit(1).cast("long"), F.floor(F.element_at(edges, F.col("class")) * q / 4)))
+        crowd = io.written(of_root(crowd.withColumn("mine", F.floor((F.col("score") + q * F.col("n_center")) / F.col("width")))), "crowd")
+        apart = crowd.groupBy("center", "class").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.collect_set("mine").alias("scores")).where("lo <> hi").select("center", "class", "scores")
+        index = "key long, mine long, other long, id long, root long, n long, size long, kept boolean"
+        met = io.written(crowd.join(apart, ["center", "class"]).mapInArrow(lambda b: _rest_index(b, percent), index), "met")
+        few = of_root(left.where(F.col("sets") <= CHEAP)).select(F.col("sig").alias("key"), F.lit(0).alias("mine"), F.lit(0).alias("other"), "id", "root", "n", F.lit(0).alias("size"), "kept")
+        near = (F.col("root") != F.col("root2")) & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")) & (F.col("kept") | F.col("kept2")) & (F.col("id") < F.col("id2"))
+        pairs_of = lambda rows: rows.join(rows.select("key", F.col("mine").alias("other"), F.col("other").alias("mine"), *(F.col(c).alias(c + "2") for c in ("id", "root", "n", "kept"))), ["key", "mine", "other"]).where(near).select(F.col("id").alias("a"), F.col("id2").alias("b"))
+        more = pairs_of(met).union(pairs_of(few)).distinct().join(pairs, ["a", "b"], "left_anti")
+        new = io.written(linked(io.written(more, "pairs"), real, keyed, "key", "text", percent, shingle), "links")
+        roots = connected_components(new.union(links))
     named = real.join(roots, real.id == roots.node, "left").select("key", F.coalesce("root", "id").alias("root"))
     smallest = named.groupBy("root").agg(F.min("key").alias("component"))
     by_key = named.join(smallest, "root").groupBy("key").agg(F.min("component").alias("component"))

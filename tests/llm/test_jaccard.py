@@ -193,3 +193,31 @@ def test_words_that_mirror_each_other(spark):
     a, b = MIRRORED
     got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(documents(spark, [a, b, a]).coalesce(1)).collect()}
     assert got == {0: 0, 1: 1, 2: 0}
+
+
+def test_near_copies_around_the_limit_are_not_all_compared(spark, monkeypatch):
+    rng = random.Random(21)
+    base = [f"b{i}" for i in range(150)]
+    texts = [" ".join(base)]
+    for i in range(400):
+        mine = list(base)
+        for at in rng.sample(range(150), rng.randint(2, 8)):
+            mine[at] = f"n{i}x{at}"
+        texts.append(" ".join(mine))
+    # Two that are far from all others and near each other.
+    mine = [w if i % 15 else f"m{i}" for i, w in enumerate(base)]
+    texts += [" ".join(mine), " ".join([*mine[:-1], "end"])]
+    want = brute(texts, 5, 80)
+    compared = []
+    written = jaccard.io.written
+
+    def counted(df, name):
+        out = written(df, name)
+        if name == "pairs":
+            compared.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard.io, "written", counted)
+    rows = jaccard.jaccard_components(documents(spark, texts).repartition(4)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == dict(enumerate(want))
+    assert 50 < len({root for _, root in want}) < 350 and sum(compared) <= 8 * len(texts)
