@@ -145,7 +145,8 @@ def near_pairs(words: DataFrame, min_length: int = 6, parts: int = PARTS, left_o
     a = sig.select("sig", F.col("word").alias("a"), F.col("n").alias("a_n"))
     b = sig.select(F.col("sig").alias("b_sig"), F.col("word").alias("b"), F.col("n").alias("b_n"))
     near = (F.col("sig") == F.col("b_sig")) & (F.col("a") < F.col("b")) & (F.levenshtein("a", "b", 1) == 1)
-    return a.join(b, near).select("a", "b", "a_n", "b_n").distinct()
+    # Its size is estimated by that of the words, of which each has many signatures: it must not be broadcast.
+    return a.join(b.hint("merge"), near).select("a", "b", "a_n", "b_n").distinct()
 
 
 def spelling_variants(words: DataFrame, min_length: int = 6, min_count: int = 5, ratio: int = 5) -> DataFrame:
@@ -164,7 +165,8 @@ def spelling_variants(words: DataFrame, min_length: int = 6, min_count: int = 5,
     )).alias("p")).select("p.*")
     best = both.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("less"), "other")).alias("best"))
     strong = -F.col("best.less") >= ratio * F.col("n")
-    found = words.join(best, "word", "left").select(
+    # Tables of words are small as files and large as broadcast rows.
+    found = words.join(best.hint("merge"), "word", "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(strong, F.col("best.other")).alias("form"), F.when(strong, -F.col("best.less")).alias("form_n")
     )
     found = io.written(found, "forms")
@@ -175,5 +177,5 @@ def spelling_variants(words: DataFrame, min_length: int = 6, min_count: int = 5,
     roots = found.where("form is not null").select("word", F.col("form").alias("root"))
     for _ in range((steps - 1).bit_length() if steps else 0):
         onward = roots.select(F.col("word").alias("root"), F.col("root").alias("beyond"))
-        roots = io.written(roots.join(onward, "root", "left").select("word", F.coalesce("beyond", "root").alias("root")), "roots")
-    return found.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+        roots = io.written(roots.join(onward.hint("merge"), "root", "left").select("word", F.coalesce("beyond", "root").alias("root")), "roots")
+    return found.join(roots.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

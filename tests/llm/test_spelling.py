@@ -100,3 +100,12 @@ def test_nothing(spark):
     assert spelling.spelling_variants(spark.createDataFrame([], "word string, n long")).count() == 0
     with pytest.raises(ValueError, match="two parts"):
         spelling.near_pairs(words_frame(spark, {"abcdef": 5}), parts=3, left_out=1)
+
+
+def test_signatures_are_not_broadcast(spark, tmp_path, capsys):
+    """A table of words that is small as a file has many times its rows as signatures."""
+    words_frame(spark, {f"{'abcdefgh'[k % 8] * 3}{k:05d}": 5 + k for k in range(2000)}).write.parquet(str(tmp_path / "words"))
+    words = spark.read.parquet(str(tmp_path / "words"))
+    for df in (spelling.near_pairs(words), spelling.spelling_variants(words)):
+        df.explain()
+        assert "Broadcast" not in capsys.readouterr().out
